@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from axisframe.llm.bpe import encode_corpus
+from axisframe.llm.positional_index import leaked
 from axisframe.llm.shared_spans import shared_spans
 
 #: Where the public vocabularies lie; a parameter of every operator that uses one.
@@ -21,8 +22,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), width=12)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), span=200)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
