@@ -282,7 +282,7 @@ def shared_spans(
             start = 0
             # Rows come sorted by key; a chunk ends only where the key changes.
             changes = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            for stop in [0] * (last is not None and last != keys[0]) + changes.tolist():
+            for stop in ([0] if last is not None and last != keys[0] else []) + changes.tolist():
                 if size + chars[stop] - chars[start] > most:
                     yield found([*waiting, batch.slice(start, stop - start)])
                     waiting, size, start = [], 0, stop
