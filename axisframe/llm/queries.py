@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from axisframe.llm.bpe import encode_corpus
+from axisframe.llm.percentiles import bounds, merge, outlying_entries, summarize
 from axisframe.llm.positional_index import leaked
 from axisframe.llm.shared_spans import shared_spans
+from axisframe.llm.term_counts import TermCounts, counts_of_entries, rare_and_common
 
 #: Where the public vocabularies lie; a parameter of every operator that uses one.
 TOKENIZERS = "/opt/tokenizers"
@@ -18,6 +21,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = counts_of_entries(table(spark, sf_dir, "x_entries"), table(spark, sf_dir, "var_lines"), TermCounts(spark, buckets=16))
+    return rare_and_common(store)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir).where("mark is not null").select(F.col("term").alias("var_name"), "mark")
+
+
+def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counts(spark, sf_dir).withColumnRenamed("term", "var_name")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outlying_entries(table(spark, sf_dir, "x_entries"))
+
+
+def p5_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from the summaries of the single children, combined: within 1/128 of the value."""
+    entries = table(spark, sf_dir, "x_entries").where("j is not null and v > 0 and v < double('infinity')")
+    once = entries.groupBy("child_key", "i", "j", "seq").agg(F.min("v").alias("v"))
+    children = summarize(once.withColumn("part", F.struct("child_key", "j")), "part", "v")
+    combined = merge(children.select(F.col("part.j").alias("j"), "bin", "n", "least", "most"), "j")
+    return bounds(combined, "j", [0.05, 0.5, 0.95])
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -30,4 +59,6 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), span=200)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_bounds, p6_ids, p7_found, p8_found)
+}
