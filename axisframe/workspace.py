@@ -7,9 +7,12 @@ The setting is read from the session; only where it is unset (local tests) a tem
 from __future__ import annotations
 
 import atexit
+import hashlib
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +59,23 @@ def remove_table(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/axisframe/" in path:
             remove(df.sparkSession, path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run: once a context, as a zip of its sources.
+    Operators with Python code call it first."""
+    context = spark.sparkContext
+    if getattr(context, "_axisframe_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".py"))
+        digest = hashlib.sha1(b"".join(open(f, "rb").read() for f in files)).hexdigest()[:10]
+        folder = tempfile.mkdtemp(prefix="axisframe_zip_")
+        atexit.register(shutil.rmtree, folder, True)
+        archive = os.path.join(folder, f"axisframe_{digest}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in files:
+                z.write(f, os.path.join("axisframe", os.path.relpath(f, root)))
+        context.addPyFile(archive)
+    context._axisframe_shipped = True
