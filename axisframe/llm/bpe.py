@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axisframe.llm.codepoints import SPACE, blocks, class_table, flatten, spread
+from axisframe.workspace import ship_package
 
 #: The contractions that the vocabulary splits off, by their first letter.
 ONE_LETTER, TWO_LETTERS = "stmd", ("re", "ve", "ll")
@@ -173,6 +174,7 @@ def encode_texts(texts: pa.Array, table: np.ndarray, m: Merges) -> tuple[np.ndar
 def encode_corpus(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """(id_col, ids): the token ids of every text, without special tokens.  One narrow pass, no shuffle; the
     vocabulary and the table of character classes (of fixed size, under 3 MB) is broadcast, so executors need no file."""
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((class_table(), Merges.from_json(vocab_path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from axisframe.llm.codepoints import LETTER, NUMBER, blocks, class_table, flatten, lower_table, spread
 from axisframe.llm.shared_spans import _BASES, _INVERSES, _ROOT, _mix
-from axisframe.workspace import materialize
+from axisframe.workspace import materialize, ship_package
 
 _INDEX = "doc_ids array<long>, doc_starts array<int>, terms array<long>, term_starts array<int>, positions array<int>"
 _BIG_SIGMA, _SMALL_SIGMA, _LAST_SIGMA = 0x3A3, 0x3C3, 0x3C2
@@ -108,6 +108,7 @@ class Words:
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 4_000_000) -> DataFrame:
     """The stored index: one row a shard (see the module).  Narrow: each task indexes what it reads."""
+    ship_package(df.sparkSession)
     tables = df.sparkSession.sparkContext.broadcast(Words.tables())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +214,7 @@ def search(
     ``least`` < width or ``slop`` > 0, as proximity matches.  The items are the stated query set: they go to the shards
     in blocks of at most about ``block_chars`` characters, however many there are."""
     spark = index.sparkSession
+    ship_package(spark)
     asked = items.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
     asked = asked.where(F.col("item").isNotNull() & (F.length("text") >= 2 * width - 1))
     total = asked.agg(F.sum(F.length("text"))).first()[0] or 0

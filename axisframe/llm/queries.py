@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm.bpe import encode_corpus
+from axisframe.llm.multi_index import MultiIndex, similar_pairs, usable_vectors
 from axisframe.llm.percentiles import bounds, merge, outlying_entries, summarize
 from axisframe.llm.positional_index import leaked
 from axisframe.llm.shared_spans import shared_spans
@@ -34,6 +35,16 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).withColumnRenamed("term", "var_name")
 
 
+def embedded(spark: SparkSession, sf_dir: str) -> MultiIndex:
+    """The multi-index of the usable x_embed vectors."""
+    vectors = table(spark, sf_dir, "obsm_vectors").where("obsm_key = 'x_embed'")
+    return MultiIndex(usable_vectors(vectors, "obs_ix", "vec", 64, "written_at"), 64, min_cosine=0.85)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(embedded(spark, sf_dir), k=5)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlying_entries(table(spark, sf_dir, "x_entries"))
 
@@ -60,5 +71,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_bounds, p6_ids, p7_found, p8_found)
+    f.__name__: f for f in (p1_found, p1_counts, p4_found, p5_found, p5_bounds, p6_ids, p7_found, p8_found)
 }

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisframe.llm.codepoints import flatten
+from axisframe.workspace import ship_package
 
 _BLOCK = 1 << 16
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -238,6 +239,7 @@ def shared_spans(
     result stays exact.
     """
     spark = df.sparkSession
+    ship_package(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.where((F.length("text") >= span) & F.col("id").isNotNull())
     if bits is None:
