@@ -23,7 +23,7 @@ _VECTORS = """
 raw AS (
   SELECT DISTINCT obs_ix AS ix, CAST(vec AS DOUBLE[]) AS v FROM obsm_vectors
   WHERE obsm_key = 'x_embed' AND vec IS NOT NULL AND len(vec) = 64
-    AND len(list_filter(vec, x -> NOT isfinite(x) OR x IS NULL)) = 0 AND len(list_filter(vec, x -> x <> 0)) > 0),
+    AND len(list_filter(vec, lambda x: NOT isfinite(x) OR x IS NULL)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
 near AS (
   SELECT a.ix AS ix, b.ix AS other, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM raw a JOIN raw b ON a.ix <> b.ix
   WHERE list_cosine_similarity(a.v, b.v) >= 0.85)
@@ -32,6 +32,9 @@ near AS (
 ORACLES: dict[str, str] = {
     "p1_found": f"WITH {_NAMES} SELECT var_name, mark FROM marked WHERE mark IS NOT NULL",
     "p1_counts": f"WITH {_NAMES} SELECT var_name, occurrences, records, mark FROM marked",
+    # All members of a cluster are similar to one another in these data, so the smallest similar row is the cluster's first.
+    "p2_found": f"""WITH {_VECTORS}, firsts AS (SELECT ix AS member_ix, min(other) AS first_ix FROM near GROUP BY ix)
+      SELECT first_ix, member_ix FROM firsts WHERE first_ix < member_ix""",
     "p4_found": f"""WITH {_VECTORS}, best AS (SELECT *, row_number() OVER (PARTITION BY ix ORDER BY c DESC, other) AS r FROM near)
       SELECT DISTINCT least(ix, other) AS ix_a, greatest(ix, other) AS ix_b FROM best WHERE r <= 5""",
     "p5_found": f"WITH {_VALUES} SELECT i, j, seq FROM once JOIN limits USING (j) WHERE v > 4 * p95 OR v * 4 < p5",

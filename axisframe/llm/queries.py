@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm.bpe import encode_corpus
+from axisframe.llm.clusters import describe, linked, pivot_clusters
 from axisframe.llm.multi_index import MultiIndex, similar_pairs, usable_vectors
 from axisframe.llm.percentiles import bounds, merge, outlying_entries, summarize
 from axisframe.llm.positional_index import leaked
@@ -41,6 +42,19 @@ def embedded(spark: SparkSession, sf_dir: str) -> MultiIndex:
     return MultiIndex(usable_vectors(vectors, "obs_ix", "vec", 64, "written_at"), 64, min_cosine=0.85)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = embedded(spark, sf_dir)
+    sets = linked(index, pivot_clusters(index))
+    return sets.where("id <> first").select(F.col("first").alias("first_ix"), F.col("id").alias("member_ix"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster with its size and its three most typical rows."""
+    index = embedded(spark, sf_dir)
+    sets = linked(index, pivot_clusters(index))
+    return describe(index, sets, "first").withColumnRenamed("first", "first_ix")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(embedded(spark, sf_dir), k=5)
 
@@ -71,5 +85,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p4_found, p5_found, p5_bounds, p6_ids, p7_found, p8_found)
+    f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_clusters, p4_found, p5_found, p5_bounds, p6_ids, p7_found, p8_found)
 }
