@@ -1,3 +1,39 @@
 """The SQL that each core query is checked with."""
 
-ORACLES: dict[str, str] = {}
+_DRIFT = r"""
+files AS (
+  SELECT file_id, any_value(series_id) AS series_id, any_value(file_seq) AS file_seq, any_value(column_order) AS cols
+  FROM obs_files GROUP BY file_id),
+steps AS (
+  SELECT file_id, cols, lag(file_id) OVER w AS before, lag(cols) OVER w AS before_cols
+  FROM files WINDOW w AS (PARTITION BY series_id ORDER BY file_seq)),
+rows_ AS (
+  SELECT DISTINCT file_id, row_no, obs_name, CAST(payload AS JSON) AS p FROM obs_records WHERE json_valid(payload)),
+keys AS (SELECT *, unnest(json_keys(p)) AS col FROM rows_),
+vals AS (SELECT file_id, row_no, obs_name, col, json_extract(p, '$."' || col || '"') AS x FROM keys),
+typed AS (
+  SELECT file_id, row_no, obs_name, col,
+    CASE json_type(x) WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'decimal' ELSE 'integer' END AS type,
+    CASE WHEN json_type(x) = 'DOUBLE' THEN CAST(CAST(x AS DOUBLE) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS v
+  FROM vals WHERE json_type(x) <> 'NULL'),
+olds AS (SELECT file_id, before, unnest(list_filter(before_cols, lambda c: NOT list_contains(cols, c))) AS old_name FROM steps WHERE before IS NOT NULL),
+news AS (SELECT file_id, unnest(list_filter(cols, lambda c: NOT list_contains(before_cols, c))) AS new_name FROM steps WHERE before IS NOT NULL),
+renamed AS (
+  SELECT o.file_id, o.old_name, n.new_name FROM olds o JOIN news n USING (file_id)
+  JOIN typed a ON a.file_id = o.before AND a.col = o.old_name
+  JOIN typed b ON b.file_id = o.file_id AND b.col = n.new_name AND a.obs_name = b.obs_name
+  GROUP BY ALL HAVING bool_and(a.type = b.type AND a.v = b.v)),
+main AS (
+  SELECT file_id, col, arg_max(type, n * 1000000 - r) AS type
+  FROM (SELECT file_id, col, type, count(*) AS n, min(row_no) AS r FROM typed GROUP BY ALL) GROUP BY ALL),
+kept AS (SELECT file_id, before, unnest(list_filter(cols, lambda c: list_contains(before_cols, c))) AS col FROM steps WHERE before IS NOT NULL)
+"""
+
+ORACLES: dict[str, str] = {
+    "p3_found": f"""WITH {_DRIFT}
+      SELECT file_id, 'renamed' AS change_kind, old_name, new_name FROM renamed
+      UNION ALL SELECT file_id, 'added', '', new_name FROM news ANTI JOIN renamed USING (file_id, new_name)
+      UNION ALL SELECT file_id, 'removed', old_name, '' FROM olds ANTI JOIN renamed USING (file_id, old_name)
+      UNION ALL SELECT k.file_id, 'retyped', k.col, k.col FROM kept k JOIN main a ON a.file_id = k.file_id AND a.col = k.col
+        JOIN main b ON b.file_id = k.before AND b.col = k.col WHERE a.type <> b.type""",
+}

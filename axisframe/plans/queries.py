@@ -6,4 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from axisframe.operators import schema_drift
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.drift_report(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))
+
+
+def p3_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.consistent_table(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_table)}
