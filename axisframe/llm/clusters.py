@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisframe.llm.multi_index import MultiIndex, score_blocks, unit_rows
+from axisframe.llm.multi_index import SLACK, MultiIndex, exact_cosines, score_blocks, similar_blocks, unit_rows
+from axisframe.operators.components import components
 from axisframe.workspace import materialize
 
 
@@ -47,11 +48,11 @@ def _has_earlier(min_cosine: float):
         asks = np.argsort(mine)
         q, mine, ids = q[asks], mine[asks], q_ids[asks]
         earlier = np.zeros(len(ids), bool)
-        for a in range(0, len(q), 256):
-            stop = np.searchsorted(theirs, mine[min(a + 255, len(mine) - 1)])
-            for _, b, scores in score_blocks(q[a : a + 256], e[:stop]):
-                hit = (scores >= min_cosine) & (theirs[None, b : b + scores.shape[1]] < mine[a : a + len(scores), None])
-                earlier[a : a + len(scores)] |= hit.any(axis=1)
+        for a in range(0, len(q), 512):
+            stop = np.searchsorted(theirs, mine[min(a + 511, len(mine) - 1)])
+            for _, b, hit in similar_blocks(q[a : a + 512], e[:stop], min_cosine):
+                hit &= theirs[None, b : b + hit.shape[1]] < mine[a : a + len(hit), None]
+                earlier[a : a + len(hit)] |= hit.any(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ids[earlier])], names=["id"])
 
     return reducer
@@ -64,12 +65,14 @@ def _closest(min_cosine: float):
         best = np.full(len(q_ids), -2.0)
         pivot = np.zeros(len(q_ids), np.int64)
         for a, b, scores in score_blocks(q, e):
-            scores = np.round(scores, 9)
-            at = scores.argmax(axis=1)
-            top = scores[np.arange(len(scores)), at]
-            better = top > best[a : a + len(scores)]
-            pivot[a : a + len(scores)][better] = e_ids[b + at[better]]
-            best[a : a + len(scores)][better] = top[better]
+            # All that might be closest; of equal cosines (9 decimals) the smaller id.
+            r, c = np.nonzero(scores >= np.maximum(scores.max(axis=1, keepdims=True), min_cosine) - 2 * SLACK)
+            cosine = exact_cosines(q, e, a + r, b + c)
+            order = np.lexsort((c, -np.round(cosine, 9), r))
+            order = order[np.r_[True, np.diff(r[order]) != 0]] if len(order) else order
+            r, c, cosine = r[order], c[order], cosine[order]
+            better = np.round(cosine, 9) > np.round(best[a + r], 9)
+            pivot[a + r[better]], best[a + r[better]] = e_ids[b + c[better]], cosine[better]
         near = best >= min_cosine
         return pa.RecordBatch.from_arrays([pa.array(q_ids[near]), pa.array(pivot[near]), pa.array(best[near])], names=["id", "pivot", "cosine"])
 
@@ -79,9 +82,8 @@ def _closest(min_cosine: float):
 def _links(min_cosine: float):
     def reducer(q_ids, q, q_group, e_ids, e, e_group):
         found = [np.zeros((0, 2), np.int64)]
-        for a, b, scores in score_blocks(q, e):
-            other = q_group[a : a + len(scores), None] != e_group[None, b : b + scores.shape[1]]
-            r, c = np.nonzero((scores >= min_cosine) & other)
+        for a, b, hit in similar_blocks(q, e, min_cosine):
+            r, c = np.nonzero(hit & (q_group[a : a + len(hit), None] != e_group[None, b : b + hit.shape[1]]))
             if len(r):
                 found.append(np.unique(np.c_[q_group[a + r], e_group[b + c]], axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -124,18 +126,7 @@ def linked(index: MultiIndex, clusters: DataFrame) -> DataFrame:
     if links.isEmpty():
         named = clusters.select("id", F.col("pivot").alias("root"))
     else:
-        # Smallest label of the neighbourhood, then of that label, until nothing changes.
-        both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-        labels = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-        while True:
-            seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-            near = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "low").alias("low"))
-            jump = near.join(labels.select(F.col("node").alias("low"), F.col("label").alias("further")), "low")
-            after = materialize(jump.select("node", F.least("low", "further").alias("label"), F.col("label").alias("before")), "labels")
-            changed = not after.where("label <> before").isEmpty()
-            labels = after.select("node", "label")
-            if not changed:
-                break
+        labels = components(links)
         named = clusters.join(labels, F.col("pivot") == F.col("node"), "left").select("id", F.coalesce("label", "pivot").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("first"))
     return named.join(least, "root").select("id", "first")

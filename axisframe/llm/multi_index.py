@@ -31,6 +31,9 @@ from pyspark.sql import functions as F
 
 from axisframe.workspace import materialize, ship_package
 
+#: More than single precision can err in a cosine of unit vectors.
+SLACK = 1e-5
+
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, width: int, order_col: str | None = None) -> DataFrame:
     """(id, vec): the usable vectors (see the module), one an id."""
@@ -123,7 +126,7 @@ class MultiIndex:
     """The index of a table of usable vectors (id, vec)."""
 
     def __init__(
-        self, vectors: DataFrame, width: int, min_cosine: float = 0.85, sample: int = 20_000, least_cells: int = 16, row_cells: int = 16,
+        self, vectors: DataFrame, width: int, min_cosine: float = 0.85, sample: int = 20_000, least_cells: int = 16, row_cells: int = 4,
         unit_rows_: int = 6_000, most_queries: int = 16_384, most_entries: int = 65_536, seed: int = 0,
     ):
         self.spark, self.width, self.min_cosine, self.row_cells = vectors.sparkSession, width, min_cosine, row_cells
@@ -220,13 +223,31 @@ class MultiIndex:
         return both.groupBy("task").applyInArrow(reduce_task, schema)
 
 
-def score_blocks(q: np.ndarray, e: np.ndarray, rows: int = 256, columns: int = 16_384) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Cosines of unit vectors in blocks of bounded size: first row, first column, block."""
+def score_blocks(q: np.ndarray, e: np.ndarray, rows: int = 512, columns: int = 8_192) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Single-precision cosines of unit vectors in blocks of bounded size: first row, first column, block.  They are
+    off by less than ``SLACK``; what lies that near to a limit is computed again in double precision."""
+    q, e = q.astype(np.float32), e.astype(np.float32)
     for a in range(0, len(q), rows):
         for b in range(0, len(e), columns):
             yield a, b, q[a : a + rows] @ e[b : b + columns].T
 
 
+def exact_cosines(q: np.ndarray, e: np.ndarray, r: np.ndarray, c: np.ndarray, step: int = 50_000) -> np.ndarray:
+    """Cosines of the pairs (r, c) in double precision."""
+    parts = [np.einsum("ij,ij->i", q[r[a : a + step]], e[c[a : a + step]]) for a in range(0, len(r), step)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def similar_blocks(q: np.ndarray, e: np.ndarray, min_cosine: float, **size) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Which pairs have a cosine of at least ``min_cosine``, in blocks."""
+    for a, b, scores in score_blocks(q, e, **size):
+        hit = scores >= min_cosine + SLACK
+        r, c = np.nonzero((scores >= min_cosine - SLACK) & ~hit)
+        if len(r):
+            hit[r, c] = exact_cosines(q, e, a + r, b + c) >= min_cosine
+        yield a, b, hit
+
+
 def best_of(query: np.ndarray, entry: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best rows of each query: highest cosine, of equal ones the smaller entry."""
     order = np.lexsort((entry, -cosine, query))
@@ -240,12 +261,14 @@ def _top(k: int, min_cosine: float):
     def reducer(q_ids, q, _q, e_ids, e, _e):
         found: list[tuple[np.ndarray, ...]] = []
         for a, b, scores in score_blocks(q, e):
-            floor = np.full(len(scores), min_cosine - 1e-9)
-            if scores.shape[1] > k + 1:
-                # All that might be among the k best after rounding; one place more, for the row itself.
-                floor = np.maximum(floor, np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)] - 2e-9)
-            r, c = np.nonzero(scores >= floor[:, None])
-            query, entry, cosine = q_ids[a + r], e_ids[b + c], np.round(scores[r, c], 9)
+            hits = scores >= min_cosine - SLACK
+            # Where more than k rows are near: all that might be among the k best, and one for the row itself.
+            many = np.flatnonzero(np.count_nonzero(hits, axis=1) > k + 1)
+            if len(many):
+                part = scores[many]
+                hits[many] &= part >= np.partition(part, -(k + 1), axis=1)[:, -(k + 1), None] - 2 * SLACK
+            r, c = np.nonzero(hits)
+            query, entry, cosine = q_ids[a + r], e_ids[b + c], np.round(exact_cosines(q, e, a + r, b + c), 9)
             use = np.flatnonzero((query != entry) & (cosine >= min_cosine))
             use = use[best_of(query[use], entry[use], cosine[use], k)]
             found.append((query[use], entry[use], cosine[use]))
