@@ -1 +1 @@
-
+"""Scalar conversions between element types."""

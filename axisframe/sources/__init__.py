@@ -1 +1 @@
-
+"""Readers and writers of other formats."""
