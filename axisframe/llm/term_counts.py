@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from axisframe.workspace import fresh_path, remove
 
-#: The count row of the records as such; a term of its own, since real terms are never null in the counts.
-_ALL = F.expr("cast(null as string)")
+#: The term of the row that stands for the records as such; real terms are never null in the counts.
+_ALL = "cast(null as string)"
 _COUNTS = "term string, occurrences long, records long, bucket int"
 
 
@@ -55,7 +55,7 @@ class TermCounts:
         null term stands for the record as such and has n = 0."""
         rows = changed.select(F.col("record").cast("long").alias("record"), F.col("term").cast("string").alias("term")).where(F.col("record").isNotNull())
         per_term = rows.where("term is not null").groupBy("record", "term").agg(F.count("*").alias("n"))
-        return per_term.unionByName(rows.groupBy("record").agg(_ALL.alias("term"), F.lit(0).cast("long").alias("n")))
+        return per_term.unionByName(rows.groupBy("record").agg(F.expr(_ALL).alias("term"), F.lit(0).cast("long").alias("n")))
 
     def deltas(self, new: DataFrame, gone: DataFrame | None) -> DataFrame:
         """(term, occurrences, records): the signed change of the counts when the records of ``new`` get that content
