@@ -233,6 +233,9 @@ class Table:
     def from_pandas(cls, spark: SparkSession, frame: pd.DataFrame) -> Table:
         kept = {c: list(map(str, frame[c].cat.categories)) for c in frame.columns if isinstance(frame[c].dtype, pd.CategoricalDtype)}
         plain = frame.reset_index(drop=True).astype({c: object for c in kept})
+        for c in plain.columns:
+            if plain[c].dtype == object:  # a missing text is null, not a number
+                plain[c] = plain[c].where(plain[c].notna(), None)
         plain.insert(0, "ix", np.arange(len(plain)))
         return cls(spark.createDataFrame(plain) if len(plain) else spark.createDataFrame([], "ix long"), len(frame), kept)
 
