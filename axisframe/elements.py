@@ -58,6 +58,25 @@ class Sparse:
         rows = flat.select("i", F.col(f"e.{names[0]}").cast("long").alias("j"), "p", F.col(f"e.{names[1]}").alias("v"))
         return cls.of(rows, (n_rows, n_cols), order=["p"])
 
+    @classmethod
+    def from_compressed(cls, spark: SparkSession, data, indices, offsets, shape: tuple[int, int], layout: str = "csr") -> Sparse:
+        """From compressed rows or columns.  Offsets must rise from 0 to the number of entries and indices must not fall
+        within a row; equal ones are repeated coordinates."""
+        data, indices, offsets = np.asarray(data), np.asarray(indices), np.asarray(offsets)
+        major_n, minor_n = shape if layout == "csr" else shape[::-1]
+        if len(offsets) != major_n + 1 or offsets[0] != 0 or offsets[-1] != len(data) or (np.diff(offsets) < 0).any() or len(indices) != len(data):
+            raise ShapeError("offsets do not fit the shape and the entries")
+        if len(indices) and (indices.min() < 0 or indices.max() >= minor_n):
+            raise ShapeError("an index lies outside the shape")
+        major = np.repeat(np.arange(major_n), np.diff(offsets))
+        if ((np.diff(indices) < 0) & (np.diff(major) == 0)).any():
+            raise ShapeError("indices fall within a row")
+        rows, cols = (major, indices) if layout == "csr" else (indices, major)
+        table = pd.DataFrame({"i": rows.astype("int64"), "j": cols.astype("int64"), "v": data})
+        table["seq"] = table.groupby(["i", "j"]).cumcount().astype("int64")
+        kind = numpy_dtype(data.dtype)
+        return cls(spark.createDataFrame(table[["i", "j", "seq", "v"]], f"i long, j long, seq long, v {casts.HELD_AS[kind]}"), shape, layout, kind)
+
     @classmethod
     def from_numpy(cls, spark: SparkSession, array, layout: str = "csr") -> Sparse:
         """From a dense numpy array or anything with ``tocoo`` (its repeated coordinates are kept)."""

@@ -45,6 +45,8 @@ class AxisTable:
     varp: Mapping[str, Element] = field(default_factory=dict)
     uns: Mapping[str, Any] = field(default_factory=dict)
     path: str | None = None
+    mode: str = "r+"
+    _open: list[bool] = field(default_factory=lambda: [True], repr=False, compare=False)
 
     def __post_init__(self):
         lengths: list[int | None] = [self.n_obs, self.n_vars]
@@ -155,7 +157,7 @@ class AxisTable:
         for axis, name in enumerate(("obs_index", "var_index")):
             index = getattr(self, name)
             changes[name] = None if index is None else index.select(chosen[axis])
-        return replace(self, n_obs=len(chosen[0]), n_vars=len(chosen[1]), path=None, **changes)
+        return replace(self, n_obs=len(chosen[0]), n_vars=len(chosen[1]), **changes)
 
     def __getitem__(self, what) -> AxisTable:
         obs, var = what if isinstance(what, tuple) else (what, FULL)
@@ -176,9 +178,46 @@ class AxisTable:
         element = getattr(self, slot) if key is None else getattr(self, slot)[key]
         element.df.persist() if on else element.df.unpersist()
 
+    @property
+    def filename(self) -> str | None:
+        return self.path
+
+    @property
+    def backend(self) -> str:
+        return "parquet"
+
+    @property
+    def isbacked(self) -> bool:
+        return self.path is not None
+
+    @property
+    def is_closed(self) -> bool:
+        return not self._open[0]
+
     def close(self) -> None:
+        """Let go of what is kept in memory; the handle cannot be committed any more."""
         for _, element in self.elements():
             element.df.unpersist()
+        self._open[0] = False
+
+    def reopen(self, mode: str = "r") -> AxisTable:
+        """The store's current state."""
+        from axisframe import store
+
+        return store.read(self.spark, self.path, mode)
+
+    def write(self, path: str, slots=SLOTS) -> AxisTable:
+        from axisframe import store
+
+        return store.write(self, path, slots)
+
+    def commit(self) -> AxisTable:
+        """Make this handle the content of the store it was opened from."""
+        from axisframe import store
+
+        if self.path is None or self.mode == "r" or self.is_closed:
+            raise ValueError("only an open handle of a store opened with r+ can be committed")
+        return store.write(self, self.path, mode="commit")
 
     def map_elements(self, change: Callable[[str, Element], Element]) -> AxisTable:
         """A handle with every element replaced by ``change(slot, element)``."""

@@ -184,8 +184,10 @@ def write(table: AxisTable, path: str, slots: tuple[str, ...] | set[str] = SLOTS
     return read(table.spark, path)
 
 
-def read(spark: SparkSession, path: str) -> AxisTable:
-    """Open a snapshot: only the manifest is read; elements are lazy."""
+def read(spark: SparkSession, path: str, mode: str = "r+") -> AxisTable:
+    """Open a snapshot: only the manifest is read; elements are lazy.  A handle opened with mode ``r`` is not committed."""
+    if mode not in ("r", "r+"):
+        raise StoreError(f"mode is r or r+, not {mode!r}")
     files, root = Files(spark, path), path.rstrip("/")
     if not files.exists(MANIFEST):
         raise StoreError(f"no store at {path}")
@@ -199,7 +201,7 @@ def read(spark: SparkSession, path: str) -> AxisTable:
         else:
             slots[slot] = element
     uns = {k: _open_element(spark, root, v) if "path" in v else decode_uns(v) for k, v in data["uns"].items()}
-    return AxisTable(spark, *data["shape"], obs_index=decode_index(data["obs_index"]), var_index=decode_index(data["var_index"]), uns=uns, path=root, **slots)
+    return AxisTable(spark, *data["shape"], obs_index=decode_index(data["obs_index"]), var_index=decode_index(data["var_index"]), uns=uns, path=root, mode=mode, **slots)
 
 
 def create(spark: SparkSession, path: str) -> AxisTable:

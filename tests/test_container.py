@@ -85,6 +85,23 @@ def test_snapshots(spark, full, tmp_path):
         store.read(spark, str(tmp_path / "none"))
 
 
+def test_handles_modes_and_commits(spark, full, tmp_path):
+    local, t = full
+    back = t.write(str(tmp_path / "s"))
+    assert back.isbacked and back.filename == str(tmp_path / "s") and back.backend == "parquet" and not t.isbacked
+    smaller = back.subset(slice(0, 5)).commit()
+    assert smaller.shape == (5, 7) and back.reopen().shape == (5, 7)
+    with pytest.raises(ValueError):
+        back.reopen("r").commit()
+    back.persist("X")
+    back.close()
+    assert back.is_closed
+    with pytest.raises(ValueError):
+        back.commit()
+    with pytest.raises(store.StoreError):
+        store.read(spark, str(tmp_path / "s"), "w")
+
+
 def test_chunks_append_and_roll_back(spark, full, tmp_path):
     local, t = full
     chunks = list(Chunks(t.X, 5))

@@ -46,6 +46,18 @@ def test_repeated_coordinates_are_kept(spark):
     assert x.problems().isEmpty() and x.transpose().shape == (4, 5)
 
 
+def test_compressed_rows(spark):
+    data, indices, offsets = [1, 2, 3, 4, 5, 6, 7], [0, 0, 0, 2, 3, 1, 3], [0, 1, 4, 5, 6, 7]
+    x = Sparse.from_compressed(spark, data, indices, offsets, (5, 4))
+    rows = sorted((r.i, r.j, r.seq, r.v) for r in x.df.collect())
+    assert rows == [(0, 0, 0, 1), (1, 0, 0, 2), (1, 0, 1, 3), (1, 2, 0, 4), (2, 3, 0, 5), (3, 1, 0, 6), (4, 3, 0, 7)]
+    y = Sparse.from_compressed(spark, data, indices, offsets, (4, 5), "csc")
+    assert sorted((r.j, r.i) for r in y.df.collect()) == [(r[0], r[1]) for r in rows]
+    for bad in (([1], [5], [0, 1]), ([1, 2], [2, 1], [0, 2]), ([1], [0], [0, 2])):
+        with pytest.raises(ShapeError):
+            Sparse.from_compressed(spark, *bad, (1, 4))
+
+
 def test_stacks_equal_concatenated_arrays(spark, grid):
     parts = [grid[:5], grid[5:5], grid[5:]]
     for kind in (Sparse, Dense):
