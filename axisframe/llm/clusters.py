@@ -48,11 +48,19 @@ def _has_earlier(min_cosine: float):
         asks = np.argsort(mine)
         q, mine, ids = q[asks], mine[asks], q_ids[asks]
         earlier = np.zeros(len(ids), bool)
+        before = np.searchsorted(theirs, mine)  # entries that come before each query
         for a in range(0, len(q), 512):
-            stop = np.searchsorted(theirs, mine[min(a + 511, len(mine) - 1)])
-            for _, b, hit in similar_blocks(q[a : a + 512], e[:stop], min_cosine):
-                hit &= theirs[None, b : b + hit.shape[1]] < mine[a : a + len(hit), None]
-                earlier[a : a + len(hit)] |= hit.any(axis=1)
+            rows = np.arange(a, min(a + 512, len(q)))
+            for b in range(0, int(before[rows[-1]]), 1024):
+                # A query with an earlier row needs no further comparison.
+                rows = rows[~earlier[rows]]
+                stop = min(b + 1024, int(before[rows[-1]])) if len(rows) else 0
+                if stop <= b:
+                    break
+                for c, d, hit in similar_blocks(q[rows], e[b:stop], min_cosine):
+                    if before[rows[0]] < stop:
+                        hit &= np.arange(b + d, b + d + hit.shape[1]) < before[rows[c : c + len(hit)], None]
+                    earlier[rows[c : c + len(hit)]] |= hit.any(axis=1)
         return pa.RecordBatch.from_arrays([pa.array(ids[earlier])], names=["id"])
 
     return reducer
@@ -81,11 +89,19 @@ def _closest(min_cosine: float):
 
 def _links(min_cosine: float):
     def reducer(q_ids, q, q_group, e_ids, e, e_group):
+        # Both sides by group: the pairs within a group, nearly all hits, are whole rectangles of a block.
+        order = np.argsort(q_group, kind="stable"), np.argsort(e_group, kind="stable")
+        q, q_group, e, e_group = q[order[0]], q_group[order[0]], e[order[1]], e_group[order[1]]
         found = [np.zeros((0, 2), np.int64)]
         for a, b, hit in similar_blocks(q, e, min_cosine):
-            r, c = np.nonzero(hit & (q_group[a : a + len(hit), None] != e_group[None, b : b + hit.shape[1]]))
-            if len(r):
-                found.append(np.unique(np.c_[q_group[a + r], e_group[b + c]], axis=0))
+            mine, theirs = q_group[a : a + len(hit)], e_group[b : b + hit.shape[1]]
+            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+            left, right = np.searchsorted(theirs, mine[first]), np.searchsorted(theirs, mine[first], side="right")
+            for top, bottom, x, y in zip(first, np.r_[first[1:], len(mine)], left, right):
+                hit[top:bottom, x:y] = False
+            if hit.any():
+                r, c = np.nonzero(hit)
+                found.append(np.unique(np.c_[mine[r], theirs[c]], axis=0))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -170,3 +186,13 @@ def describe(index: MultiIndex, clusters: DataFrame, cluster_col: str = "pivot",
     top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= typical)
     lists = top.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda t: t["id"]).alias("typical"))
     return means.select("cluster", "size").join(lists, "cluster").withColumnRenamed("cluster", cluster_col)
+
+
+def describe_by_terms(clusters: DataFrame, terms: DataFrame, cluster_col: str = "first", most: int = 3) -> DataFrame:
+    """(cluster_col, terms): for each cluster of (id, cluster_col) the ``most`` terms that occur in the most of its rows,
+    of equal ones the alphabetically first.  ``terms``: (record, term), a row for each entry."""
+    once = terms.where("term is not null").select(F.col("record").alias("id"), "term").distinct()
+    counted = once.join(clusters, "id").groupBy(cluster_col, "term").agg(F.count("*").alias("n"))
+    best = Window.partitionBy(cluster_col).orderBy(F.desc("n"), "term")
+    top = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= most)
+    return top.groupBy(cluster_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda t: t["term"]).alias("terms"))

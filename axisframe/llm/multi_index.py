@@ -220,7 +220,8 @@ class MultiIndex:
             asks = table["asks"].combine_chunks()
             return pa.Table.from_batches([reducer(*part(asks), *part(pc.invert(asks)))])
 
-        return both.groupBy("task").applyInArrow(reduce_task, schema)
+        # Tasks differ in size; more partitions than cores, and none merged, let them even out.
+        return both.repartition(min(4096, 2 * self.tasks), "task").groupBy("task").applyInArrow(reduce_task, schema)
 
 
 def score_blocks(q: np.ndarray, e: np.ndarray, rows: int = 512, columns: int = 8_192) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -241,9 +242,9 @@ def exact_cosines(q: np.ndarray, e: np.ndarray, r: np.ndarray, c: np.ndarray, st
 def similar_blocks(q: np.ndarray, e: np.ndarray, min_cosine: float, **size) -> Iterator[tuple[int, int, np.ndarray]]:
     """Which pairs have a cosine of at least ``min_cosine``, in blocks."""
     for a, b, scores in score_blocks(q, e, **size):
-        hit = scores >= min_cosine + SLACK
-        r, c = np.nonzero((scores >= min_cosine - SLACK) & ~hit)
-        if len(r):
+        hit, maybe = scores >= min_cosine + SLACK, scores >= min_cosine - SLACK
+        if np.count_nonzero(hit) < np.count_nonzero(maybe):
+            r, c = np.nonzero(hit != maybe)
             hit[r, c] = exact_cosines(q, e, a + r, b + c) >= min_cosine
         yield a, b, hit
 

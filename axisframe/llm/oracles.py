@@ -19,6 +19,19 @@ limits AS (
     min(v) FILTER (WHERE r * 100 >= n * 95) AS p95 FROM ranked GROUP BY j)
 """
 
+#: Exact phrases of twelve words, by joining all windows.
+_LEAKS = r"""
+item_words AS (
+  SELECT item_id, list_transform(regexp_extract_all(regexp_replace(text, '=\r?\n', '', 'g'), '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w
+  FROM heldout_items WHERE text IS NOT NULL),
+doc_words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(regexp_replace(text, '=\r?\n', '', 'g'), '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w
+  FROM documents WHERE text IS NOT NULL),
+item_windows AS (SELECT DISTINCT item_id, w[k:k + 11] AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM item_words WHERE len(w) >= 12)),
+doc_windows AS (SELECT DISTINCT doc_id, w[k:k + 11] AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM doc_words WHERE len(w) >= 12)),
+leaks AS (SELECT DISTINCT doc_id, item_id FROM item_windows JOIN doc_windows USING (p))
+"""
+
 _VECTORS = """
 raw AS (
   SELECT DISTINCT obs_ix AS ix, CAST(vec AS DOUBLE[]) AS v FROM obsm_vectors
@@ -37,5 +50,7 @@ ORACLES: dict[str, str] = {
       SELECT first_ix, member_ix FROM firsts WHERE first_ix < member_ix""",
     "p4_found": f"""WITH {_VECTORS}, best AS (SELECT *, row_number() OVER (PARTITION BY ix ORDER BY c DESC, other) AS r FROM near)
       SELECT DISTINCT least(ix, other) AS ix_a, greatest(ix, other) AS ix_b FROM best WHERE r <= 5""",
+    "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",
+    "p7_items": f"WITH {_LEAKS} SELECT item_id, count(*) AS documents FROM leaks GROUP BY item_id",
     "p5_found": f"WITH {_VALUES} SELECT i, j, seq FROM once JOIN limits USING (j) WHERE v > 4 * p95 OR v * 4 < p5",
 }

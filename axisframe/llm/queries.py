@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm.bpe import encode_corpus
-from axisframe.llm.clusters import describe, linked, pivot_clusters
-from axisframe.llm.multi_index import MultiIndex, similar_pairs, usable_vectors
+from axisframe.llm.clusters import describe, describe_by_terms, linked, pivot_clusters
+from axisframe.llm.multi_index import MultiIndex, neighbours, similar_pairs, usable_vectors
 from axisframe.llm.percentiles import bounds, merge, outlying_entries, summarize
 from axisframe.llm.positional_index import leaked
-from axisframe.llm.shared_spans import shared_spans
-from axisframe.llm.term_counts import TermCounts, counts_of_entries, rare_and_common
+from axisframe.llm.shared_spans import shared_spans, shares
+from axisframe.llm.term_counts import TermCounts, counts_of_entries, entry_terms, rare_and_common
+from axisframe.workspace import materialize
 
 #: Where the public vocabularies lie; a parameter of every operator that uses one.
 TOKENIZERS = "/opt/tokenizers"
@@ -49,16 +50,23 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cluster with its size and its three most typical rows."""
+    """Every cluster with its size, its three most typical rows, and the names that most of its rows have entries for."""
     index = embedded(spark, sf_dir)
-    sets = linked(index, pivot_clusters(index))
-    return describe(index, sets, "first").withColumnRenamed("first", "first_ix")
+    sets = materialize(linked(index, pivot_clusters(index)), "clusters")
+    names = describe_by_terms(sets, entry_terms(table(spark, sf_dir, "x_entries"), table(spark, sf_dir, "var_lines")))
+    return describe(index, sets, "first").join(names, "first", "left").withColumnRenamed("first", "first_ix")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(embedded(spark, sf_dir), k=5)
 
 
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows, however far, of the stated query set (ids divisible by 50) against all rows."""
+    index = embedded(spark, sf_dir)
+    return neighbours(index, 5, min_cosine=-1.0, queries=index.rows.where("id % 50 = 0"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlying_entries(table(spark, sf_dir, "x_entries"))
 
@@ -80,10 +88,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"), width=12)
 
 
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("documents"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), span=200)
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of each document is shared with another."""
+    documents = table(spark, sf_dir, "documents")
+    return shares(documents, shared_spans(documents, span=200))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_clusters, p4_found, p5_found, p5_bounds, p6_ids, p7_found, p8_found)
+    f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_clusters, p4_found, p4_nearest, p5_found, p5_bounds, p6_ids, p7_found, p7_items, p8_found, p8_shares)
 }

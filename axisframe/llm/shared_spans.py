@@ -301,6 +301,15 @@ def shared_spans(
     return _united(reduce(DataFrame.unionByName, parts)).select(F.col("id").alias(id_col), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 
+def shares(df: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, chars, shared, share): how much of each text lies in its spans; null and empty texts share 0 of 0.  Rows
+    that repeat an id are taken for one text (the longest)."""
+    sizes = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias(id_col)).agg(F.max(F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0))).cast("long").alias("chars"))
+    marked = spans.groupBy(id_col).agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
+    out = sizes.join(marked, id_col, "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    return out.withColumn("share", F.when(F.col("chars") > 0, F.col("shared") / F.col("chars")).otherwise(0.0))
+
+
 def _by_window(rows: DataFrame, span: int) -> DataFrame:
     """The same grouping for hot keys: one row a window, aggregated on both sides of the shuffle."""
 
