@@ -148,7 +148,8 @@ class MultiIndex:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), batch.column(1)], names=["id", "cell", "vec"])
 
         self.rows = materialize(vectors.mapInArrow(assign, "id long, cell int, vec array<float>"), "cells")
-        cells = self.rows.groupBy("cell").count().toArrow()
+        # Sorted, so that the same rows always give the same units.
+        cells = self.rows.groupBy("cell").count().toArrow().sort_by("cell")
         self._route(cells["cell"].to_numpy(), cells["count"].to_numpy(), least_cells, unit_rows_, most_queries, most_entries, rng)
 
     def _route(self, cells, counts, least_cells, unit_size, most_queries, most_entries, rng) -> None:

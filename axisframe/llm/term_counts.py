@@ -1,13 +1,14 @@
 """Frequency of every term over a collection of records, kept up to date by signed deltas.
 
-The store holds two partitioned tables: what each record contributes (record, term, n), and the counts per term
+The store holds two tables in hash buckets: what each record contributes (record, term, n), and the counts per term
 (term, occurrences, records).  A change set names records that were added, changed or deleted, with their full new
 content.  Only those records are aggregated: their old contributions count minus, their new ones plus; the deltas per
-term, small against the counts, are merged into them.  Both tables are split into buckets by hash; each apply writes a
-new version of the counts and of the record buckets, and switches to it at the end, so a failed apply changes nothing.
+term, small against the counts, are merged into them.  Only the buckets that a change set touches are read and written
+again; a small JSON state names the version of each bucket and is replaced at the end, so a failed apply changes
+nothing and a store can be opened again by its path.
 
-Aggregation is by (record, term), then by term, each with partial sums before its shuffle: a term in a third of all
-entries is no hot spot.
+Aggregation is by (record, term), then by term, each with partial sums before its shuffle, and buckets are written
+rebalanced, so neither a term in a third of all entries nor a large bucket is a hot spot.
 
 Defined cases: a null term counts for no term, its record still counts as a record; a null record is left out; a record
 that appears in a change set without content is deleted, or was never there; repeated rows are repeated occurrences; an
@@ -16,39 +17,50 @@ empty change set changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe.workspace import fresh_path, remove
+from axisframe.store import Files
+from axisframe.workspace import fresh_path
 
 #: The term of the row that stands for the records as such; real terms are never null in the counts.
 _ALL = "cast(null as string)"
-_COUNTS = "term string, occurrences long, records long, bucket int"
+_SCHEMAS = {"records": "record long, term string, n long", "counts": "term string, occurrences long, records long"}
+_STATE = "state.json"
 
 
 class TermCounts:
     """Persistent counts under ``path`` (by default in the session's shared folder)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or fresh_path(spark, "term_counts"), buckets
-        self.version = 0
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.version:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v{self.version}")
-
-    def _contributions(self) -> DataFrame:
-        return self._read("records", "record long, term string, n long, bucket int")
+        self.spark, self.path = spark, path or fresh_path(spark, "term_counts")
+        self.files = Files(spark, self.path)
+        known = json.loads(self.files.read(_STATE)) if self.files.exists(_STATE) else {"buckets": buckets, "version": 0, "records": {}, "counts": {}}
+        self.buckets, self.version = known["buckets"], known["version"]
+        #: For each table the version of each bucket that is not empty.
+        self.current: dict[str, dict[str, int]] = {name: known[name] for name in ("records", "counts")}
+
+    def _read(self, name: str, only: set[int] | None = None) -> DataFrame:
+        """A table, or some buckets of it."""
+        found = [f"{self.path}/{name}/v{v}/bucket={b}" for b, v in self.current[name].items() if only is None or int(b) in only]
+        return self.spark.read.schema(_SCHEMAS[name]).parquet(*found) if found else self.spark.createDataFrame([], _SCHEMAS[name])
 
     def counts(self) -> DataFrame:
         """(term, occurrences, records) of every term that occurs."""
-        return self._read("counts", _COUNTS).where("term is not null").drop("bucket")
+        return self._read("counts").where("term is not null")
 
     def record_count(self) -> int:
-        row = self._read("counts", _COUNTS).where("term is null").first()
+        row = self._read("counts").where("term is null").first()
         return row.records if row else 0
 
+    def _bucket(self, column: str) -> Column:
+        return F.pmod(F.hash(column), F.lit(self.buckets)).alias("bucket")
+
+    def _touched(self, df: DataFrame, column: str) -> set[int]:
+        return {r.bucket for r in df.select(self._bucket(column)).distinct().collect()}
+
     @staticmethod
     def contributions(changed: DataFrame) -> DataFrame:
         """(record, term, n) of changed records, given as (record, term) with a row for each occurrence; the row of the
@@ -57,39 +69,46 @@ class TermCounts:
         per_term = rows.where("term is not null").groupBy("record", "term").agg(F.count("*").alias("n"))
         return per_term.unionByName(rows.groupBy("record").agg(F.expr(_ALL).alias("term"), F.lit(0).cast("long").alias("n")))
 
-    def deltas(self, new: DataFrame, gone: DataFrame | None) -> DataFrame:
-        """(term, occurrences, records): the signed change of the counts when the records of ``new`` get that content
-        and the other records of ``gone`` are deleted."""
+    @staticmethod
+    def deltas(new: DataFrame, old: DataFrame) -> DataFrame:
+        """(term, occurrences, records): the signed change of the counts when contributions ``old`` give way to ``new``."""
         signed = new.select("term", F.col("n").alias("occurrences"), F.lit(1).alias("records"))
-        if gone is not None and self.version:
-            old = self._contributions().join(gone, "record", "left_semi")
-            signed = signed.unionByName(old.select("term", (-F.col("n")).alias("occurrences"), F.lit(-1).alias("records")))
+        signed = signed.unionByName(old.select("term", (-F.col("n")).alias("occurrences"), F.lit(-1).alias("records")))
         return signed.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").cast("long").alias("records"))
 
     def apply(self, changed: DataFrame, deleted: DataFrame | None = None) -> None:
         """Merge a change set into the store.  ``changed``: (record, term), the full new content of every added or
         changed record; ``deleted``: (record)."""
-        step, after = f"{self.path}/step{self.version + 1}", self.version + 1
-        self.contributions(changed).write.option("compression", "zstd").parquet(step)
-        new = self.spark.read.schema("record long, term string, n long").parquet(step)
-        gone = None
-        if self.version:
-            gone = new.where("term is null").select("record")
-            if deleted is not None:
-                gone = gone.unionByName(deleted.select(F.col("record").cast("long").alias("record"))).distinct()
-        merged = self._read("counts", _COUNTS).select("term", "occurrences", "records").unionByName(self.deltas(new, gone))
-        merged = merged.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
-        records = new
-        if self.version:
-            records = records.unionByName(self._contributions().drop("bucket").join(gone, "record", "left_anti"))
-        for name, table, key in (("records", records, "record"), ("counts", merged, "term")):
-            bucketed = table.withColumn("bucket", F.pmod(F.hash(key), F.lit(self.buckets)))
-            bucketed.repartition("bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/v{after}")
-        before, self.version = self.version, after
-        remove(self.spark, step)
-        if before:
-            for name in ("records", "counts"):
-                remove(self.spark, f"{self.path}/{name}/v{before}")
+        after = self.version + 1
+        step = f"{self.path}/step{after}"
+
+        def kept(df: DataFrame, name: str, schema: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(f"{step}/{name}")
+            return self.spark.read.schema(schema).parquet(f"{step}/{name}")
+
+        new = kept(self.contributions(changed), "new", _SCHEMAS["records"])
+        gone = new.where("term is null").select("record")
+        if deleted is not None:
+            gone = gone.unionByName(deleted.select(F.col("record").cast("long").alias("record")).where("record is not null"))
+        gone = gone.distinct()
+        in_records = self._touched(gone, "record")
+        stored = self._read("records", in_records)
+        delta = kept(self.deltas(new, stored.join(gone, "record", "left_semi")).where("occurrences <> 0 or records <> 0"), "delta", _SCHEMAS["counts"])
+        in_counts = self._touched(delta, "term")
+        merged = self._read("counts", in_counts).unionByName(delta).groupBy("term")
+        merged = merged.agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("records > 0")
+        records = stored.join(gone, "record", "left_anti").unionByName(new)
+        following, outdated = {}, []
+        for name, table, key, touched in (("records", records, "record", in_records), ("counts", merged, "term", in_counts)):
+            bucketed = table.withColumn("bucket", self._bucket(key))
+            bucketed.hint("rebalance", "bucket").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{name}/v{after}")
+            written = {x.removeprefix("bucket=") for x in self.files.list(f"{name}/v{after}") if x.startswith("bucket=")}
+            outdated += [f"{name}/v{v}/bucket={b}" for b, v in self.current[name].items() if int(b) in touched]
+            following[name] = {b: v for b, v in self.current[name].items() if int(b) not in touched} | {b: after for b in written}
+        self.files.write(_STATE, json.dumps({"buckets": self.buckets, "version": after} | following))
+        self.version, self.current = after, following
+        for path in (f"step{after}", *outdated):
+            self.files.delete(path)
 
 
 def variable_names(lines: DataFrame) -> DataFrame:

@@ -46,7 +46,15 @@ def test_random_change_sets(spark, tmp_path):
         content = {r: t for r, t in (content | changed).items() if r not in deleted}
         flat = pd.DataFrame([(r, t) for r, ts in content.items() for t in ts], columns=["r", "t"])
         want = {t: (len(g), g.r.nunique()) for t, g in flat.groupby("t")}
-        assert state(store) == (want, len(content))
+        assert state(store) == (want, len(content)) == state(TermCounts(spark, str(tmp_path / "t")))
+
+
+def test_only_touched_buckets_are_written_again(spark, tmp_path):
+    store = TermCounts(spark, str(tmp_path / "t"), buckets=16)
+    store.apply(frame(spark, [(n, f"w{n}") for n in range(100)]))
+    store.apply(frame(spark, [(5, "w5"), (5, "more")]))
+    assert list(store.current["records"].values()).count(2) == 1 and list(store.current["counts"].values()).count(2) <= 2
+    assert state(store)[0]["more"] == (1, 1) and len(state(store)[0]) == 101
 
 
 def test_names_marks_and_redelivered_entries(spark):
