@@ -10,6 +10,7 @@ ENCODINGS = {
     "categorical": "categorical", "nullable-integer": "nullable", "nullable-boolean": "nullable", "dict": "mapping",
     "string": "scalar", "numeric-scalar": "scalar",
 }
+#: The library and the file extensions of each format.
 _LIBRARIES = {"hdf5": "h5py", "zarr": "zarr"}
 _EXTENSIONS = {".h5ad": "hdf5", ".h5": "hdf5", ".hdf5": "hdf5", ".zarr": "zarr"}
 
