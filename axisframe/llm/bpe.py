@@ -13,6 +13,7 @@ empty table.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -171,6 +172,19 @@ def encode_texts(texts: pa.Array, table: np.ndarray, m: Merges) -> tuple[np.ndar
     return ids[spread(id_starts[use], sizes)], np.r_[0, np.cumsum(sizes)][per_text]
 
 
+_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+
+
+def safe_parts(text: str, most: int) -> list[str]:
+    """A long text in parts of about ``most`` characters whose ids, one after another, are those of the whole: cut before
+    single spaces between letters, where a word always begins."""
+    parts, start = [], 0
+    while len(text) - start > most and (cut := _CUT.search(text, start + most)):
+        parts.append(text[start : cut.start()])
+        start = cut.start()
+    return [*parts, text[start:]]
+
+
 def encode_corpus(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """(id_col, ids): the token ids of every text, without special tokens.  One narrow pass, no shuffle; the
     vocabulary and the table of character classes (of fixed size, under 3 MB) is broadcast, so executors need no file."""
@@ -182,7 +196,12 @@ def encode_corpus(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_c
         for batch in batches:
             for a, b in blocks(batch.column(1), block_bytes):
                 part = batch.slice(a, b - a)
-                ids, starts = encode_texts(part.column(1), table, m)
+                texts = part.column(1)
+                if b - a == 1 and texts[0].is_valid and len(text := texts[0].as_py()) > block_bytes:
+                    ids = np.concatenate([encode_texts(pa.array([x]), table, m)[0] for x in safe_parts(text, block_bytes)])
+                    starts = np.array([0, len(ids)])
+                else:
+                    ids, starts = encode_texts(texts, table, m)
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
 

@@ -229,7 +229,7 @@ def shared_windows(slices: list[str], ids: np.ndarray, span: int, rolls: tuple[R
 
 def shared_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64,
-    depth: int = 2, bits: int | None = None, hot: int = 20_000,
+    depth: int = 2, bits: int | None = None, hot: int = 5_000,
 ) -> DataFrame:
     """(id_col, span_start, span_end): the largest runs of characters that lie in a stretch of at least ``span``
     characters which stands verbatim under another id too.  ``id_col`` must be integral.

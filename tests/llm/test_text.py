@@ -41,6 +41,16 @@ def test_ids_equal_those_of_the_public_library(spark):
         assert got[n] == (whole.encode(t, add_special_tokens=False).ids if t else []), t[:40]
 
 
+@pytest.mark.skipif(not os.path.exists(VOCAB), reason="no public vocabulary here")
+def test_long_texts_in_parts_have_the_same_ids(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice(["a", "b ", " c", "  ", "\n", "'s", "1", "é ", "x y z "]) for _ in range(3000))
+    parts = bpe.safe_parts(text, 40)
+    assert len(parts) > 50 and "".join(parts) == text
+    whole, cut = (bpe.encode_corpus(docs(spark, [(1, text), (2, "a b"), (3, "-" * 300)]), VOCAB, block_bytes=n).collect() for n in (10**6, 40))
+    assert {r.doc_id: list(r.ids) for r in whole} == {r.doc_id: list(r.ids) for r in cut}
+
+
 @pytest.mark.skipif(not os.path.exists(VOCAB), reason="no public vocabulary here")
 def test_encoding_of_empty_tables_and_repeated_rows(spark):
     assert bpe.encode_corpus(docs(spark, []), VOCAB).isEmpty()
