@@ -52,7 +52,7 @@ def _ranks(percentiles: list[float], n: Column) -> Column:
 
 
 def exact(
-    df: DataFrame, group: str, value: str, percentiles: list[float], ways: int = 64, broadcast_rows: int = 200_000
+    df: DataFrame, group: str, value: str, percentiles: list[float], ways: int = 256, broadcast_rows: int = 200_000
 ) -> DataFrame:
     """(group, p, percentile, n): exact percentiles, by the rule of :func:`_ranks`."""
     number = F.col(value).cast("double")
