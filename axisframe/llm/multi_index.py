@@ -4,9 +4,14 @@ Vectors are scaled to unit length and cut into two halves; each half has its own
 (``sample`` rows, taken by hash of the id).  Every row lies in the cell of its two nearest centroids.  A search from a
 cell visits the occupied cells in the order of the summed distances of their centroid pairs, by a heap over the two
 sorted distance lists: at least ``least_cells`` of them, and all whose centroids lie within the searched radius.  The
-entries of the visited cells are then compared exactly, in double precision.
+entries of the visited cells are then compared exactly, in double precision.  A row also asks the units of the
+``row_cells`` cells nearest to itself, where its cell does not visit them anyway.  This is approximate, and serves only
+searches below the index's ``min_cosine``.
 
-A row also asks the units of the ``row_cells`` cells nearest to itself, where its cell does not visit them anyway.
+Searches with at least ``min_cosine`` are exact (:class:`Cores`): a row within ``CORE`` of its cell's mean direction
+belongs to the cell's core.  By the triangle inequality a core can hold a row similar to x only if its mean lies within
+CORE + arccos(min_cosine) of x, so each row visits every unit with such a core; the rows in no core are all compared
+with one another.
 
 In the plan, neighbouring cells share a *unit*; each unit gets its queries and the entries of all cells that its cells
 visit, so a row is copied to the few units around it.  Units with many queries or entries are cut into parts of bounded
@@ -33,6 +38,8 @@ from axisframe.workspace import materialize, ship_package
 
 #: More than single precision can err in a cosine of unit vectors.
 SLACK = 1e-5
+#: Angle from a cell's mean direction within which its rows form a core; cells of fewer rows than CORE_ROWS have none.
+CORE, CORE_ROWS = 0.4, 8
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, width: int, order_col: str | None = None) -> DataFrame:
@@ -121,12 +128,58 @@ class Routing:
         best = np.argpartition(total, min(count, total.shape[1]) - 1, axis=1)[:, :count]
         return np.where(np.isfinite(np.take_along_axis(total, best, 1)), np.take_along_axis(cells, best, 1), -1)
 
+    def targets(self, x: np.ndarray, cells: np.ndarray, is_query: bool, row_cells: int) -> list:
+        """The units of each row."""
+        if not is_query:
+            return [self.visited_by.get(c, ()) for c in cells.tolist()]
+        out = [{self.unit[c]} for c in cells.tolist()]
+        for units, home, near in zip(out, cells.tolist(), self.nearest_cells(x, row_cells).tolist()):
+            units.update(self.unit[c] for c in near if c >= 0 and self.unit[home] not in self.visited_by[c])
+        return out
+
+
+@dataclass
+class Cores:
+    """Where rows go in a search with a least cosine, such that every similar pair meets: a core row asks in its unit
+    alone, which every row visits that may be similar to one of its cores; a row of no core asks in the units it visits
+    and in the last unit, where the rows of no core are."""
+
+    core: np.ndarray  # of each cell, -1 where it has none
+    means: np.ndarray  # of each core, by unit
+    unit: np.ndarray  # of each core
+    first: np.ndarray  # each unit's first core
+    reach: float  # the least cosine to a core's mean with which a row visits it
+    query_parts: list[int]
+    entry_parts: list[int]
+    first_task: list[int]
+
+    def masks(self, x: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """First row, and in which units rows ask and in which they are entries, in blocks of bounded size."""
+        last, means = len(self.first), self.means.astype(np.float32)
+        step = max(1, (1 << 22) // max(len(means), 1))
+        for a in range(0, len(x), step):
+            part, core = x[a : a + step], self.core[cells[a : a + step]]
+            entry = np.zeros((len(part), last + 1), bool)
+            home = np.full(len(part), last)
+            if last:
+                entry[:, :last] = np.logical_or.reduceat(part.astype(np.float32) @ means.T >= self.reach, self.first, axis=1)
+                inside = (core >= 0) & (np.einsum("ij,ij->i", part, self.means[core]) >= np.cos(CORE))
+                home[inside] = self.unit[core[inside]]
+            query = entry & (home == last)[:, None]
+            rows = np.arange(len(part))
+            query[rows, home] = entry[rows, home] = True
+            yield a, query, entry
+
+    def targets(self, x: np.ndarray, cells: np.ndarray, is_query: bool, row_cells: int) -> list:
+        """The units of each row."""
+        return [np.flatnonzero(row).tolist() for _, query, entry in self.masks(x, cells) for row in (query if is_query else entry)]
+
 
 class MultiIndex:
     """The index of a table of usable vectors (id, vec)."""
 
     def __init__(
-        self, vectors: DataFrame, width: int, min_cosine: float = 0.85, sample: int = 20_000, least_cells: int = 16, row_cells: int = 4,
+        self, vectors: DataFrame, width: int, min_cosine: float = 0.85, sample: int = 20_000, least_cells: int = 16, row_cells: int = 16,
         unit_rows_: int = 6_000, most_queries: int = 16_384, most_entries: int = 65_536, seed: int = 0,
     ):
         self.spark, self.width, self.min_cosine, self.row_cells = vectors.sparkSession, width, min_cosine, row_cells
@@ -150,9 +203,70 @@ class MultiIndex:
         self.rows = materialize(vectors.mapInArrow(assign, "id long, cell int, vec array<float>"), "cells")
         # Sorted, so that the same rows always give the same units.
         cells = self.rows.groupBy("cell").count().toArrow().sort_by("cell")
-        self._route(cells["cell"].to_numpy(), cells["count"].to_numpy(), least_cells, unit_rows_, most_queries, most_entries, rng)
+        self._cells, self._limits, self._seed, self._nearest = (cells["cell"].to_numpy(), cells["count"].to_numpy()), (unit_rows_, most_queries, most_entries), seed, None
+        self.least_cells = least_cells
+        self._route_cores(*self._cells, *self._limits, rng)
+
+    @staticmethod
+    def _cut(queries: np.ndarray, entries: np.ndarray, most_queries: int, most_entries: int) -> tuple[list[int], list[int], list[int]]:
+        """Parts of each unit's queries and entries, and each unit's first task."""
+        parts = [np.maximum(1, -(-queries // most_queries)), np.maximum(1, -(-entries // most_entries))]
+        return parts[0].tolist(), parts[1].tolist(), np.r_[0, np.cumsum(parts[0] * parts[1])].tolist()
 
-    def _route(self, cells, counts, least_cells, unit_size, most_queries, most_entries, rng) -> None:
+    def _route_cores(self, cells, counts, unit_size, most_queries, most_entries, rng) -> None:
+        width, large = self.width, counts >= CORE_ROWS
+        core = np.full(len(self.halves[0]) * len(self.halves[1]), -1)
+        core[cells[large]] = np.arange(large.sum())
+        number = self.spark.sparkContext.broadcast(core)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = number.value[batch.column(0).to_numpy()]
+                use = np.flatnonzero(at >= 0)
+                if len(use):
+                    names, place = np.unique(at[use], return_inverse=True)
+                    total = np.zeros((len(names), width))
+                    np.add.at(total, place, unit_rows(batch.column(1), width)[use])
+                    flat = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), width).cast(pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(names), flat], names=["core", "s"])
+
+        part = self.rows.select("cell", "vec").mapInArrow(sums, "core long, s array<double>")
+        whole = part.groupBy("core").agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(width)]).toArrow().sort_by("core")
+        means = np.stack([whole[f"s{k}"].to_numpy() for k in range(width)], axis=1)
+        means /= np.maximum(np.sqrt((means * means).sum(1, keepdims=True)), 1e-12)
+        unit = np.zeros(len(means), int)
+        units = min(4096, len(means), -(-int(counts[large].sum()) // unit_size))
+        if units > 1:
+            unit = np.unique(_squared(means, _means(means, units, 10, rng, counts[large].astype(float))).argmin(1), return_inverse=True)[1]
+        order = np.argsort(unit, kind="stable")
+        core[cells[large]] = np.argsort(order)
+        means, unit = means[order], unit[order]
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.zeros(0, int)
+        reach = np.cos(min(np.pi, CORE + np.arccos(np.clip(self.min_cosine, -1, 1)))) - SLACK
+        routing = Cores(core, means, unit, first, float(reach), [], [], [])
+        shared = self.spark.sparkContext.broadcast(routing)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, len(shared.value.first) + 1), np.int64)
+            for batch in batches:
+                for _, query, entry in shared.value.masks(unit_rows(batch.column(1), width), batch.column(0).to_numpy()):
+                    total += [query.sum(0), entry.sum(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), pa.array(total[0]), pa.array(total[1])], names=["unit", "q", "e"])
+
+        sizes = self.rows.select("cell", "vec").mapInArrow(count, "unit long, q long, e long").groupBy("unit").agg(F.sum("q").alias("q"), F.sum("e").alias("e")).toArrow()
+        queries, entries = np.zeros(len(first) + 1, np.int64), np.zeros(len(first) + 1, np.int64)
+        queries[sizes["unit"].to_numpy()], entries[sizes["unit"].to_numpy()] = sizes["q"].to_numpy(), sizes["e"].to_numpy()
+        routing.query_parts, routing.entry_parts, routing.first_task = self._cut(queries, entries, most_queries, most_entries)
+        self.tasks, self.copies = routing.first_task[-1], float(entries.sum() / max(counts.sum(), 1))
+        self.routing = self.spark.sparkContext.broadcast(routing)
+
+    def _nearest_routing(self):
+        """The routing of approximate searches, made when first needed."""
+        if self._nearest is None:
+            self._nearest = self._route(*self._cells, self.least_cells, *self._limits, np.random.default_rng(self._seed))
+        return self._nearest
+
+    def _route(self, cells, counts, least_cells, unit_size, most_queries, most_entries, rng):
         one, two = self.halves
         distances = [(d, np.argsort(d, axis=1)) for d in (_squared(one, one), _squared(two, two))]
         occupied = set(cells.tolist())
@@ -172,31 +286,28 @@ class MultiIndex:
                 if unit[cell] not in visited.setdefault(other, set()):
                     visited[other].add(unit[cell])
                     entries[unit[cell]] += size[other]
-        parts = [np.maximum(1, -(-queries // most_queries)), np.maximum(1, -(-entries // most_entries))]
-        first = np.r_[0, np.cumsum(parts[0] * parts[1])]
         there = np.zeros(len(one) * len(two), bool)
         there[cells] = True
-        routing = Routing(unit, {c: sorted(u) for c, u in visited.items()}, parts[0].tolist(), parts[1].tolist(), first.tolist(), self.halves, there)
-        self.tasks, self.copies = int(first[-1]), float(entries.sum() / max(counts.sum(), 1))
-        self.routing = self.spark.sparkContext.broadcast(routing)
+        routing = Routing(unit, {c: sorted(u) for c, u in visited.items()}, *self._cut(queries, entries, most_queries, most_entries), self.halves, there)
+        return self.spark.sparkContext.broadcast(routing)
 
-    def scan(self, queries: DataFrame, entries: DataFrame, reducer: Callable, schema: str, extra: str | None = None) -> DataFrame:
+    def scan(self, queries: DataFrame, entries: DataFrame, reducer: Callable, schema: str, extra: str | None = None, exact: bool = True) -> DataFrame:
         """Apply ``reducer`` to each task's queries and entries, both given as rows of the index (id, cell, vec and, if
         named, a long column ``extra``).  The reducer gets ids, unit vectors and extras of the queries, then those of the
-        entries, and gives the columns of ``schema``."""
-        routing, width, row_cells = self.routing, self.width, self.row_cells
+        entries, and gives the columns of ``schema``.  With ``exact`` every pair with a cosine of at least the index's
+        ``min_cosine`` meets in a task; without, the pairs of nearby cells do."""
+        routing, width, row_cells = self.routing if exact else self._nearest_routing(), self.width, self.row_cells
+        tasks = routing.value.first_task[-1]
 
         def side(is_query: bool):
             def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = routing.value
                 for batch in batches:
                     at, task = [], []
-                    own_cells = r.nearest_cells(unit_rows(batch.column(2), width), row_cells).tolist() if is_query and len(batch) else None
-                    for n, (i, cell) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                        units = r.visited_by.get(cell, ())
-                        if is_query:
-                            units = {r.unit[cell]}
-                            units.update(r.unit[c] for c in own_cells[n] if c >= 0 and r.unit[cell] not in r.visited_by[c])
+                    if not len(batch):
+                        continue
+                    there = r.targets(unit_rows(batch.column(2), width), batch.column(1).to_numpy(), is_query, row_cells)
+                    for n, (i, units) in enumerate(zip(batch.column(0).to_pylist(), there)):
                         for unit in units:
                             qs, es = r.query_parts[unit], r.entry_parts[unit]
                             own = hash((i, 1)) % (qs if is_query else es)
@@ -222,7 +333,7 @@ class MultiIndex:
             return pa.Table.from_batches([reducer(*part(asks), *part(pc.invert(asks)))])
 
         # Tasks differ in size; more partitions than cores, and none merged, let them even out.
-        return both.repartition(min(4096, 2 * self.tasks), "task").groupBy("task").applyInArrow(reduce_task, schema)
+        return both.repartition(min(4096, 2 * tasks), "task").groupBy("task").applyInArrow(reduce_task, schema)
 
 
 def score_blocks(q: np.ndarray, e: np.ndarray, rows: int = 512, columns: int = 8_192) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -283,10 +394,11 @@ def _top(k: int, min_cosine: float):
 
 def neighbours(index: MultiIndex, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(query, entry, cosine, place): for every row (or those of ``queries``, rows of the index) the k most similar other
-    rows with a cosine of at least ``min_cosine``, rounded to 9 decimals; of equal ones the smaller id first.  A row
-    whose visited cells hold fewer gets fewer."""
+    rows with a cosine of at least ``min_cosine``, rounded to 9 decimals; of equal ones the smaller id first.  Exact
+    from the index's ``min_cosine`` on; below it only nearby cells are searched, and a row whose visited cells hold fewer
+    gets fewer."""
     least = index.min_cosine if min_cosine is None else min_cosine
-    found = index.scan(index.rows if queries is None else queries, index.rows, _top(k, least), "query long, entry long, cosine double")
+    found = index.scan(index.rows if queries is None else queries, index.rows, _top(k, least), "query long, entry long, cosine double", exact=least >= index.min_cosine)
     # Two units may both have compared a pair.
     found = found.repartition("query").groupBy("query", "entry").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "entry")

@@ -177,6 +177,21 @@ def test_recall_of_all_nearest_vectors(spark):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_similar_pairs_far_from_their_centroids(spark):
+    """No pair is lost, however the rows lie about the centroids."""
+    rng = np.random.default_rng(11)
+    v = (rng.normal(size=(1500, 5)) @ rng.normal(size=(5, 16))).astype("float32")
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "ix long, vec array<float>")
+    index = multi_index.MultiIndex(multi_index.usable_vectors(df, "ix", "vec", 16), 16, sample=60, unit_rows_=50, most_queries=70, most_entries=90)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cosine = np.round(u @ u.T, 9)
+    np.fill_diagonal(cosine, -2)
+    got = {(r.query, r.entry) for r in multi_index.neighbours(index, 1500).collect()}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(cosine >= 0.85))}
+    united = clusters.linked(index, clusters.pivot_clusters(index))
+    assert {r.id: r.first for r in united.collect()} == components_of(np.arange(len(v)), cosine)
+
+
 def components_of(ids, cosine):
     label = {i: i for i in ids.tolist()}
 
