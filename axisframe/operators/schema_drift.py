@@ -27,11 +27,16 @@ _KIND = """case
   when kind rlike '^(DECIMAL|DOUBLE|FLOAT)' then 'decimal' when kind rlike '^OBJECT' then 'object' else 'array' end"""
 
 
+def last_records(records: DataFrame) -> DataFrame:
+    """(file_id, row_no, obs_name, payload): each record once, as loaded last."""
+    last = F.max(F.struct("loaded_at", "payload", "obs_name")).alias("r")
+    return records.groupBy("file_id", "row_no").agg(last).select("file_id", "row_no", "r.obs_name", "r.payload")
+
+
 def tagged_values(records: DataFrame) -> DataFrame:
     """(file_id, row_no, obs_name, column, type, text): the non-null values of each record once, with their types; equal
     values of one type have equal texts."""
-    last = F.max(F.struct("loaded_at", "payload", "obs_name")).alias("r")
-    rows = records.groupBy("file_id", "row_no").agg(last).select("file_id", "row_no", "r.obs_name", F.expr("try_parse_json(r.payload)").alias("v"))
+    rows = last_records(records).select("file_id", "row_no", "obs_name", F.expr("try_parse_json(payload)").alias("v"))
     cells = rows.where("v is not null").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("column"), "value"))
     cells = cells.where("column is not null").withColumn("kind", F.expr("schema_of_variant(value)")).where("kind <> 'VOID'")
     raw = F.expr("cast(value as string)")
@@ -108,7 +113,8 @@ def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
     ``column`` is the name in the file, ``name`` the one name of all columns of the series that renames connect (the
     smallest).  Each value stands in the branch of its own type; ``canonical`` is its conversion to ``canonical_type``,
     the most frequent type of that name in the series (decimal where integers and decimals are the two most frequent),
-    as text, null where it cannot be converted.
+    as text, null where it cannot be converted.  Every record is in the table: one without a value in a listed column has
+    a single row, with nulls from ``column`` on.  Files without a series form one series, the null one.
     """
     listed = materialize(listed_files(files), "files")
     values = materialize(tagged_values(records), "tagged_values")
@@ -130,18 +136,28 @@ def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
         .otherwise(F.col("text"))
     )
     other = F.when(~F.col("type").isin("boolean", "integer", "decimal"), F.col("text")).alias("as_string")
-    return cells.join(main, ["series_id", "name"]).select(
+    main = main.select(F.col("series_id").alias("main_series"), F.col("name").alias("main_name"), "canonical_type")
+    table = cells.join(main, F.col("series_id").eqNullSafe(F.col("main_series")) & (F.col("name") == F.col("main_name"))).select(
         "series_id", "file_id", "row_no", "obs_name", "column", "name", "type",
         branch("boolean", "boolean"), branch("integer", "decimal(38,0)"), branch("decimal", "double"), other,
         "canonical_type", converted.alias("canonical"),
     )
+    with_value = cells.select(F.col("file_id").alias("f"), F.col("row_no").alias("r")).distinct()
+    bare = last_records(records).drop("payload").join(with_value, F.col("file_id").eqNullSafe(F.col("f")) & F.col("row_no").eqNullSafe(F.col("r")), "left_anti")
+    return table.unionByName(bare.join(listed.select("file_id", "series_id"), "file_id", "left"), allowMissingColumns=True)
 
 
-def wide_table(consistent: DataFrame, series_id: str) -> DataFrame:
-    """One series of :func:`consistent_table` as an ordinary table: a column for each name, of its canonical type.  The
-    names are looked up first; their number is that of the columns of the series' files."""
+def wide_table(consistent: DataFrame, series_id: str, files: DataFrame | None = None) -> DataFrame:
+    """One series of :func:`consistent_table` as an ordinary table: a row for each record and a column for each name, of
+    its canonical type.  The names are looked up first; their number is that of the columns of the series' files.  With
+    ``files``, the raw table of files, listed columns without any value in the series are columns of nulls."""
     rows = consistent.where(F.col("series_id") == series_id)
-    kinds = {r.name: r.canonical_type for r in rows.select("name", "canonical_type").distinct().collect()}
+    found = rows.select("column", "name", "canonical_type").where("name is not null").distinct().collect()
+    kinds = {r.name: r.canonical_type for r in found}
+    if files is not None:
+        known = {r.column for r in found}
+        listed = listed_files(files).where(F.col("series_id") == series_id).select(F.explode("columns").alias("c")).where("c is not null").distinct().collect()
+        kinds |= {r.c: "string" for r in listed if r.c not in known and r.c not in kinds}
     sql = {"boolean": "boolean", "integer": "decimal(38,0)", "decimal": "double"}
     cells = [F.max(F.when(F.col("name") == n, F.col("canonical"))).cast(sql.get(k, "string")).alias(n) for n, k in sorted(kinds.items())]
     return rows.groupBy("file_id", "row_no", F.col("obs_name").alias("obs_name")).agg(*cells) if cells else rows.select("file_id", "row_no", "obs_name")

@@ -80,6 +80,22 @@ def test_one_consistent_table(spark):
     assert wide["f1", 0]["new"] == "p" and wide["f2", 0].v == 2.5 and wide["f2", 1].v is None
 
 
+def test_consistent_table_keeps_every_record(spark):
+    files = [("f1", "s", 1, ["a", "empty"]), ("f2", "s", 2, ["a"]), ("n", None, 1, ["a"])]
+    rows = [("f1", 0, "x", {"a": 1, "empty": None}), ("f1", 1, "cut", '{"a": 1'), ("f1", 2, "null", None), ("f1", 3, "list", "[1]"), ("f1", 4, "nulls", {"a": None})]
+    rows += [("f2", 0, "unlisted", {"b": 2}), ("f2", 1, "y", {"a": 2}), ("n", 0, "no series", {"a": 3}), ("lost", 0, "no file", {"a": 4}), ("f2", None, "no row", {"a": 5})]
+    f, r = drift(spark, files, rows)
+    t = sd.consistent_table(f, r.unionByName(r))
+    got = {(x.file_id, x.row_no): x for x in t.collect()}
+    assert t.count() == len(rows) and {k: x.obs_name for k, x in got.items()} == {(i, n): o for i, n, o, _ in rows}
+    assert {x.obs_name for x in got.values() if x.column is None} == {"cut", "null", "list", "nulls", "unlisted", "no file"}
+    assert got["n", 0].canonical == "3" and got["f1", 1].series_id == "s" and got["f1", 1].canonical is None
+    wide = sd.wide_table(t, "s", f)
+    assert wide.columns == ["file_id", "row_no", "obs_name", "a", "empty"]
+    assert sorted((x.obs_name, x.a, x.empty) for x in wide.collect() if x.a is not None) == [("no row", 5, None), ("x", 1, None), ("y", 2, None)]
+    assert wide.count() == 8
+
+
 def test_components_of_chains_and_loops(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 100), (200, 201), (201, 200), (None, 3)]
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
