@@ -63,14 +63,15 @@ def exact(
     state = materialize(state, "percentile_state")
     solved = [state.where("lo = hi").select("g", "p", F.col("least").alias("percentile"), "n")]
     while live := (open_ := state.where("lo < hi")).count():
-        # Parts of equal width in code; the width is computed in halves, as hi - lo may not fit a long.
-        cut = open_.withColumn("w", ((F.expr("hi div 2 - lo div 2") / F.lit(ways // 2)).cast("long") + 1))
+        # Parts of equal width in code; the width is computed in halves, as hi - lo may not fit a long.  Where it is less
+        # than a part each (w = 1), every code is a part of its own: halves would leave adjacent codes together for ever.
+        cut = open_.withColumn("w", ((F.expr("hi div 2 - lo div 2") / F.lit(max(ways // 2, 2))).cast("long") + 1))
         side = cut.select(F.col("g").alias("sg"), "p", "lo", "hi", "w")
         side = F.broadcast(side) if live <= broadcast_rows else side
         inside = rows.join(side, F.col("g").eqNullSafe(F.col("sg")) & (F.col("c") >= F.col("lo")) & (F.col("c") <= F.col("hi")))
-        part = F.expr("(c div 2 - lo div 2) div w")
+        part = F.expr("case when w = 1 then c - lo else (c div 2 - lo div 2) div w end")
         counted = inside.groupBy("g", "p", part.alias("part")).agg(F.count("*").alias("k"), F.min("c").alias("a"), F.max("c").alias("b"), F.min("v").alias("va"), F.max("v").alias("vb"))
-        # At most ways + 1 parts of each interval: one sorted array, no window over rows.
+        # At most about ways parts of each interval: one sorted array, no window over rows.
         parts = counted.groupBy("g", "p").agg(F.sort_array(F.collect_list(F.struct("part", "k", "a", "b", "va", "vb"))).alias("parts"))
         step = cut.select(F.col("g").alias("sg"), F.col("p").alias("sp"), "rank", "n").join(parts, F.col("g").eqNullSafe(F.col("sg")) & (F.col("p") == F.col("sp")))
         walk = F.expr(

@@ -104,6 +104,24 @@ def test_exact_percentiles(spark, ways, broadcast_rows):
     assert percentiles.exact(df.where("false"), "grp", "value", ps).isEmpty()
 
 
+@pytest.mark.parametrize("ways", [256, 4, 2])
+def test_exact_percentiles_of_adjacent_doubles(spark, ways, monkeypatch):
+    tiny = math.nextafter(0, 1)
+    groups = {"sum": [3.3, 1.1 + 2.2], "next": [2.0, math.nextafter(2, 3)], "tiny": [-tiny, 0.0, tiny], "run": [1 + k * 2.0**-52 for k in range(9)], "far": [-1e300, 3.3, 1.1 + 2.2, 1e300]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "grp string, value double")
+    passes, kept = [], percentiles.materialize
+
+    def counted(frame, name):
+        passes.append(name)
+        assert len(passes) <= 80, "the bisection does not end"
+        return kept(frame, name)
+
+    monkeypatch.setattr(percentiles, "materialize", counted)
+    ps = [0.05, 0.5, 0.95]
+    got = {(r.grp, r.p): r.percentile for r in percentiles.exact(df, "grp", "value", ps, ways).collect()}
+    assert got == {(g, p): brute(vs, p) for g, vs in groups.items() for p in ps}
+
+
 def test_summaries_of_parts_combine(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 3000), rng.normal(0, 50, 3000))], "grp int, value double")
