@@ -101,6 +101,26 @@ def changes(files: DataFrame, values: DataFrame) -> DataFrame:
     return out.unionByName(retyped.select("file_id", F.lit("retyped").alias("change_kind"), F.col("column").alias("old_name"), F.col("column").alias("new_name")))
 
 
+def alternatives(files: DataFrame, values: DataFrame) -> DataFrame:
+    """(file_id, column, old_name, type, n, first_row): every type of a column that the file before it in its series has
+    no value of, with its count and first row, from the outputs of :func:`listed_files` and :func:`tagged_values`.  Columns
+    are those that both files list, and renamed ones; a column without values before has no alternatives there."""
+    steps = materialize(consecutive(files), "file_steps")
+    same = steps.select("file_id", "before", F.explode(F.array_intersect("columns", "before_columns")).alias("column")).withColumn("old_name", F.col("column"))
+    renamed = renames(steps, values).join(steps.select("file_id", "before"), "file_id")
+    kept = same.unionByName(renamed.select("file_id", "before", F.col("new_name").alias("column"), "old_name"))
+    types = materialize(fused_types(values, ["file_id"]), "fused_types")
+    earlier = types.select(F.col("file_id").alias("before"), F.col("column").alias("old_name"), F.transform("types", lambda x: x["type"]).alias("had"))
+    both = kept.join(types, ["file_id", "column"]).join(earlier, ["before", "old_name"], "left")
+    each = both.select("file_id", "column", "old_name", F.coalesce("had", F.array().cast("array<string>")).alias("had"), F.explode("types").alias("t"))
+    return each.where(~F.array_contains("had", F.col("t.type"))).select("file_id", "column", "old_name", "t.type", "t.n", "t.first_row")
+
+
+def appearing_alternatives(files: DataFrame, records: DataFrame) -> DataFrame:
+    """The rows of :func:`alternatives` from the raw tables."""
+    return alternatives(materialize(listed_files(files), "files"), materialize(tagged_values(records), "tagged_values"))
+
+
 def drift_report(files: DataFrame, records: DataFrame) -> DataFrame:
     """The report of :func:`changes` from the raw tables."""
     return changes(listed_files(files), materialize(tagged_values(records), "tagged_values"))

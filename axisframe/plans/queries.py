@@ -532,6 +532,12 @@ def p3_found(spark, sf_dir):
     return schema_drift.drift_report(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))
 
 
+@query
+def p3_alternatives(spark, sf_dir):
+    """Every type that appears in a column from one file to the next, also where the main type stays."""
+    return schema_drift.appearing_alternatives(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))
+
+
 @query
 def p3_table(spark, sf_dir):
     return schema_drift.consistent_table(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))

@@ -66,6 +66,18 @@ def test_long_payloads_and_kinds(spark):
     assert got == {"a": "string", "n": "integer", "e": "decimal", "o": "object", "l": "array", "t": "boolean", "i": "integer", "d": "decimal"}
 
 
+def test_appearing_alternatives(spark):
+    files = [("f1", "s", 1, ["a", "old", "none"]), ("f2", "s", 2, ["a", "new", "none", "added"]), ("f3", "s", 3, ["a", "new"])]
+    rows = [("f1", 0, "x", {"a": 1, "old": "p"}), ("f1", 1, "y", {"a": 2, "old": "q"}), ("f2", 0, "x", {"a": 1, "new": "p", "none": True, "added": 1})]
+    rows += [("f2", 1, "y", {"a": "stray", "new": "q"}), ("f2", 2, "z", {"a": "stray", "new": 5}), ("f2", 3, "u", {"a": 3}), ("f2", 4, "v", {"a": 4})]
+    rows += [("f3", 0, "x", {"a": "only", "new": 1}), ("f3", 1, "y", {"a": 2.5, "new": "q"})]
+    f, r = drift(spark, files, rows)
+    want = [("f2", "a", "a", "string", 2, 1), ("f2", "new", "old", "integer", 1, 2), ("f2", "none", "none", "boolean", 1, 0), ("f3", "a", "a", "decimal", 1, 1)]
+    assert sorted(tuple(x) for x in sd.appearing_alternatives(f.unionByName(f), r.unionByName(r)).collect()) == want
+    assert ("f2", "retyped", "a", "a") not in report(f, r)
+    assert sd.appearing_alternatives(f.where("false"), r.where("false")).isEmpty()
+
+
 def test_one_consistent_table(spark):
     files = [("f1", "s", 1, ["old", "v"]), ("f2", "s", 2, ["new", "v"])]
     rows = [("f1", 0, "x", {"old": "p", "v": 1, "not_listed": 1}), ("f2", 0, "x", {"new": "p", "v": 2.5}), ("f2", 1, "y", {"new": "q", "v": "stray"})]
