@@ -496,6 +496,12 @@ def dense_from_sparse(spark, sf_dir):
     return x[0:400, 0:20].to_dense().to_long()
 
 
+@query
+def dense_from_sparse_all_rows(spark, sf_dir):
+    """Every row of a narrow sparse matrix as a dense row, zeros included."""
+    return b.summed(spark, sf_dir)[:, 0:20].to_dense().to_long()
+
+
 # -- stores --------------------------------------------------------------------------------------------------------
 
 

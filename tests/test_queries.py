@@ -37,6 +37,12 @@ def test_query_equals_its_sql(spark, sf_dir, duck, name):
     assert rows_of(QUERIES[name](spark, sf_dir).toArrow()) == rows_of(want)
 
 
+def test_every_row_is_converted_to_dense(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+    got = QUERIES["dense_from_sparse_all_rows"](spark, sf_dir)
+    assert orders > 400 and got.count() == 20 * orders and got.select("i").distinct().count() == orders
+
+
 def test_entry(spark, sf_dir):
     import __spark_entry__
 
