@@ -9,8 +9,9 @@ direction) are computed.
 No pair is ever emitted: a task reduces its comparisons to one row per query (is there an earlier similar row; which
 pivot is closest).  State is written to the shared folder after each round.
 
-:func:`linked` unites clusters that any similar pair connects, which makes them the connected sets of the similarity
-graph; the links go between cluster ids and are reduced in each task.
+Where all members of a cluster are similar to one another, the pivot clusters are the connected sets of the similarity
+graph.  Where they are not, :func:`linked`, an operator of its own, unites clusters that any similar pair connects; the
+links go between cluster ids and are reduced in each task.
 
 Defined cases: unusable vectors are in no cluster; equal vectors fall together; a row without similar rows is a cluster
 of its own; ties go to the smaller id; empty tables give empty tables.
@@ -40,47 +41,45 @@ def hash_order(ids: np.ndarray) -> np.ndarray:
 
 
 def _has_earlier(min_cosine: float):
-    def reducer(q_ids, q, _q, e_ids, e, _e):
+    def reducer(q_ids, q, _q, e_ids, e, _e, blocks):
         mine, theirs = hash_order(q_ids), hash_order(e_ids)
-        # Entries in hash order: a block whose first entry comes after all its queries can be left out.
-        order = np.argsort(theirs)
-        e, theirs = e[order], theirs[order]
-        asks = np.argsort(mine)
-        q, mine, ids = q[asks], mine[asks], q_ids[asks]
-        earlier = np.zeros(len(ids), bool)
-        before = np.searchsorted(theirs, mine)  # entries that come before each query
-        for a in range(0, len(q), 512):
-            rows = np.arange(a, min(a + 512, len(q)))
-            for b in range(0, int(before[rows[-1]]), 1024):
-                # A query with an earlier row needs no further comparison.
-                rows = rows[~earlier[rows]]
-                stop = min(b + 1024, int(before[rows[-1]])) if len(rows) else 0
-                if stop <= b:
-                    break
-                for c, d, hit in similar_blocks(q[rows], e[b:stop], min_cosine):
-                    if before[rows[0]] < stop:
-                        hit &= np.arange(b + d, b + d + hit.shape[1]) < before[rows[c : c + len(hit)], None]
-                    earlier[rows[c : c + len(hit)]] |= hit.any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ids[earlier])], names=["id"])
+        earlier = np.zeros(len(q_ids), bool)
+        for rows, columns in blocks:
+            # Both in hash order: a query asks only the entries that come before it.
+            rows, columns = rows[np.argsort(mine[rows])], columns[np.argsort(theirs[columns])]
+            before = np.zeros(len(q_ids), np.int64)
+            before[rows] = np.searchsorted(theirs[columns], mine[rows])
+            for a in range(0, len(rows), 512):
+                part = rows[a : a + 512]
+                for b in range(0, int(before[part[-1]]), 1024):
+                    # A query with an earlier row needs no further comparison.
+                    part = part[~earlier[part] & (before[part] > b)]
+                    if not len(part):
+                        break
+                    stop = min(b + 1024, int(before[part[-1]]))
+                    for r, c, hit in similar_blocks(q, e, [(part, columns[b:stop])], min_cosine):
+                        hit &= np.arange(b, stop) < before[r, None]
+                        earlier[r] |= hit.any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(q_ids[earlier])], names=["id"])
 
     return reducer
 
 
 def _closest(min_cosine: float):
-    def reducer(q_ids, q, _q, e_ids, e, _e):
-        order = np.argsort(e_ids)
-        e, e_ids = e[order], e_ids[order]
+    def reducer(q_ids, q, _q, e_ids, e, _e, blocks):
         best = np.full(len(q_ids), -2.0)
         pivot = np.zeros(len(q_ids), np.int64)
-        for a, b, scores in score_blocks(q, e):
+        for rows, columns, scores in score_blocks(q, e, blocks):
             # All that might be closest; of equal cosines (9 decimals) the smaller id.
             r, c = np.nonzero(scores >= np.maximum(scores.max(axis=1, keepdims=True), min_cosine) - 2 * SLACK)
-            cosine = exact_cosines(q, e, a + r, b + c)
-            order = np.lexsort((c, -np.round(cosine, 9), r))
-            order = order[np.r_[True, np.diff(r[order]) != 0]] if len(order) else order
-            r, c, cosine = r[order], c[order], cosine[order]
-            better = np.round(cosine, 9) > np.round(best[a + r], 9)
-            pivot[a + r[better]], best[a + r[better]] = e_ids[b + c[better]], cosine[better]
+            if not len(r):
+                continue
+            cosine, ids = np.round(exact_cosines(q, e, rows[r], columns[c]), 9), e_ids[columns[c]]
+            order = np.lexsort((ids, -cosine, r))
+            order = order[np.r_[True, np.diff(r[order]) != 0]]
+            at, ids, cosine = rows[r[order]], ids[order], cosine[order]
+            better = (cosine > best[at]) | ((cosine == best[at]) & (ids < pivot[at]))
+            pivot[at[better]], best[at[better]] = ids[better], cosine[better]
         near = best >= min_cosine
         return pa.RecordBatch.from_arrays([pa.array(q_ids[near]), pa.array(pivot[near]), pa.array(best[near])], names=["id", "pivot", "cosine"])
 
@@ -88,17 +87,11 @@ def _closest(min_cosine: float):
 
 
 def _links(min_cosine: float):
-    def reducer(q_ids, q, q_group, e_ids, e, e_group):
-        # Both sides by group: the pairs within a group, nearly all hits, are whole rectangles of a block.
-        order = np.argsort(q_group, kind="stable"), np.argsort(e_group, kind="stable")
-        q, q_group, e, e_group = q[order[0]], q_group[order[0]], e[order[1]], e_group[order[1]]
+    def reducer(q_ids, q, q_group, e_ids, e, e_group, blocks):
         found = [np.zeros((0, 2), np.int64)]
-        for a, b, hit in similar_blocks(q, e, min_cosine):
-            mine, theirs = q_group[a : a + len(hit)], e_group[b : b + hit.shape[1]]
-            first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
-            left, right = np.searchsorted(theirs, mine[first]), np.searchsorted(theirs, mine[first], side="right")
-            for top, bottom, x, y in zip(first, np.r_[first[1:], len(mine)], left, right):
-                hit[top:bottom, x:y] = False
+        for rows, columns, hit in similar_blocks(q, e, blocks, min_cosine):
+            mine, theirs = q_group[rows], e_group[columns]
+            hit &= mine[:, None] != theirs
             if hit.any():
                 r, c = np.nonzero(hit)
                 found.append(np.unique(np.c_[mine[r], theirs[c]], axis=0))
@@ -119,11 +112,11 @@ def pivot_clusters(index: MultiIndex) -> DataFrame:
     active, done, rounds = index.rows, [], 0
     while True:
         earlier = index.scan(active, active, _has_earlier(index.min_cosine), "id long").distinct()
-        pivots = materialize(active.join(earlier, "id", "left_anti").select("id", "cell", "vec"), "pivots")
+        pivots = materialize(active.join(earlier, "id", "left_anti").select(*index.rows.columns), "pivots")
         taken = materialize(_nearest_pivot(index, active, pivots), "absorbed")
         done.append((taken, pivots))
         rounds += 1
-        left = materialize(active.join(taken, "id", "left_anti").select("id", "cell", "vec"), "unassigned")
+        left = materialize(active.join(taken, "id", "left_anti").select(*index.rows.columns), "unassigned")
         if left.isEmpty():
             break
         active = left
@@ -135,9 +128,15 @@ def pivot_clusters(index: MultiIndex) -> DataFrame:
     return materialize(_nearest_pivot(index, index.rows, materialize(pivots, "pivots")).select("id", "pivot"), "clusters")
 
 
+def by_first_member(clusters: DataFrame) -> DataFrame:
+    """(id, first): each cluster of (id, pivot) named by its smallest id."""
+    least = clusters.groupBy("pivot").agg(F.min("id").alias("first"))
+    return clusters.join(least, "pivot").select("id", "first")
+
+
 def linked(index: MultiIndex, clusters: DataFrame) -> DataFrame:
     """(id, first): clusters united where a similar pair connects them; ``first`` is the smallest id of the united set."""
-    grouped = index.rows.join(clusters, "id").select("id", "cell", "vec", "pivot")
+    grouped = index.rows.join(clusters, "id").select(*index.rows.columns, "pivot")
     links = materialize(index.scan(grouped, grouped, _links(index.min_cosine), "a long, b long", extra="pivot").distinct(), "links")
     if links.isEmpty():
         named = clusters.select("id", F.col("pivot").alias("root"))

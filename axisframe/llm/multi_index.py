@@ -1,22 +1,22 @@
 """An inverted multi-index over vectors, for searches by cosine.
 
 Vectors are scaled to unit length and cut into two halves; each half has its own codebook, fitted on a bounded sample
-(``sample`` rows, taken by hash of the id).  Every row lies in the cell of its two nearest centroids.  A search from a
-cell visits the occupied cells in the order of the summed distances of their centroid pairs, by a heap over the two
-sorted distance lists: at least ``least_cells`` of them, and all whose centroids lie within the searched radius.  The
-entries of the visited cells are then compared exactly, in double precision.  A row also asks the units of the
-``row_cells`` cells nearest to itself, where its cell does not visit them anyway.  This is approximate, and serves only
-searches below the index's ``min_cosine``.
-
-Searches with at least ``min_cosine`` are exact (:class:`Cores`): a row within ``CORE`` of its cell's mean direction
-belongs to the cell's core.  By the triangle inequality a core can hold a row similar to x only if its mean lies within
-CORE + arccos(min_cosine) of x, so each row visits every unit with such a core; the rows in no core are all compared
-with one another.
-
-In the plan, neighbouring cells share a *unit*; each unit gets its queries and the entries of all cells that its cells
-visit, so a row is copied to the few units around it.  Units with many queries or entries are cut into parts of bounded
-size, so a cell that holds a third of all rows becomes many tasks; partial results are reduced again by row.
-What the driver holds and broadcasts grows with the number of cells, at most 256 x 256, not with the data.
+(``sample`` rows, taken by hash of the id).  Every row lies in the cell of its two nearest centroids.  A search visits,
+for each row, the occupied cells in the order of the summed distances of their centroid pairs, by a heap over the two
+sorted distance lists (:func:`visited_cells`), until they hold ``candidates`` entries; it compares the row with the
+entries of these cells only, exactly, in double precision.
+
+What the heap stops before is not lost where a least cosine is given: the search is then *completed*.  A cell's core are
+its rows within ``CORE`` of the cell's mean direction.  By the triangle inequality a core can hold a row similar to x only
+if its mean lies within CORE + arccos(min_cosine) of x, so x also visits every such core; rows in no core (strays) visit
+the cores near them as entries and, in blocks, one another.  The last part grows with the square of the number of strays:
+``complete=False`` leaves the completion out, for the recall of the heap alone at a cost linear in the rows.
+
+In the plan, cells that follow one another share a *unit*, about ``unit_rows_`` entries; entries go to the unit of their
+cell once, queries to the units of the cells they visit, with the list of these cells.  Units with many queries or
+entries are cut into parts of bounded size, so a cell that holds a third of all rows becomes many tasks; partial results
+are reduced again by row.  What the driver holds and broadcasts: two codebooks of at most ``most_centroids`` rows, a
+number for each occupied cell, and the means of at most ``most_cores`` cores (beyond these the rows count as strays).
 
 Usable are vectors that are not null, of the stated width, finite, without null elements and not all zero; a row
 delivered several times counts once, as last written.  Empty tables give empty tables.
@@ -24,7 +24,6 @@ delivered several times counts once, as last written.  Empty tables give empty t
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,12 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisframe.workspace import materialize, ship_package
+from axisframe.workspace import materialize, remove_table, ship_package
 
 #: More than single precision can err in a cosine of unit vectors.
 SLACK = 1e-5
 #: Angle from a cell's mean direction within which its rows form a core; cells of fewer rows than CORE_ROWS have none.
-CORE, CORE_ROWS = 0.4, 8
+CORE, CORE_ROWS = 0.3, 8
+#: In place of a list: the one of all strays, and none.
+STRAYS, NOWHERE = -1, -2
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, width: int, order_col: str | None = None) -> DataFrame:
@@ -62,135 +63,135 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * (x @ centres.T) + (centres * centres).sum(1), 0)
 
 
-def _means(x: np.ndarray, size: int, rounds: int, rng: np.random.Generator, weight: np.ndarray | None = None) -> np.ndarray:
-    """Centroids of k-means; empty ones restart at a row."""
-    weight = np.ones(len(x)) if weight is None else weight
-    centres = x[rng.choice(len(x), min(size, len(x)), replace=False)].copy()
+def _means(x: np.ndarray, size: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of k-means, begun with rows drawn by their squared distance to those drawn before; empty ones stay."""
+    centres = np.empty((min(size, len(x)), x.shape[1]))
+    far = np.ones(len(x))
+    for k in range(len(centres)):
+        mass = np.cumsum(far)
+        at = min(int(np.searchsorted(mass, rng.random() * mass[-1], side="right")), len(x) - 1) if mass[-1] > 0 else k
+        centres[k] = x[at]
+        far = np.minimum(far, _squared(x, centres[k : k + 1])[:, 0]) if k else _squared(x, centres[:1])[:, 0]
     for _ in range(rounds):
         near = np.concatenate([_squared(x[a : a + 4096], centres).argmin(1) for a in range(0, len(x), 4096)])
-        mass = np.bincount(near, weight, len(centres))
+        mass = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
-        np.add.at(sums, near, x * weight[:, None])
+        np.add.at(sums, near, x)
         full = mass > 0
         centres[full] = sums[full] / mass[full, None]
-        centres[~full] = x[rng.choice(len(x), (~full).sum())]
     return centres
 
 
-def nearby_cells(cell: int, occupied: set[int], first: tuple, second: tuple, least: int, reach: float) -> list[int]:
-    """Occupied cells from ``cell`` outwards, by summed distance of the centroid pairs, with a heap.  ``first``, ``second``:
-    for each half, the matrix of distances between centroids and the order of each row."""
-    size = len(second[0])
-    a, b = divmod(cell, size)
-    order_a, order_b = first[1][a], second[1][b]
-    far_a, far_b = first[0][a][order_a], second[0][b][order_b]
-    heap, out = [(far_a[0] + far_b[0], 0, 0)], []
-    while heap:
-        distance, r, s = heapq.heappop(heap)
-        if len(out) >= least and distance > reach:
-            break
-        found = int(order_a[r]) * size + int(order_b[s])
-        if found in occupied:
-            out.append(found)
-        # Each pair is reached once: along its row, or down the first column.
-        if s + 1 < len(order_b):
-            heapq.heappush(heap, (far_a[r] + far_b[s + 1], r, s + 1))
-        if s == 0 and r + 1 < len(order_a):
-            heapq.heappush(heap, (far_a[r + 1] + far_b[0], r + 1, 0))
-    return out
+def visited_cells(x: np.ndarray, halves: list[np.ndarray], occupied: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the occupied cells by rising summed distance of their centroid pairs, until they hold ``least``
+    entries: (row, place in ``occupied``), in the order visited.
+
+    One heap a row, all rows in step: the heads of the lists that pair one centroid of the first half with those of the
+    second by distance.  The least head is taken and its list moved on; a list opens when the one before it has been
+    asked, so that each pair is reached once and no list is looked at before it can hold the least sum.
+    """
+    one, two = halves
+    half = one.shape[1]
+    far = [_squared(x[:, :half], one), _squared(x[:, half:], two)]
+    order = [np.argsort(d, axis=1, kind="stable") for d in far]
+    far = [np.take_along_axis(d, o, 1) for d, o in zip(far, order)]
+    heads = np.full((len(x), len(one)), np.inf)
+    heads[:, 0] = far[0][:, 0] + far[1][:, 0]
+    at, open_, got = np.zeros((len(x), len(one)), np.int32), 1, np.zeros(len(x), np.int64)
+    rows, places, live = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(x) if len(occupied) else 0)
+    while len(live):
+        i = heads[live, :open_].argmin(1)
+        j = at[live, i]
+        cell = order[0][live, i] * len(two) + order[1][live, j]
+        place = np.minimum(np.searchsorted(occupied, cell), len(occupied) - 1)
+        hit = occupied[place] == cell
+        rows.append(live[hit])
+        places.append(place[hit])
+        got[live[hit]] += counts[place[hit]]
+        at[live, i] = j + 1
+        more = j + 1 < len(two)
+        heads[live, i] = np.where(more, far[0][live, i] + far[1][live, np.minimum(j + 1, len(two) - 1)], np.inf)
+        opens = (j == 0) & (i + 1 < len(one))
+        heads[live[opens], i[opens] + 1] = far[0][live[opens], i[opens] + 1] + far[1][live[opens], 0]
+        open_ = max(open_, min(len(one), int(i.max()) + 2))
+        live = live[got[live] < least]
+        live = live[np.isfinite(heads[live, :open_].min(1))] if len(live) else live
+    return np.concatenate(rows), np.concatenate(places)
 
 
 @dataclass
 class Routing:
-    """Where rows go: the unit of each occupied cell, the units that visit it, and each unit's parts; the codebooks and
-    which cells are occupied, for the cells nearest to a row itself."""
-
-    unit: dict[int, int]
-    visited_by: dict[int, list[int]]
-    query_parts: list[int]
-    entry_parts: list[int]
-    first_task: list[int]
-    halves: list[np.ndarray]
-    occupied: np.ndarray
-
-    def nearest_cells(self, x: np.ndarray, count: int, most: int = 16) -> np.ndarray:
-        """For each row the ``count`` occupied cells with the least summed distance, of those that pair one of the
-        ``most`` nearest centroids of each half; -1 where there are fewer."""
-        half = self.halves[0].shape[1]
-        near, far = [], []
-        for centres, part in zip(self.halves, (x[:, :half], x[:, half:])):
-            d = _squared(part, centres)
-            at = np.argpartition(d, min(most, d.shape[1]) - 1, axis=1)[:, :most]
-            near.append(at)
-            far.append(np.take_along_axis(d, at, 1))
-        cells = (near[0][:, :, None] * len(self.halves[1]) + near[1][:, None, :]).reshape(len(x), -1)
-        total = np.where(self.occupied[cells], (far[0][:, :, None] + far[1][:, None, :]).reshape(len(x), -1), np.inf)
-        best = np.argpartition(total, min(count, total.shape[1]) - 1, axis=1)[:, :count]
-        return np.where(np.isfinite(np.take_along_axis(total, best, 1)), np.take_along_axis(cells, best, 1), -1)
-
-    def targets(self, x: np.ndarray, cells: np.ndarray, is_query: bool, row_cells: int) -> list:
-        """The units of each row."""
-        if not is_query:
-            return [self.visited_by.get(c, ()) for c in cells.tolist()]
-        out = [{self.unit[c]} for c in cells.tolist()]
-        for units, home, near in zip(out, cells.tolist(), self.nearest_cells(x, row_cells).tolist()):
-            units.update(self.unit[c] for c in near if c >= 0 and self.unit[home] not in self.visited_by[c])
-        return out
-
+    """Where rows go.  Lists of entries are numbered 2 * place for a cell's core and one more for its other rows; the
+    list of all strays has a unit of its own, the last."""
 
-@dataclass
-class Cores:
-    """Where rows go in a search with a least cosine, such that every similar pair meets: a core row asks in its unit
-    alone, which every row visits that may be similar to one of its cores; a row of no core asks in the units it visits
-    and in the last unit, where the rows of no core are."""
-
-    core: np.ndarray  # of each cell, -1 where it has none
-    means: np.ndarray  # of each core, by unit
-    unit: np.ndarray  # of each core
-    first: np.ndarray  # each unit's first core
-    reach: float  # the least cosine to a core's mean with which a row visits it
-    query_parts: list[int]
-    entry_parts: list[int]
-    first_task: list[int]
-
-    def masks(self, x: np.ndarray, cells: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """First row, and in which units rows ask and in which they are entries, in blocks of bounded size."""
-        last, means = len(self.first), self.means.astype(np.float32)
-        step = max(1, (1 << 22) // max(len(means), 1))
-        for a in range(0, len(x), step):
-            part, core = x[a : a + step], self.core[cells[a : a + step]]
-            entry = np.zeros((len(part), last + 1), bool)
-            home = np.full(len(part), last)
-            if last:
-                entry[:, :last] = np.logical_or.reduceat(part.astype(np.float32) @ means.T >= self.reach, self.first, axis=1)
-                inside = (core >= 0) & (np.einsum("ij,ij->i", part, self.means[core]) >= np.cos(CORE))
-                home[inside] = self.unit[core[inside]]
-            query = entry & (home == last)[:, None]
-            rows = np.arange(len(part))
-            query[rows, home] = entry[rows, home] = True
-            yield a, query, entry
-
-    def targets(self, x: np.ndarray, cells: np.ndarray, is_query: bool, row_cells: int) -> list:
-        """The units of each row."""
-        return [np.flatnonzero(row).tolist() for _, query, entry in self.masks(x, cells) for row in (query if is_query else entry)]
+    halves: list[np.ndarray]
+    occupied: np.ndarray  # cells with rows, sorted
+    counts: np.ndarray  # rows of each
+    core_at: np.ndarray  # the place of each core's cell
+    unit: np.ndarray  # of each place
+    query_parts: np.ndarray
+    entry_parts: np.ndarray
+    first_task: np.ndarray
+
+    def unit_of(self, lists: np.ndarray) -> np.ndarray:
+        return np.where(lists == STRAYS, len(self.query_parts) - 1, self.unit[np.maximum(lists, 0) >> 1] if len(self.unit) else 0)
+
+    def visits(self, x: np.ndarray, cells: np.ndarray, core: np.ndarray, near: pa.Array, candidates: int, complete: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of all lists that queries visit."""
+        rows, lists = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if complete:
+            rows.append(np.repeat(np.arange(len(x)), np.diff(near.offsets.to_numpy())))
+            lists.append(2 * self.core_at[near.flatten().to_numpy()])
+            strays = np.flatnonzero(core < 0)
+            rows.append(strays)
+            lists.append(np.full(len(strays), STRAYS))
+        if candidates:
+            for a in range(0, len(x), 2048):
+                row, place = visited_cells(x[a : a + 2048], self.halves, self.occupied, self.counts, candidates)
+                of_core = np.isin(place, self.core_at)
+                rows.append(a + row[of_core])
+                lists.append(2 * place[of_core])
+                # A completed search meets the strays of all cells anyway.
+                if not complete:
+                    rows.append(a + row)
+                    lists.append(2 * place + 1)
+        return np.concatenate(rows), np.concatenate(lists)
+
+    def entry_lists(self, cells: np.ndarray, core: np.ndarray, complete: bool) -> np.ndarray:
+        place = np.searchsorted(self.occupied, cells)
+        return np.where(core >= 0, 2 * place, STRAYS if complete else 2 * place + 1)
+
+
+def _by_unit(rows: np.ndarray, lists: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """One row for each (row, unit): the row, the unit, and the lists there, each once."""
+    if len(rows):
+        order = np.lexsort((lists, units, rows))
+        rows, lists, units = rows[order], lists[order], units[order]
+        once = np.r_[True, (np.diff(rows) != 0) | (np.diff(lists) != 0)]
+        rows, lists, units = rows[once], lists[once], units[once]
+    first = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(units) != 0)]) if len(rows) else np.zeros(0, np.int64)
+    starts = pa.array(np.r_[first, len(rows)].astype(np.int32))
+    return rows[first], units[first], pa.ListArray.from_arrays(starts, pa.array(lists, pa.int64()))
 
 
 class MultiIndex:
     """The index of a table of usable vectors (id, vec)."""
 
     def __init__(
-        self, vectors: DataFrame, width: int, min_cosine: float = 0.85, sample: int = 20_000, least_cells: int = 16, row_cells: int = 16,
-        unit_rows_: int = 6_000, most_queries: int = 16_384, most_entries: int = 65_536, seed: int = 0,
+        self, vectors: DataFrame, width: int, min_cosine: float = 0.85, sample: int = 20_000, centroids: int | None = None,
+        candidates: int = 64, unit_rows_: int | None = None, most_queries: int = 8_192, most_entries: int = 32_768,
+        most_centroids: int = 2_048, most_cores: int = 65_536, seed: int = 0,
     ):
-        self.spark, self.width, self.min_cosine, self.row_cells = vectors.sparkSession, width, min_cosine, row_cells
+        """``centroids`` of a half: by default about the square root of the number of rows, at most ``most_centroids``."""
+        self.spark, self.width, self.min_cosine, self.candidates = vectors.sparkSession, width, min_cosine, candidates
         ship_package(self.spark)
         vectors = materialize(vectors, "vectors")
         n = vectors.count()
         picked = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
         rng, half = np.random.default_rng(seed), width // 2
         rows = unit_rows(picked if isinstance(picked, pa.Array) else pa.concat_arrays(picked.chunks), width)
-        size = min(256, max(4, 1 << int(np.log2(max(np.sqrt(n) / 2, 1)))))
-        self.halves = [_means(x, size, 10, rng) if len(x) else np.zeros((1, x.shape[1])) for x in (rows[:, :half], rows[:, half:])]
+        size = centroids or min(most_centroids, max(4, 1 << int(np.ceil(np.log2(max(np.sqrt(n), 1))))))
+        self.halves = [_means(x, size, 6, rng) if len(x) else np.zeros((1, x.shape[1])) for x in (rows[:, :half], rows[:, half:])]
         books = self.spark.sparkContext.broadcast(self.halves)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,151 +199,182 @@ class MultiIndex:
             for batch in batches:
                 x = unit_rows(batch.column(1), width)
                 cell = _squared(x[:, :half], one).argmin(1) * len(two) + _squared(x[:, half:], two).argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), batch.column(1)], names=["id", "cell", "vec"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int64)), batch.column(1)], names=["id", "cell", "vec"])
 
-        self.rows = materialize(vectors.mapInArrow(assign, "id long, cell int, vec array<float>"), "cells")
+        assigned = materialize(vectors.mapInArrow(assign, "id long, cell long, vec array<float>"), "cells")
+        remove_table(vectors)
         # Sorted, so that the same rows always give the same units.
-        cells = self.rows.groupBy("cell").count().toArrow().sort_by("cell")
-        self._cells, self._limits, self._seed, self._nearest = (cells["cell"].to_numpy(), cells["count"].to_numpy()), (unit_rows_, most_queries, most_entries), seed, None
-        self.least_cells = least_cells
-        self._route_cores(*self._cells, *self._limits, rng)
-
-    @staticmethod
-    def _cut(queries: np.ndarray, entries: np.ndarray, most_queries: int, most_entries: int) -> tuple[list[int], list[int], list[int]]:
-        """Parts of each unit's queries and entries, and each unit's first task."""
-        parts = [np.maximum(1, -(-queries // most_queries)), np.maximum(1, -(-entries // most_entries))]
-        return parts[0].tolist(), parts[1].tolist(), np.r_[0, np.cumsum(parts[0] * parts[1])].tolist()
-
-    def _route_cores(self, cells, counts, unit_size, most_queries, most_entries, rng) -> None:
-        width, large = self.width, counts >= CORE_ROWS
-        core = np.full(len(self.halves[0]) * len(self.halves[1]), -1)
-        core[cells[large]] = np.arange(large.sum())
-        number = self.spark.sparkContext.broadcast(core)
+        cells = assigned.groupBy("cell").count().toArrow().sort_by("cell")
+        occupied, counts = cells["cell"].to_numpy(), cells["count"].to_numpy()
+        self.rows = self._place(assigned, occupied, counts, most_cores)
+        remove_table(assigned)
+        self._route(occupied, counts, unit_rows_ or int(np.clip(n // 16, 500, 6_000)), most_queries, most_entries)
+
+    def _place(self, assigned: DataFrame, occupied: np.ndarray, counts: np.ndarray, most_cores: int) -> DataFrame:
+        """The rows with their core (-1 for strays) and all cores near enough to hold a similar row."""
+        width = self.width
+        large = np.flatnonzero(counts >= CORE_ROWS)
+        large = np.sort(large[np.argsort(-counts[large], kind="stable")[:most_cores]])
+        self._core_at = large
+        number = np.full(len(occupied), -1)
+        number[large] = np.arange(len(large))
+        shared = self.spark.sparkContext.broadcast((occupied, number))
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, core_of = shared.value
             for batch in batches:
-                at = number.value[batch.column(0).to_numpy()]
-                use = np.flatnonzero(at >= 0)
+                core = core_of[np.searchsorted(cells, batch.column(0).to_numpy())]
+                use = np.flatnonzero(core >= 0)
                 if len(use):
-                    names, place = np.unique(at[use], return_inverse=True)
+                    names, place = np.unique(core[use], return_inverse=True)
                     total = np.zeros((len(names), width))
                     np.add.at(total, place, unit_rows(batch.column(1), width)[use])
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(total.ravel()), width).cast(pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array(names), flat], names=["core", "s"])
 
-        part = self.rows.select("cell", "vec").mapInArrow(sums, "core long, s array<double>")
+        part = assigned.select("cell", "vec").mapInArrow(sums, "core long, s array<double>")
         whole = part.groupBy("core").agg(*[F.sum(F.get("s", F.lit(k))).alias(f"s{k}") for k in range(width)]).toArrow().sort_by("core")
         means = np.stack([whole[f"s{k}"].to_numpy() for k in range(width)], axis=1)
         means /= np.maximum(np.sqrt((means * means).sum(1, keepdims=True)), 1e-12)
-        unit = np.zeros(len(means), int)
-        units = min(4096, len(means), -(-int(counts[large].sum()) // unit_size))
-        if units > 1:
-            unit = np.unique(_squared(means, _means(means, units, 10, rng, counts[large].astype(float))).argmin(1), return_inverse=True)[1]
-        order = np.argsort(unit, kind="stable")
-        core[cells[large]] = np.argsort(order)
-        means, unit = means[order], unit[order]
-        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.zeros(0, int)
-        reach = np.cos(min(np.pi, CORE + np.arccos(np.clip(self.min_cosine, -1, 1)))) - SLACK
-        routing = Cores(core, means, unit, first, float(reach), [], [], [])
-        shared = self.spark.sparkContext.broadcast(routing)
+        centre = self.spark.sparkContext.broadcast(means)
+        reach = float(np.cos(min(np.pi, CORE + np.arccos(np.clip(self.min_cosine, -1, 1)))) - SLACK)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (cells, core_of), means = shared.value, centre.value
+            small = means.astype(np.float32)
+            for batch in batches:
+                x = unit_rows(batch.column(2), width)
+                core = core_of[np.searchsorted(cells, batch.column(1).to_numpy())]
+                if len(means):
+                    core[np.einsum("ij,ij->i", x, means[core]) < np.cos(CORE)] = -1
+                starts, found = [0], [np.zeros(0, np.int64)]
+                step = max(1, (1 << 22) // max(len(small), 1))
+                for a in range(0, len(x), step):
+                    r, c = np.nonzero(x[a : a + step].astype(np.float32) @ small.T >= reach)
+                    found.append(c)
+                    starts.extend((starts[-1] + np.cumsum(np.bincount(r, minlength=len(x[a : a + step])))).tolist())
+                near = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(core.astype(np.int32)), near, batch.column(2)], names=["id", "cell", "core", "near", "vec"])
+
+        return materialize(assigned.mapInArrow(place, "id long, cell long, core int, near array<int>, vec array<float>"), "placed")
+
+    def _route(self, occupied, counts, unit_size: int, most_queries: int, most_entries: int) -> None:
+        # Cells in order share a unit until it is full; a cell is never cut here, but below into parts.
+        unit = np.unique((np.cumsum(counts) - counts) // unit_size, return_inverse=True)[1] if len(counts) else np.zeros(0, np.int64)
+        units = int(unit[-1]) + 1 if len(unit) else 0
+        of_core = self.spark.sparkContext.broadcast(unit[self._core_at])
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((2, len(shared.value.first) + 1), np.int64)
+            asking, strays = np.zeros(units, np.int64), 0
             for batch in batches:
-                for _, query, entry in shared.value.masks(unit_rows(batch.column(1), width), batch.column(0).to_numpy()):
-                    total += [query.sum(0), entry.sum(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1])), pa.array(total[0]), pa.array(total[1])], names=["unit", "q", "e"])
-
-        sizes = self.rows.select("cell", "vec").mapInArrow(count, "unit long, q long, e long").groupBy("unit").agg(F.sum("q").alias("q"), F.sum("e").alias("e")).toArrow()
-        queries, entries = np.zeros(len(first) + 1, np.int64), np.zeros(len(first) + 1, np.int64)
-        queries[sizes["unit"].to_numpy()], entries[sizes["unit"].to_numpy()] = sizes["q"].to_numpy(), sizes["e"].to_numpy()
-        routing.query_parts, routing.entry_parts, routing.first_task = self._cut(queries, entries, most_queries, most_entries)
-        self.tasks, self.copies = routing.first_task[-1], float(entries.sum() / max(counts.sum(), 1))
-        self.routing = self.spark.sparkContext.broadcast(routing)
-
-    def _nearest_routing(self):
-        """The routing of approximate searches, made when first needed."""
-        if self._nearest is None:
-            self._nearest = self._route(*self._cells, self.least_cells, *self._limits, np.random.default_rng(self._seed))
-        return self._nearest
-
-    def _route(self, cells, counts, least_cells, unit_size, most_queries, most_entries, rng):
-        one, two = self.halves
-        distances = [(d, np.argsort(d, axis=1)) for d in (_squared(one, one), _squared(two, two))]
-        occupied = set(cells.tolist())
-        centres = np.c_[one[cells // len(two)], two[cells % len(two)]]
-        units = min(4096, len(cells), -(-int(counts.sum()) // unit_size))
-        near = np.zeros(len(cells), int)
-        if units > 1:
-            middle = _means(centres, units, 10, rng, counts.astype(float))
-            near = _squared(centres, middle).argmin(1)
-        unit = dict(zip(cells.tolist(), near.tolist()))
-        size = dict(zip(cells.tolist(), counts.tolist()))
-        queries, entries = np.zeros(max(units, 1), np.int64), np.zeros(max(units, 1), np.int64)
-        visited: dict[int, set[int]] = {}
-        for cell in cells.tolist():
-            queries[unit[cell]] += size[cell]
-            for other in nearby_cells(cell, occupied, *distances, least_cells, 2 - 2 * self.min_cosine):
-                if unit[cell] not in visited.setdefault(other, set()):
-                    visited[other].add(unit[cell])
-                    entries[unit[cell]] += size[other]
-        there = np.zeros(len(one) * len(two), bool)
-        there[cells] = True
-        routing = Routing(unit, {c: sorted(u) for c, u in visited.items()}, *self._cut(queries, entries, most_queries, most_entries), self.halves, there)
-        return self.spark.sparkContext.broadcast(routing)
-
-    def scan(self, queries: DataFrame, entries: DataFrame, reducer: Callable, schema: str, extra: str | None = None, exact: bool = True) -> DataFrame:
-        """Apply ``reducer`` to each task's queries and entries, both given as rows of the index (id, cell, vec and, if
-        named, a long column ``extra``).  The reducer gets ids, unit vectors and extras of the queries, then those of the
-        entries, and gives the columns of ``schema``.  With ``exact`` every pair with a cosine of at least the index's
-        ``min_cosine`` meets in a task; without, the pairs of nearby cells do."""
-        routing, width, row_cells = self.routing if exact else self._nearest_routing(), self.width, self.row_cells
-        tasks = routing.value.first_task[-1]
+                near = batch.column(1)
+                strays += int((batch.column(0).to_numpy() < 0).sum())
+                row, at = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy())), of_core.value[near.flatten().to_numpy()]
+                asking += np.bincount(np.unique(row * max(units, 1) + at) % max(units, 1), minlength=units)[:units]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(units + 1)), pa.array(np.r_[asking, strays])], names=["unit", "n"])
+
+        told = self.rows.select("core", "near").mapInArrow(count, "unit long, n long").groupBy("unit").agg(F.sum("n").alias("n")).toArrow()
+        asking = np.zeros(units + 1, np.int64)
+        asking[told["unit"].to_numpy()] = told["n"].to_numpy()
+        entries = np.r_[np.bincount(unit, counts, units).astype(np.int64), asking[-1]]
+        parts = [np.maximum(1, -(-n // most)) for n, most in ((asking, most_queries), (entries, most_entries))]
+        first = np.r_[0, np.cumsum(parts[0] * parts[1])]
+        self.tasks = int(first[-1])
+        self.routing = self.spark.sparkContext.broadcast(Routing(self.halves, occupied, counts, self._core_at, unit, *parts, first))
+
+    def scan(
+        self, queries: DataFrame, entries: DataFrame, reducer: Callable, schema: str, extra: str | None = None,
+        candidates: int = 0, complete: bool = True,
+    ) -> DataFrame:
+        """Apply ``reducer`` to each task's queries and entries, both given as rows of the index and, if named, with a long
+        column ``extra``.  The reducer gets ids, unit vectors and extras of the queries, those of the entries, and the
+        blocks (query rows, entry rows) to compare; it gives the columns of ``schema``.  Queries meet the entries of the
+        cells that the heap visits up to ``candidates`` and, with ``complete``, every entry with a cosine of at least the
+        index's ``min_cosine``."""
+        routing, width = self.routing, self.width
 
         def side(is_query: bool):
             def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = routing.value
                 for batch in batches:
-                    at, task = [], []
                     if not len(batch):
                         continue
-                    there = r.targets(unit_rows(batch.column(2), width), batch.column(1).to_numpy(), is_query, row_cells)
-                    for n, (i, units) in enumerate(zip(batch.column(0).to_pylist(), there)):
-                        for unit in units:
-                            qs, es = r.query_parts[unit], r.entry_parts[unit]
-                            own = hash((i, 1)) % (qs if is_query else es)
-                            for k in range(es if is_query else qs):
-                                task.append(r.first_task[unit] + (own * es + k if is_query else k * es + own))
-                                at.append(n)
-                    if at:
-                        rows = batch.take(pa.array(at))
-                        yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array([is_query] * len(at)), rows.column(0), rows.column(2), rows.column(3)], names=["task", "asks", "id", "vec", "x"])
+                    ids, cells, core, near = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+                    at = r.entry_lists(cells, core, complete)
+                    home = r.unit_of(at)
+                    if is_query:
+                        x = unit_rows(batch.column(4), width) if candidates else np.zeros((len(batch), 0))
+                        rows, lists = r.visits(x, cells, core, near, candidates, complete)
+                        row, unit, asked = _by_unit(rows, lists, r.unit_of(lists))
+                        at = np.where((core[row] >= 0) & (home[row] == unit), at[row], NOWHERE)
+                    else:
+                        # Each entry in its list; strays also as visitors of the cores near them.
+                        rows = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
+                        lists = 2 * r.core_at[near.flatten().to_numpy()]
+                        use = np.full(len(rows), complete) & (core[rows] < 0)
+                        row, unit, asked = _by_unit(rows[use], lists[use], r.unit_of(lists[use]))
+                        at = np.r_[at, np.full(len(row), NOWHERE)]
+                        row, unit = np.r_[np.arange(len(batch)), row], np.r_[home, unit]
+                        asked = pa.concat_arrays([pa.array([[]] * len(batch), pa.list_(pa.int64())), asked])
+                    if not len(row):
+                        continue
+                    # Into the parts of the unit: the own part of this side, all of the other.
+                    qs, es = r.query_parts[unit], r.entry_parts[unit]
+                    own = ((ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (qs if is_query else es)
+                    copies = es if is_query else qs
+                    pick = np.repeat(np.arange(len(row)), copies)
+                    k = np.arange(len(pick)) - np.repeat(np.cumsum(copies) - copies, copies)
+                    task = r.first_task[unit[pick]] + (own[pick] * es[pick] + k if is_query else k * es[pick] + own[pick])
+                    took = pa.array(row[pick])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(task), pa.array(np.full(len(pick), is_query)), batch.column(0).take(took), pa.array(at[pick]), asked.take(pa.array(pick)), batch.column(5).take(took), batch.column(4).take(took)],
+                        names=["task", "asks", "id", "at", "visits", "x", "vec"],
+                    )
 
             return send
 
         x = F.col(extra).cast("long").alias("x") if extra else F.lit(0).cast("long").alias("x")
-        kind = "task int, asks boolean, id long, vec array<float>, x long"
-        both = queries.select("id", "cell", "vec", x).mapInArrow(side(True), kind).unionByName(entries.select("id", "cell", "vec", x).mapInArrow(side(False), kind))
+        kind = "task long, asks boolean, id long, at long, visits array<long>, x long, vec array<float>"
+        sides = [df.select("id", "cell", "core", "near", "vec", x).mapInArrow(side(q), kind) for df, q in ((queries, True), (entries, False))]
 
         def reduce_task(table):
             def part(asks):
-                rows = table.filter(asks)
-                return rows["id"].to_numpy(), unit_rows(rows["vec"].combine_chunks(), width), rows["x"].to_numpy()
+                rows = table.filter(asks).combine_chunks()
+                visits = rows["visits"].combine_chunks()
+                visits = visits if isinstance(visits, pa.Array) else pa.concat_arrays(visits.chunks)
+                by = np.repeat(np.arange(len(rows)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
+                vec = rows["vec"].combine_chunks()
+                vec = vec if isinstance(vec, pa.Array) else pa.concat_arrays(vec.chunks)
+                return (rows["id"].to_numpy(), unit_rows(vec, width), rows["x"].to_numpy()), rows["at"].to_numpy(), by
 
             asks = table["asks"].combine_chunks()
-            return pa.Table.from_batches([reducer(*part(asks), *part(pc.invert(asks)))])
+            (q, q_at, q_by), (e, e_at, e_by) = part(asks), part(pc.invert(asks))
+            blocks = [*meetings(*q_by, np.arange(len(e_at)), e_at), *((b, a) for a, b in meetings(*e_by, np.arange(len(q_at)), q_at))]
+            return pa.Table.from_batches([reducer(*q, *e, blocks)])
 
         # Tasks differ in size; more partitions than cores, and none merged, let them even out.
-        return both.repartition(min(4096, 2 * tasks), "task").groupBy("task").applyInArrow(reduce_task, schema)
+        return sides[0].unionByName(sides[1]).repartition(2 * max(self.tasks, 1), "task").groupBy("task").applyInArrow(reduce_task, schema)
+
+
+def meetings(visitors: np.ndarray, visited: np.ndarray, members: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each list that has both, its visitors and its members."""
+    by_visit, by_list = np.argsort(visited, kind="stable"), np.argsort(lists, kind="stable")
+    visited, lists = visited[by_visit], lists[by_list]
+    names = np.intersect1d(visited, lists)
+    ends = [np.searchsorted(x, names, side=s) for x in (visited, lists) for s in ("left", "right")]
+    for a, b, c, d in zip(*(x.tolist() for x in ends)):
+        yield visitors[by_visit[a:b]], members[by_list[c:d]]
 
 
-def score_blocks(q: np.ndarray, e: np.ndarray, rows: int = 512, columns: int = 8_192) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Single-precision cosines of unit vectors in blocks of bounded size: first row, first column, block.  They are
+def score_blocks(q: np.ndarray, e: np.ndarray, blocks, rows: int = 512, columns: int = 8_192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Single-precision cosines of unit vectors in parts of bounded size: query rows, entry rows, scores.  They are
     off by less than ``SLACK``; what lies that near to a limit is computed again in double precision."""
     q, e = q.astype(np.float32), e.astype(np.float32)
-    for a in range(0, len(q), rows):
-        for b in range(0, len(e), columns):
-            yield a, b, q[a : a + rows] @ e[b : b + columns].T
+    for r, c in blocks:
+        for b in range(0, len(c), columns):
+            right = e[c[b : b + columns]].T
+            for a in range(0, len(r), rows):
+                yield r[a : a + rows], c[b : b + columns], q[r[a : a + rows]] @ right
 
 
 def exact_cosines(q: np.ndarray, e: np.ndarray, r: np.ndarray, c: np.ndarray, step: int = 50_000) -> np.ndarray:
@@ -351,14 +383,14 @@ def exact_cosines(q: np.ndarray, e: np.ndarray, r: np.ndarray, c: np.ndarray, st
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def similar_blocks(q: np.ndarray, e: np.ndarray, min_cosine: float, **size) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Which pairs have a cosine of at least ``min_cosine``, in blocks."""
-    for a, b, scores in score_blocks(q, e, **size):
+def similar_blocks(q: np.ndarray, e: np.ndarray, blocks, min_cosine: float, **size) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Which pairs have a cosine of at least ``min_cosine``, in parts."""
+    for rows, columns, scores in score_blocks(q, e, blocks, **size):
         hit, maybe = scores >= min_cosine + SLACK, scores >= min_cosine - SLACK
         if np.count_nonzero(hit) < np.count_nonzero(maybe):
             r, c = np.nonzero(hit != maybe)
-            hit[r, c] = exact_cosines(q, e, a + r, b + c) >= min_cosine
-        yield a, b, hit
+            hit[r, c] = exact_cosines(q, e, rows[r], columns[c]) >= min_cosine
+        yield rows, columns, hit
 
 
 def best_of(query: np.ndarray, entry: np.ndarray, cosine: np.ndarray, k: int) -> np.ndarray:
@@ -371,34 +403,45 @@ def best_of(query: np.ndarray, entry: np.ndarray, cosine: np.ndarray, k: int) ->
 
 
 def _top(k: int, min_cosine: float):
-    def reducer(q_ids, q, _q, e_ids, e, _e):
-        found: list[tuple[np.ndarray, ...]] = []
-        for a, b, scores in score_blocks(q, e):
+    def reducer(q_ids, q, _q, e_ids, e, _e, blocks):
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for rows, columns, scores in score_blocks(q, e, blocks):
             hits = scores >= min_cosine - SLACK
+            if not hits.any():
+                continue
             # Where more than k rows are near: all that might be among the k best, and one for the row itself.
             many = np.flatnonzero(np.count_nonzero(hits, axis=1) > k + 1)
             if len(many):
                 part = scores[many]
                 hits[many] &= part >= np.partition(part, -(k + 1), axis=1)[:, -(k + 1), None] - 2 * SLACK
             r, c = np.nonzero(hits)
-            query, entry, cosine = q_ids[a + r], e_ids[b + c], np.round(exact_cosines(q, e, a + r, b + c), 9)
+            query, entry, cosine = q_ids[rows[r]], e_ids[columns[c]], np.round(exact_cosines(q, e, rows[r], columns[c]), 9)
             use = np.flatnonzero((query != entry) & (cosine >= min_cosine))
-            use = use[best_of(query[use], entry[use], cosine[use], k)]
             found.append((query[use], entry[use], cosine[use]))
-        query, entry, cosine = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        query, entry, cosine = (np.concatenate(x) for x in zip(*found))
+        # A pair that met in two lists counts once.
+        once = np.unique(np.c_[query, entry], axis=0, return_index=True)[1]
+        query, entry, cosine = query[once], entry[once], cosine[once]
         use = best_of(query, entry, cosine, k)
         return pa.RecordBatch.from_arrays([pa.array(query[use]), pa.array(entry[use]), pa.array(cosine[use])], names=["query", "entry", "cosine"])
 
     return reducer
 
 
-def neighbours(index: MultiIndex, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None) -> DataFrame:
+def neighbours(
+    index: MultiIndex, k: int = 5, min_cosine: float | None = None, queries: DataFrame | None = None,
+    candidates: int | None = None, complete: bool | None = None,
+) -> DataFrame:
     """(query, entry, cosine, place): for every row (or those of ``queries``, rows of the index) the k most similar other
-    rows with a cosine of at least ``min_cosine``, rounded to 9 decimals; of equal ones the smaller id first.  Exact
-    from the index's ``min_cosine`` on; below it only nearby cells are searched, and a row whose visited cells hold fewer
-    gets fewer."""
+    rows with a cosine of at least ``min_cosine``, rounded to 9 decimals; of equal ones the smaller id first.
+
+    The heap visits cells up to ``candidates`` entries.  From the index's ``min_cosine`` on the search is completed by
+    default and exact; below it cannot be, and a row whose visited cells hold fewer gets fewer."""
     least = index.min_cosine if min_cosine is None else min_cosine
-    found = index.scan(index.rows if queries is None else queries, index.rows, _top(k, least), "query long, entry long, cosine double", exact=least >= index.min_cosine)
+    whole = least >= index.min_cosine if complete is None else complete
+    if whole and least < index.min_cosine:
+        raise ValueError(f"the index completes searches from a cosine of {index.min_cosine} on")
+    found = index.scan(index.rows if queries is None else queries, index.rows, _top(k, least), "query long, entry long, cosine double", candidates=index.candidates if candidates is None else candidates, complete=whole)
     # Two units may both have compared a pair.
     found = found.repartition("query").groupBy("query", "entry").agg(F.max("cosine").alias("cosine"))
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "entry")
@@ -409,4 +452,3 @@ def similar_pairs(index: MultiIndex, k: int = 5) -> DataFrame:
     """(ix_a, ix_b), ix_a < ix_b: pairs of which one is among the k most similar rows of the other."""
     near = neighbours(index, k)
     return near.select(F.least("query", "entry").alias("ix_a"), F.greatest("query", "entry").alias("ix_b")).distinct()
-

@@ -48,6 +48,8 @@ ORACLES: dict[str, str] = {
     # All members of a cluster are similar to one another in these data, so the smallest similar row is the cluster's first.
     "p2_found": f"""WITH {_VECTORS}, firsts AS (SELECT ix AS member_ix, min(other) AS first_ix FROM near GROUP BY ix)
       SELECT first_ix, member_ix FROM firsts WHERE first_ix < member_ix""",
+    "p2_sizes": f"""WITH {_VECTORS}, firsts AS (SELECT ix AS member_ix, min(other) AS first_ix FROM near GROUP BY ix)
+      SELECT first_ix, count(*) + 1 AS size FROM firsts WHERE first_ix < member_ix GROUP BY first_ix""",
     "p4_found": f"""WITH {_VECTORS}, best AS (SELECT *, row_number() OVER (PARTITION BY ix ORDER BY c DESC, other) AS r FROM near)
       SELECT DISTINCT least(ix, other) AS ix_a, greatest(ix, other) AS ix_b FROM best WHERE r <= 5""",
     "p7_found": f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks",

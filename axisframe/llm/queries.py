@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.llm.bpe import encode_corpus
-from axisframe.llm.clusters import describe, describe_by_terms, linked, pivot_clusters
+from axisframe.llm.clusters import by_first_member, describe, describe_by_terms, pivot_clusters
 from axisframe.llm.multi_index import MultiIndex, neighbours, similar_pairs, usable_vectors
 from axisframe.llm.percentiles import bounds, merge, outlying_entries, summarize
 from axisframe.llm.positional_index import leaked
@@ -44,15 +44,19 @@ def embedded(spark: SparkSession, sf_dir: str) -> MultiIndex:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = embedded(spark, sf_dir)
-    sets = linked(index, pivot_clusters(index))
+    sets = by_first_member(pivot_clusters(embedded(spark, sf_dir)))
     return sets.where("id <> first").select(F.col("first").alias("first_ix"), F.col("id").alias("member_ix"))
 
 
+def p2_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cluster of at least two rows with its size."""
+    return p2_found(spark, sf_dir).groupBy("first_ix").agg((F.count("*") + 1).alias("size"))
+
+
 def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cluster with its size, its three most typical rows, and the names that most of its rows have entries for."""
     index = embedded(spark, sf_dir)
-    sets = materialize(linked(index, pivot_clusters(index)), "clusters")
+    sets = materialize(by_first_member(pivot_clusters(index)), "clusters")
     names = describe_by_terms(sets, entry_terms(table(spark, sf_dir, "x_entries"), table(spark, sf_dir, "var_lines")))
     return describe(index, sets, "first").join(names, "first", "left").withColumnRenamed("first", "first_ix")
 
@@ -64,7 +68,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows, however far, of the stated query set (ids divisible by 50) against all rows."""
     index = embedded(spark, sf_dir)
-    return neighbours(index, 5, min_cosine=-1.0, queries=index.rows.where("id % 50 = 0"))
+    return neighbours(index, 5, min_cosine=-1.0, queries=index.rows.where("id % 50 = 0"), candidates=4_096)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +108,5 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_clusters, p4_found, p4_nearest, p5_found, p5_bounds, p6_ids, p7_found, p7_items, p8_found, p8_shares)
+    f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_sizes, p2_clusters, p4_found, p4_nearest, p5_found, p5_bounds, p6_ids, p7_found, p7_items, p8_found, p8_shares)
 }

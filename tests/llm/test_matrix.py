@@ -249,14 +249,50 @@ def test_vectors_of_an_empty_table(spark):
     assert [tuple(r) for r in clusters.linked(index, clusters.pivot_clusters(index)).collect()] == [(5, 5)]
 
 
-def test_nearby_cells_come_by_summed_distance():
+def test_cells_are_visited_by_summed_distance():
     rng = np.random.default_rng(2)
     halves = [rng.normal(size=(6, 3)), rng.normal(size=(5, 3))]
-    both = [(d, np.argsort(d, axis=1)) for d in (multi_index._squared(h, h) for h in halves)]
-    occupied = set(rng.choice(30, 20, replace=False).tolist())
-    for cell in occupied:
-        got = multi_index.nearby_cells(cell, occupied, *both, least=8, reach=0.5)
-        total = {c: both[0][0][cell // 5, c // 5] + both[1][0][cell % 5, c % 5] for c in occupied}
-        order = sorted(occupied, key=total.get)
-        assert got[0] == cell and np.allclose([total[c] for c in got], [total[c] for c in order[: len(got)]])
-        assert len(got) >= 8 and all(total[c] > 0.5 for c in occupied - set(got))
+    x, occupied = rng.normal(size=(40, 6)), np.sort(rng.choice(30, 20, replace=False))
+    counts = rng.integers(1, 4, 20)
+    sums = (multi_index._squared(x[:, :3], halves[0])[:, :, None] + multi_index._squared(x[:, 3:], halves[1])[:, None, :]).reshape(40, 30)[:, occupied]
+    for least in (1, 9, 1000):
+        rows, places = multi_index.visited_cells(x, halves, occupied, counts, least)
+        for r in range(40):
+            got = places[rows == r]
+            assert np.allclose(sums[r, got], np.sort(sums[r])[: len(got)]) and len(set(got.tolist())) == len(got)
+            held = np.cumsum(counts[got])
+            assert len(got) == 20 if least == 1000 else held[-1] >= least and (len(got) == 1 or held[-2] < least)
+    assert len(multi_index.visited_cells(x, halves, occupied[:0], counts[:0], 5)[0]) == 0
+
+
+def test_clusters_come_from_the_pivots(indexed, monkeypatch):
+    """Without pivots that absorb what is similar, the clusters are not those of the table."""
+    index, ids, cosine = indexed
+    right = {r.id: r["first"] for r in clusters.by_first_member(clusters.pivot_clusters(index)).collect()}
+    cliques = {i: f for i, f in components_of(ids, cosine).items()}
+    assert all(right[i] >= cliques[i] for i in cliques) and sorted(right) == ids.tolist()
+
+    def only_itself(q_ids, q, _q, e_ids, e, _e, blocks):
+        import pyarrow as pa
+
+        mine = np.intersect1d(q_ids, e_ids)
+        return pa.RecordBatch.from_arrays([pa.array(mine), pa.array(mine), pa.array(np.ones(len(mine)))], names=["id", "pivot", "cosine"])
+
+    monkeypatch.setattr(clusters, "_closest", lambda least: only_itself)
+    broken = {r.id: r["first"] for r in clusters.by_first_member(clusters.pivot_clusters(index)).collect()}
+    assert all(i == f for i, f in broken.items()) and broken != right
+
+
+@pytest.mark.parametrize("width,most_cores", [(16, 0), (16, 2), (5, 65_536)])
+def test_few_cores_and_odd_widths_lose_nothing(spark, width, most_cores):
+    rng = np.random.default_rng(13)
+    v = (rng.normal(size=(12, width))[rng.integers(0, 12, 400)] + rng.normal(0, 0.25, (400, width))).astype("float32")
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "ix long, vec array<float>")
+    index = multi_index.MultiIndex(multi_index.usable_vectors(df, "ix", "vec", width), width, centroids=6, unit_rows_=90, most_cores=most_cores)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cosine = np.round(u @ u.T, 9)
+    np.fill_diagonal(cosine, -2)
+    got = {(r.query, r.entry) for r in multi_index.neighbours(index, 400).collect()}
+    assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(cosine >= 0.85))}
+    heap = {(r.query, r.entry) for r in multi_index.neighbours(index, 400, candidates=100, complete=False).collect()}
+    assert heap <= got and len(heap) >= 0.9 * len(got)
