@@ -146,15 +146,22 @@ class Routing:
             rows.append(strays)
             lists.append(np.full(len(strays), STRAYS))
         if candidates:
-            for a in range(0, len(x), 2048):
-                row, place = visited_cells(x[a : a + 2048], self.halves, self.occupied, self.counts, candidates)
-                of_core = np.isin(place, self.core_at)
-                rows.append(a + row[of_core])
-                lists.append(2 * place[of_core])
-                # A completed search meets the strays of all cells anyway.
-                if not complete:
-                    rows.append(a + row)
-                    lists.append(2 * place + 1)
+            # The first cell visited is the row's own; often it holds enough.
+            own = np.searchsorted(self.occupied, cells)
+            far = np.flatnonzero(self.counts[own] < candidates)
+            row, place = [np.flatnonzero(self.counts[own] >= candidates)], [own[self.counts[own] >= candidates]]
+            for a in range(0, len(far), 2048):
+                r, p = visited_cells(x[far[a : a + 2048]], self.halves, self.occupied, self.counts, candidates)
+                row.append(far[a + r])
+                place.append(p)
+            row, place = np.concatenate(row), np.concatenate(place)
+            of_core = np.isin(place, self.core_at)
+            rows.append(row[of_core])
+            lists.append(2 * place[of_core])
+            # A completed search meets the strays of all cells anyway.
+            if not complete:
+                rows.append(row)
+                lists.append(2 * place + 1)
         return np.concatenate(rows), np.concatenate(lists)
 
     def entry_lists(self, cells: np.ndarray, core: np.ndarray, complete: bool) -> np.ndarray:
