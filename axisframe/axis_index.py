@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.selection import Index as Positions
+from axisframe.selection import Places, Selection, select_rows
 from axisframe.selection import Range as RangeSelection
-from axisframe.selection import Selection
+
+#: Names of at most this many positions are held as Python strings; more stay in a frame.
+LOCAL_NAMES = 10_000
 
 _INTERVAL = re.compile(r"(.*):(\d+)-(\d+)", re.DOTALL)
 
@@ -42,6 +45,8 @@ class ListIndex:
         return spark.createDataFrame(pd.DataFrame({"ix": np.arange(len(self.names)), "name": list(self.names)}), "ix long, name string")
 
     def select(self, selection: Selection) -> AxisIndex:
+        if isinstance(selection, Places):
+            return _in_frame(self, selection)
         return ListIndex(tuple(self.names[k] for k in selection.positions()))
 
     def has_duplicates(self) -> bool:
@@ -73,6 +78,8 @@ class RangeIndex:
     def select(self, selection: Selection) -> AxisIndex:
         if isinstance(selection, RangeSelection) and selection.step == 1:
             return RangeIndex(self.start + selection.start, self.start + selection.stop)
+        if isinstance(selection, Places):
+            return _in_frame(self, selection)
         return ListIndex(tuple(str(self.start + int(k)) for k in selection.positions()))
 
     def has_duplicates(self) -> bool:
@@ -146,6 +153,8 @@ class IntervalIndex:
                     runs.append(Run(r.name, r.start + a * r.step, end, r.size, r.step))
                 offset += len(r)
             return IntervalIndex(tuple(runs))
+        if isinstance(selection, Places):
+            return _in_frame(self, selection)
         labels = self.labels()
         return ListIndex(tuple(labels[k] for k in selection.positions()))
 
@@ -154,7 +163,44 @@ class IntervalIndex:
         return len(set(labels)) < len(labels)
 
 
-AxisIndex = ListIndex | RangeIndex | IntervalIndex
+@dataclass(frozen=True, eq=False)
+class FrameIndex:
+    """Names as a frame (ix, name), for axes too long for the driver: lookups and selections are joins."""
+
+    df: DataFrame
+    n: int
+    kind = "frame"
+
+    def __len__(self) -> int:
+        return self.n
+
+    def labels(self) -> list[str]:
+        """All names on the driver; for short axes."""
+        return [r.name for r in self.df.orderBy("ix").collect()]
+
+    def find(self, name: str) -> int | None:
+        return self.find_all([name]).get(name)
+
+    def find_all(self, names: list[str]) -> dict[str, int]:
+        """The last position of each of the given names that there is."""
+        wanted = self.df.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+        return {r.name: r.ix for r in self.df.join(wanted, "name", "left_semi").groupBy("name").agg(F.max("ix").alias("ix")).collect()} if names else {}
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return self.df.select("ix", "name")
+
+    def select(self, selection: Selection) -> AxisIndex:
+        return FrameIndex(select_rows(self.df.select("ix", "name"), selection, self.n, "ix"), len(selection))
+
+    def has_duplicates(self) -> bool:
+        return not self.df.groupBy("name").count().where("count > 1").isEmpty()
+
+
+def _in_frame(index: AxisIndex, selection: Places) -> FrameIndex:
+    return FrameIndex(index.frame(selection.df.sparkSession), len(index)).select(selection)
+
+
+AxisIndex = ListIndex | RangeIndex | IntervalIndex | FrameIndex
 
 
 def interval_labels(df: DataFrame) -> DataFrame:
@@ -178,17 +224,37 @@ def from_labels(names: list[str]) -> AxisIndex:
 
 
 def positions_of(index: AxisIndex, names) -> Positions:
-    """Positions of names; an unknown name is an error."""
-    found = [index.find(n) for n in names]
+    """Positions of local names; an unknown name is an error."""
+    if isinstance(index, FrameIndex):
+        known = index.find_all(list(names))
+        found = [known.get(n) for n in names]
+    else:
+        found = [index.find(n) for n in names]
     missing = [n for n, k in zip(names, found) if k is None]
     if missing:
         raise KeyError(f"names not on this axis: {missing[:5]}")
     return Positions(tuple(found))
 
 
+def places_of(index: AxisIndex, wanted: DataFrame) -> Places:
+    """The positions of the names of a frame (new, name), by a join; an unknown name is an error."""
+    found = lookup_frame(index.frame(wanted.sparkSession), wanted)
+    told = found.agg(F.count("*").alias("n"), F.first(F.when(F.col("old").isNull(), F.coalesce("name", F.lit("null"))), True).alias("missing")).first()
+    if told.missing is not None:
+        raise KeyError(f"names not on this axis: {told.missing}, perhaps more")
+    return Places(found.select("old", "new"), told.n)
+
+
 def equal(a: AxisIndex, b: AxisIndex) -> bool:
     """Same names in the same order, whatever the forms."""
-    return a == b or (len(a) == len(b) and a.labels() == b.labels())
+    if a is b or len(a) != len(b):
+        return a is b
+    if isinstance(a, FrameIndex) or isinstance(b, FrameIndex):
+        frame = a if isinstance(a, FrameIndex) else b
+        spark = frame.df.sparkSession
+        other = b.frame(spark).select("ix", F.col("name").alias("other"))
+        return a.frame(spark).join(other, "ix", "full").where(~F.col("name").eqNullSafe(F.col("other"))).isEmpty()
+    return a == b or a.labels() == b.labels()
 
 
 def lookup_frame(names: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axisframe.functions import casts
-from axisframe.selection import Index, Range, Selection, parse_all, select_rows
+from axisframe.ordinals import rank_by_position
+from axisframe.selection import Places, Range, Selection, parse_all, place_rows, quoted, select_rows
 
 #: Column positions of a dense selection beyond this many go in as one array literal instead of single columns.
 _WIDE = 1_000
@@ -102,6 +103,12 @@ class Sparse:
     def __getitem__(self, what) -> Sparse:
         return self.select(*parse_all(what, self.shape))
 
+    def lookup(self, points: DataFrame) -> DataFrame:
+        """Points (i, j, more...) with ``v``, their last entry, or the type's zero where they have none."""
+        last = self.df.groupBy("i", "j").agg(F.max_by("v", "seq").alias("v"))
+        zero = F.lit(casts.ZERO[self.dtype]).cast(casts.HELD_AS[self.dtype])
+        return points.join(last, ["i", "j"], "left").withColumn("v", F.coalesce("v", zero))
+
     def cast(self, to: str) -> Sparse:
         return replace(self, df=self.df.withColumn("v", casts.convert(F.col("v"), self.dtype, to, casts.SPARSE)), dtype=to)
 
@@ -143,6 +150,14 @@ class Sparse:
     def ordered(self) -> DataFrame:
         return self.df.orderBy(*(("i", "j", "seq") if self.layout == "csr" else ("j", "i", "seq")))
 
+    def to_compressed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(data, indices, offsets) of compressed rows, or columns for csc; repeated coordinates stay, in order."""
+        major, minor = ("i", "j") if self.layout == "csr" else ("j", "i")
+        t = self.df.toArrow().sort_by([(major, "ascending"), (minor, "ascending"), ("seq", "ascending")])
+        n = self.shape[0 if self.layout == "csr" else 1]
+        offsets = np.searchsorted(t[major].to_numpy(), np.arange(n + 1))
+        return t["v"].to_numpy(), t[minor].to_numpy(), offsets
+
     def to_numpy(self) -> np.ndarray:
         """A dense numpy array; of repeated coordinates the last counts."""
         frame = self.df.toPandas().sort_values(["i", "j", "seq"])
@@ -261,21 +276,24 @@ class Table:
     def select(self, rows: Selection, cols: Selection | None = None) -> Table:
         df = select_rows(self.df, rows, self.n, "ix")
         if cols is not None:
-            df = df.select("ix", *[self.columns[k] for k in cols.positions()])
+            df = df.select("ix", *[quoted(self.columns[k]) for k in cols.positions()])
         return replace(self, df=df, n=len(rows))
 
     def __getitem__(self, what):
         if isinstance(what, str):
-            return self.df.select("ix", what)
+            return self.df.select("ix", quoted(what))
         return self.select(*parse_all(what, self.shape))
 
     def __contains__(self, column: str) -> bool:
         return column in self.columns
 
     def with_column(self, name: str, values) -> Table:
-        """Set a column: a Column expression, or as many local values as there are rows."""
+        """Set a column: a Column expression, a frame (ix, value), or as many local values as there are rows."""
         if isinstance(values, Column):
             return replace(self, df=self.df.withColumn(name, values))
+        if isinstance(values, DataFrame):
+            value = next(c for c in values.columns if c != "ix")
+            return replace(self, df=self.df.drop(name).join(values.select("ix", F.col(quoted(value)).alias(name)), "ix", "left"))
         values = list(values)
         if len(values) != self.n:
             raise ShapeError(f"{len(values)} values for {self.n} rows")
@@ -284,12 +302,18 @@ class Table:
 
     def categorical(self, column: str) -> tuple[DataFrame, DataFrame]:
         """(ix, code) and (code, category): codes number the distinct values in the order first seen; null has code -1."""
-        first = self.df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("category")).agg(F.min("ix").alias("first"))
-        # The distinct values of a categorical column are few; their numbering is a sort of those only.
-        names = first.select((F.row_number().over(Window.orderBy("first")) - 1).alias("code"), "category")
-        codes = self.df.select("ix", F.col(column).cast("string").alias("category")).join(names, "category", "left")
+        value = F.col(quoted(column)).cast("string")
+        first = self.df.where(value.isNotNull()).groupBy(value.alias("category")).agg(F.min("ix").alias("first"))
+        names = rank_by_position(first, "first", out="code").select(F.col("code").cast("int").alias("code"), "category")
+        codes = self.df.select("ix", value.alias("category")).join(names, "category", "left")
         return codes.select("ix", F.coalesce("code", F.lit(-1)).alias("code")), names
 
+    def select_codes(self, column: str, rows: Selection) -> tuple[DataFrame, DataFrame]:
+        """(ix, code) of selected rows of a categorical column and its (code, category): categories stay those of the
+        whole column, whether or not a row still has them."""
+        codes, names = self.categorical(column)
+        return select_rows(codes, rows, self.n, "ix"), names
+
     def remap_columns(self, *_):
         raise ShapeError("a table has named columns")
 
@@ -379,31 +403,44 @@ def vstack(elements: Sequence[Element]) -> Element:
 
 
 def split_by_child(selection: Selection, lengths: Sequence[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each child the local positions that a selection over the stack asks of it, and where each goes."""
+    """For each child the local positions that a list of positions over the stack asks of it, and where each goes."""
     at, ends = selection.positions(), np.cumsum([0, *lengths])
     child = np.searchsorted(ends, at, side="right") - 1
     return [(at[child == k] - ends[k], np.flatnonzero(child == k)) for k in range(len(lengths))]
 
 
+def range_of_child(selection: Range, offset: int, n: int) -> tuple[Range, int]:
+    """What a range over the stack asks of the child at ``offset``, as a range of its own positions, and where its first
+    row goes: the phase of a step is kept from child to child, without any list of positions."""
+    step = abs(selection.step)
+    low, high = max(selection.start, offset), min(selection.stop, offset + n)
+    if selection.step > 0:
+        k = max(0, -(-(low - selection.start) // step))
+        local = Range(selection.start + k * step - offset, high - offset, step)
+    else:
+        k = max(0, -(-(selection.stop - high) // step))
+        local = Range(low - offset, selection.stop - k * step - offset, -step)
+    return (local, k) if local.stop > local.start else (Range(0, 0), k)
+
+
 def stack_select(elements: Sequence[Element], selection: Selection, *others: Selection) -> Element:
     """Rows of a stack, resolved to each child's own ordinals before any offset, so that its scan gets the filter."""
     lengths = [e.shape[0] for e in elements]
     rest = list(others) or [Range(0, n) for n in elements[0].shape[1:]]
     ordinal, parts, offset = ("ix" if elements[0].kind == "table" else "i"), [], 0
     shape = (len(selection), *map(len, rest))
-    if isinstance(selection, Range) and selection.step == 1:
-        for e, n in zip(elements, lengths):
-            a, b = max(selection.start - offset, 0), min(selection.stop - offset, n)
-            if b > a:
-                part = e.select(Range(a, b), *rest) if e.kind != "table" else e.select(Range(a, b))
-                parts.append(part.shift_rows(max(offset - selection.start, 0)))
-            offset += n
-    else:
-        for e, (local, new) in zip(elements, split_by_child(selection, lengths)):
+    across = lambda e: e if e.kind == "table" else e.select(Range(0, e.shape[0]), *rest)
+    split = None if isinstance(selection, (Range, Places)) else split_by_child(selection, lengths)
+    for k, (e, n) in enumerate(zip(elements, lengths)):
+        if isinstance(selection, Range):
+            local, first = range_of_child(selection, offset, n)
             if len(local):
-                part = e.select(Index(tuple(local.tolist())), *rest) if e.kind != "table" else e.select(Index(tuple(local.tolist())))
-                places = part.df.sparkSession.createDataFrame(pd.DataFrame({"__k": np.arange(len(local)), "__new": new.astype("int64")}))
-                joined = part.df.join(F.broadcast(places), F.col(ordinal) == F.col("__k")).withColumn(ordinal, F.col("__new"))
-                parts.append(joined.select(*part.df.columns))
+                parts.append((e.select(local) if e.kind == "table" else e.select(local, *rest)).shift_rows(first))
+        elif isinstance(selection, Places):
+            own = selection.df.where((F.col("old") >= offset) & (F.col("old") < offset + n)).select((F.col("old") - offset).alias("old"), "new")
+            parts.append(select_rows(across(e).df, Places(own, len(selection)), n, ordinal))
+        elif len(split[k][0]):
+            parts.append(place_rows(across(e).df, *split[k], ordinal))
+        offset += n
     df = reduce(DataFrame.unionByName, parts) if parts else elements[0].df.where(F.lit(False))
     return Table(df, len(selection), elements[0].categories) if ordinal == "ix" else replace(elements[0], df=df, shape=shape)

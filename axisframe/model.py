@@ -13,17 +13,19 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe.axis_index import AxisIndex, ListIndex, RangeIndex, positions_of
+from axisframe.axis_index import AxisIndex, FrameIndex, ListIndex, RangeIndex, places_of, positions_of
 from axisframe.elements import Dense, Element, ShapeError, Sparse, Table, select_square
-from axisframe.selection import FULL, Index, Names, Range, Selection, parse
+from axisframe.selection import FULL, Index, Names, Places, Range, Selection, parse, quoted
 
 #: slot -> the axes (0 obs, 1 var) that the element's leading dimensions lie on.
 AXES = {"X": (0, 1), "layers": (0, 1), "obs": (0,), "var": (1,), "obsm": (0,), "varm": (1,), "obsp": (0, 0), "varp": (1, 1), "uns": ()}
 COLLECTIONS = ("layers", "obsm", "varm", "obsp", "varp")
 SLOTS = tuple(AXES)
+#: What a closed handle does not give any more.
+_CONTENT = frozenset((*SLOTS, "obs_index", "var_index"))
 
 
 @dataclass(frozen=True)
@@ -66,6 +68,11 @@ class AxisTable:
         object.__setattr__(self, "n_obs", lengths[0])
         object.__setattr__(self, "n_vars", lengths[1])
 
+    def __getattribute__(self, name: str):
+        if name in _CONTENT and not object.__getattribute__(self, "__dict__").get("_open", (True,))[0]:
+            raise ValueError("this handle is closed")
+        return object.__getattribute__(self, name)
+
     # -- shape and names -------------------------------------------------------------------------------------------
 
     @property
@@ -96,8 +103,11 @@ class AxisTable:
     def var_names(self) -> list[str]:
         return self._names(1).labels()
 
-    def with_names(self, axis: int, names: AxisIndex | list[str]) -> AxisTable:
+    def with_names(self, axis: int, names: AxisIndex | list[str] | DataFrame) -> AxisTable:
+        """Name an axis: a local list, an index, or a frame (ix, name) with a row for each position."""
         index = ListIndex(tuple(map(str, names))) if isinstance(names, list) else names
+        if isinstance(names, DataFrame):
+            index = FrameIndex(names.select("ix", "name"), names.count())
         return replace(self, **{("obs_index", "var_index")[axis]: index})
 
     def obs_ix(self, names) -> np.ndarray:
@@ -133,6 +143,13 @@ class AxisTable:
     # -- subsetting ------------------------------------------------------------------------------------------------
 
     def _selection(self, what, axis: int) -> Selection:
+        if isinstance(what, Column):
+            table = (self.obs, self.var)[axis]
+            if table is None:
+                raise ValueError("a mask by columns needs a table on its axis")
+            return Places.of_mask(table.df.where(what))
+        if isinstance(what, DataFrame):
+            return places_of(self._names(axis), what)
         if isinstance(what, Names):
             what = positions_of(self._names(axis), what.names)
         elif isinstance(what, (list, tuple, np.ndarray, pd.Series)) and len(what) and isinstance(next(iter(what)), str):
@@ -140,7 +157,9 @@ class AxisTable:
         return parse(what, self.shape[axis])
 
     def subset(self, obs=FULL, var=FULL) -> AxisTable:
-        """The same rows and columns of every element: positions, slices, masks or names."""
+        """The same rows and columns of every element: positions, slices, masks or names; too long for the driver, a mask
+        as a condition on the axis's table and names as a frame (new, name).  Columns of dense elements are cells of an
+        array and take local selections only."""
         chosen = self._selection(obs, 0), self._selection(var, 1)
 
         def pick(slot: str, element: Element) -> Element:
@@ -196,8 +215,9 @@ class AxisTable:
 
     def close(self) -> None:
         """Let go of what is kept in memory; the handle cannot be committed any more."""
-        for _, element in self.elements():
-            element.df.unpersist()
+        if not self.is_closed:
+            for _, element in self.elements():
+                element.df.unpersist()
         self._open[0] = False
 
     def reopen(self, mode: str = "r") -> AxisTable:
@@ -225,14 +245,25 @@ class AxisTable:
         changes |= {s: {k: change(s, e) for k, e in getattr(self, s).items()} for s in COLLECTIONS}
         return replace(self, **changes)
 
-    def to_memory(self) -> dict[str, Any]:
-        """All slots as numpy and pandas objects."""
-        local = lambda e: e.to_pandas() if e.kind == "table" else e.to_numpy()
-        out: dict[str, Any] = {s: None if getattr(self, s) is None else local(getattr(self, s)) for s in ("X", "obs", "var")}
-        out |= {s: {k: local(e) for k, e in getattr(self, s).items()} for s in COLLECTIONS}
-        return out | {"obs_names": self.obs_names, "var_names": self.var_names, "uns": dict(self.uns)}
+    def to_memory(self, slots=SLOTS, sparse: str = "dense") -> dict[str, Any]:
+        """The given slots as numpy and pandas objects; sparse elements as dense arrays, or with ``sparse="compressed"``
+        as (data, indices, offsets, shape), which keeps repeated coordinates and takes the room of the entries only."""
+        def local(e):
+            if e.kind == "table":
+                return e.to_pandas()
+            return (*e.to_compressed(), e.shape) if e.kind == "sparse" and sparse == "compressed" else e.to_numpy()
+
+        out: dict[str, Any] = {s: None if getattr(self, s) is None else local(getattr(self, s)) for s in ("X", "obs", "var") if s in slots}
+        out |= {s: {k: local(e) for k, e in getattr(self, s).items()} for s in COLLECTIONS if s in slots}
+        return out | {"obs_names": self.obs_names, "var_names": self.var_names} | ({"uns": dict(self.uns)} if "uns" in slots else {})
+
+    def element(self, slot: str, key: str | None = None) -> Handle:
+        """A lazy handle of one element or uns entry."""
+        return Handle(self, slot, key)
 
     def __repr__(self) -> str:
+        if self.is_closed:
+            return f"closed AxisTable at {self.path!r}"
         lines = [f"AxisTable with n_obs x n_vars = {self.shape[0]} x {self.shape[1]}" + (f" at {self.path!r}" if self.path else "")]
         for slot in ("obs", "var"):
             if getattr(self, slot) is not None:
@@ -258,10 +289,50 @@ class AxisTable:
         return cls(spark, X=local(X), obs=local(obs), var=local(var), uns=dict(uns or {}), **names, **entries)
 
 
+@dataclass(frozen=True)
+class Handle:
+    """One element or uns entry of a container, looked up when it is used."""
+
+    table: AxisTable
+    slot: str
+    key: str | None = None
+
+    @property
+    def value(self) -> Any:
+        whole = getattr(self.table, self.slot)
+        if self.key is not None and self.key not in whole:
+            raise KeyError(self.key)
+        return whole if self.key is None else whole[self.key]
+
+    @property
+    def is_none(self) -> bool:
+        return getattr(self.table, self.slot) is None if self.key is None else self.key not in getattr(self.table, self.slot)
+
+    @property
+    def is_scalar(self) -> bool:
+        return isinstance(self.value, (str, bool, int, float, np.generic)) or self.value is None
+
+    @property
+    def shape(self) -> tuple[int, ...]:
+        return tuple(getattr(self.value, "shape", ()))
+
+    @property
+    def dtype(self) -> str:
+        return str(getattr(self.value, "dtype", type(self.value).__name__))
+
+    def __getitem__(self, what):
+        return self.value[what]
+
+    def read(self) -> Any:
+        """The whole of it, on the driver."""
+        value = self.value
+        return value if not hasattr(value, "df") else value.to_pandas() if value.kind == "table" else value.to_numpy()
+
+
 def content_hash(element: Element) -> int:
     """A hash of an element's rows, whatever their physical order."""
     columns = sorted(element.df.columns)
-    row = element.df.select(F.coalesce(F.sum(F.xxhash64(*columns).cast("decimal(38,0)")), F.lit(0)).alias("h"), F.count("*").alias("n")).first()
+    row = element.df.select(F.coalesce(F.sum(F.xxhash64(*map(quoted, columns)).cast("decimal(38,0)")), F.lit(0)).alias("h"), F.count("*").alias("n")).first()
     return hash((element.shape, tuple(columns), int(row.h), row.n))
 
 

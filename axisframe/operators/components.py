@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.workspace import materialize
+from axisframe.workspace import materialize, remove_table
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,6 +22,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = labels.join(seen, F.col("node") == F.col("a")).select("node", "label", F.least("label", "low").alias("low"))
         jump = near.join(labels.select(F.col("node").alias("low"), F.col("label").alias("further")), "low")
         after = materialize(jump.select("node", F.least("low", "further").alias("label"), F.col("label").alias("before")), "labels")
+        remove_table(labels)
         labels = after.select("node", "label")
         if after.where("label <> before").isEmpty():
             return labels

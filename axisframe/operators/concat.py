@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.axis_index import ListIndex
+from axisframe import store
+from axisframe.axis_index import FrameIndex
 from axisframe.elements import Dense, Sparse, Table, vstack
 from axisframe.model import AxisTable
+from axisframe.ordinals import rank_by_position
+from axisframe.selection import quoted
+from axisframe.workspace import materialize
 
 
 def merged_labels(names: Sequence[DataFrame], join: str) -> DataFrame:
@@ -22,29 +26,32 @@ def merged_labels(names: Sequence[DataFrame], join: str) -> DataFrame:
         first = first.where(F.col("sources") == len(names))
     elif join != "outer":
         raise ValueError(f"join is inner or outer, not {join!r}")
-    # Labels of a var axis; the axis is numbered in one place, as its order is global.
-    return first.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("ix"), "name")
+    # Numbered by buckets of (input, position), so that no task sorts all labels.
+    at = F.col("first.src").cast("long") * F.lit(1 << 44) + F.col("first.ix")
+    return rank_by_position(first.withColumn("__at", at), "__at", out="rank").select(F.col("rank").alias("ix"), "name")
 
 
 def align(labels: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """(ix, name, column) of the labels; null where the table has none."""
-    return labels.join(table.select("name", column), "name", "left").select("ix", "name", column)
+    return labels.join(table.select("name", quoted(column)), "name", "left").select("ix", "name", quoted(column))
 
 
-def merged_var(labels: DataFrame, tables: Sequence[DataFrame]) -> DataFrame:
-    """(ix, name, columns...): the union of the tables' columns in the order first seen; in each cell the last input with
-    a value counts.  Tables have a ``name`` column."""
-    columns = list(dict.fromkeys(c for t in tables for c in t.columns if c not in ("ix", "name")))
+def merged_var(labels: DataFrame, tables: Sequence[DataFrame], label: str = "name") -> DataFrame:
+    """(ix, label, columns...): the union of the tables' columns in the order first seen; in each cell the last input with
+    a value counts.  Tables have their labels in the column ``label``; all other names may occur among their columns."""
+    columns = list(dict.fromkeys(c for t in tables for c in t.columns if c not in ("ix", label)))
     kinds = {c: next(t.schema[c].dataType for t in tables if c in t.columns) for c in columns}
+    # Positions in place of names, as a user's column may have any name.
     tagged = [
-        t.select("name", F.lit(k).alias("__src"), *[(F.col(c) if c in t.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
+        t.select(F.col(quoted(label)).alias("__l"), F.lit(k).alias("__src"), *[(F.col(quoted(c)) if c in t.columns else F.lit(None)).cast(kinds[c]).alias(f"__c{n}") for n, c in enumerate(columns)])
         for k, t in enumerate(tables)
     ]
     if not columns:
-        return labels.select("ix", "name")
-    cells = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__src"))).alias(c) for c in columns]
-    merged = reduce(DataFrame.unionByName, tagged).groupBy("name").agg(*cells)
-    return labels.join(merged, "name", "left").select("ix", "name", *columns)
+        return labels.select("ix", quoted(label))
+    cells = [F.max_by(f"__c{n}", F.when(F.col(f"__c{n}").isNotNull(), F.col("__src"))).alias(f"__c{n}") for n in range(len(columns))]
+    merged = reduce(DataFrame.unionByName, tagged).groupBy("__l").agg(*cells)
+    named = labels.select("ix", F.col(quoted(label)).alias("__l"))
+    return named.join(merged, "__l", "left").select("ix", F.col("__l").alias(label), *[F.col(f"__c{n}").alias(c) for n, c in enumerate(columns)])
 
 
 def stacked_obs(tables: Sequence[tuple[DataFrame, int]], join: str, label: str | None = None, keys: Sequence[str] | None = None) -> DataFrame:
@@ -54,7 +61,7 @@ def stacked_obs(tables: Sequence[tuple[DataFrame, int]], join: str, label: str |
     for k, (df, n) in enumerate(tables):
         part = df.withColumn("ix", F.col("ix") + offset)
         if keys is not None:
-            part = part.select("ix", F.lit(keys[k]).alias(label or "label"), *[c for c in part.columns if c != "ix"])
+            part = part.select("ix", F.lit(keys[k]).alias(label or "label"), *[quoted(c) for c in part.columns if c != "ix"])
         parts.append(part)
         offset += n
     if join == "inner" and len({tuple(sorted((f.name, f.dataType.simpleString()) for f in p.schema)) for p in parts}) > 1:
@@ -62,34 +69,37 @@ def stacked_obs(tables: Sequence[tuple[DataFrame, int]], join: str, label: str |
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=join == "outer"), parts)
 
 
-def concat(tables: Sequence[AxisTable], join: str = "inner", label: str | None = None, keys: Sequence[str] | None = None) -> AxisTable:
-    """One container from several: X, obs and var; the other slots are left out, as they are not aligned."""
+def concat(tables: Sequence[AxisTable], join: str = "inner", label: str | None = None, keys: Sequence[str] | None = None, file: str | None = None) -> AxisTable:
+    """One container from several: X, obs and var; the other slots are left out, as they are not aligned.  With ``file``
+    it is written there and opened.  Names stay frames: nothing as long as an axis comes to the driver."""
     if not tables:
         raise ValueError("nothing to concatenate")
     if keys is not None and len(keys) != len(tables):
         raise ValueError("as many keys as inputs")
     spark = tables[0].spark
     frames = [t._names(1).frame(spark) for t in tables]
-    labels = merged_labels(frames, join).persist()
-    names = [r.name for r in labels.orderBy("ix").collect()]
-    new = {n: k for k, n in enumerate(names)}
-    with_names = [t.var.df.join(f, "ix") if t.var is not None else f for t, f in zip(tables, frames)]
-    var = Table(merged_var(labels, with_names).drop("name"), len(names))
+    labels = materialize(merged_labels(frames, join), "labels")
+    width = labels.count()
+    tag = "__label"
+    with_names = [(t.var.df.join(f.select("ix", F.col("name").alias(tag)), "ix") if t.var is not None else f.select("ix", F.col("name").alias(tag))) for t, f in zip(tables, frames)]
+    var = Table(merged_var(labels.select("ix", F.col("name").alias(tag)), with_names, tag).drop(tag), width)
     matrices = []
     for t, f in zip(tables, frames):
+        # Of a repeated label the first position counts.
+        mapping = f.join(labels.select(F.col("ix").alias("new"), "name"), "name").groupBy("new").agg(F.min("ix").alias("old"))
         if t.X is None:
             matrices.append(None)
         elif isinstance(t.X, Sparse):
-            mapping = f.join(labels.select(F.col("ix").alias("new"), "name"), "name").groupBy(F.col("ix").alias("old")).agg(F.min("new").alias("new"))
-            matrices.append(t.X.remap_columns(mapping, len(names)))
+            matrices.append(t.X.remap_columns(mapping, width))
         else:
-            old = {n: k for k, n in reversed(list(enumerate(t.var_names)))}
-            matrices.append(t.X.remap_columns([old.get(n) for n in new]))
+            # The rows of a dense matrix are arrays of this width, so its columns fit on the driver.
+            old = {r.new: r.old for r in mapping.collect()}
+            matrices.append(t.X.remap_columns([old.get(n) for n in range(width)]))
     present = [m for m in matrices if m is not None]
     X = None
     if present:
         kind = present[0]
-        empty = lambda n: Sparse(spark.createDataFrame([], f"i long, j long, seq long, v {_held(kind)}"), (n, len(names)), "csr", kind.dtype)
+        empty = lambda n: Sparse(spark.createDataFrame([], f"i long, j long, seq long, v {_held(kind)}"), (n, width), "csr", kind.dtype)
         parts = [m if m is not None else empty(t.shape[0]) for m, t in zip(matrices, tables)]
         if any(isinstance(p, Sparse) for p in parts):
             parts = [p.to_sparse() if isinstance(p, Dense) else p for p in parts]
@@ -98,8 +108,11 @@ def concat(tables: Sequence[AxisTable], join: str = "inner", label: str | None =
     if keys is not None or any(t.obs is not None for t in tables):
         parts = [(t.obs.df if t.obs is not None else spark.range(t.shape[0]).withColumnRenamed("id", "ix"), t.shape[0]) for t in tables]
         obs = Table(stacked_obs(parts, join, label, keys), sum(t.shape[0] for t in tables))
-    rows = ListIndex(tuple(n for t in tables for n in t.obs_names))
-    return AxisTable(spark, sum(t.shape[0] for t in tables), len(names), X=X, obs=obs, var=var, obs_index=rows, var_index=ListIndex(tuple(names)))
+    rows = sum(t.shape[0] for t in tables)
+    offsets = [sum(t.shape[0] for t in tables[:k]) for k in range(len(tables))]
+    names = reduce(DataFrame.unionByName, [t._names(0).frame(spark).select((F.col("ix") + o).alias("ix"), "name") for t, o in zip(tables, offsets)])
+    whole = AxisTable(spark, rows, width, X=X, obs=obs, var=var, obs_index=FrameIndex(names, rows), var_index=FrameIndex(labels, width))
+    return whole if file is None else store.write(whole, file)
 
 
 def _held(matrix: Sparse | Dense) -> str:

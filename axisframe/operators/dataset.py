@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe import store
-from axisframe.axis_index import ListIndex, equal
+from axisframe.axis_index import FrameIndex, equal
 from axisframe.elements import Dense, Element, ShapeError, Sparse, Table, stack_select, vstack
 from axisframe.model import AxisTable, same
 from axisframe.selection import FULL, Range, Selection
@@ -75,8 +75,10 @@ class AxisDataset:
         frames = [(k, first.spark.range(t.shape[0]).select((F.col("id") + off).alias("ix"))) for (k, t), off in zip(tables.items(), _offsets(tables.values()))]
         n = sum(t.shape[0] for t in tables.values())
         obs = Table(keyed_union(frames, add_key), n)
-        named = all(t.obs_index is not None for t in tables.values())
-        names = ListIndex(tuple(x for t in tables.values() for x in t.obs_names)) if named else None
+        names = None
+        if all(t.obs_index is not None for t in tables.values()):
+            parts = [t.obs_index.frame(first.spark).select((F.col("ix") + off).alias("ix"), "name") for t, off in zip(tables.values(), _offsets(tables.values()))]
+            names = FrameIndex(reduce(DataFrame.unionByName, parts), n)
         annotation = AxisTable(first.spark, n, first.n_vars, obs=obs, obs_index=names, var_index=first.var_index, uns=shared_uns(list(tables.values())))
         return cls(first.spark, tables, annotation, add_key, paths)
 
@@ -98,6 +100,56 @@ class AxisDataset:
             raise TypeError("X of a dataset lies in its children and cannot be set")
         return replace(self, annotation=self.annotation.set(slot, value, key))
 
+    @property
+    def obs(self) -> Table | None:
+        """The dataset's own obs: the key column and what was set."""
+        return self.annotation.obs
+
+    @property
+    def var(self) -> Table | None:
+        return self.annotation.var
+
+    @property
+    def uns(self) -> Mapping[str, Any]:
+        return self.annotation.uns
+
+    @property
+    def obsm(self) -> dict[str, Element]:
+        """The dataset's own arrays, and the children's stacked ones under keys that it has not."""
+        return {**self.child_obsm(), **self.annotation.obsm}
+
+    @property
+    def varm(self) -> Mapping[str, Element]:
+        return self.annotation.varm
+
+    @property
+    def obsp(self) -> Mapping[str, Element]:
+        return self.annotation.obsp
+
+    @property
+    def varp(self) -> Mapping[str, Element]:
+        return self.annotation.varp
+
+    @property
+    def obs_names(self) -> list[str]:
+        return self.annotation.obs_names
+
+    @property
+    def var_names(self) -> list[str]:
+        return self.annotation.var_names
+
+    def flattened(self) -> DataFrame:
+        """(ix, child, local): the child and the position in it of every stacked position, by literal offsets."""
+        frames = [(k, self.spark.range(n).select((F.col("id") + off).alias("ix"), F.col("id").alias("local"))) for k, n, off in zip(self.children, self.lengths, _offsets(self.children.values()))]
+        return keyed_union(frames, "child")
+
+    def subset(self, obs=FULL, var=FULL) -> AxisTable:
+        """Rows and columns as one container, resolved to each child; rows as in :meth:`AxisTable.subset`."""
+        return self.to_table(obs, var)
+
+    def __getitem__(self, what) -> AxisTable:
+        return self.subset(*what) if isinstance(what, tuple) else self.subset(what)
+
     def child_obs(self) -> Table | None:
         parts = [t.obs for t in self.children.values()]
         return stacked_table(parts) if all(p is not None for p in parts) else None
@@ -117,15 +169,17 @@ class AxisDataset:
             position -= n
         raise IndexError(position)
 
-    def to_table(self, obs=FULL, var=FULL, copy_x: bool = True) -> AxisTable:
-        """One container with the dataset's annotation, the stacked X, and the stacked obsm under keys of its own."""
+    def to_table(self, obs=FULL, var=FULL, copy_x: bool = True, file: str | None = None) -> AxisTable:
+        """One container with the dataset's annotation, the stacked X, and the stacked obsm under keys of its own; with
+        ``file`` it is written there and opened."""
         a = self.annotation
         arrays = {k: v for k, v in self.child_obsm().items() if k not in a.obsm}
         table = replace(a, obsm={**arrays, **a.obsm})
         chosen = table._selection(obs, 0), table._selection(var, 1)
         out = table.subset(*chosen)
         x = self.X if copy_x else None
-        return out.set("X", self.select_x(*chosen)) if x is not None else out
+        out = out.set("X", self.select_x(*chosen)) if x is not None else out
+        return out if file is None else store.write(out, file)
 
     def write(self, path: str, relative: bool = True) -> AxisDataset:
         """Write the annotation and the registry of children; children without a path are written beside it."""
@@ -161,26 +215,29 @@ def shared_uns(tables: Sequence[AxisTable]) -> dict[str, Any]:
     return {k: v for k, v in first.items() if all(k in t.uns and agree(t.uns[k], v) for t in tables[1:])}
 
 
-def resolve_paths(path: str, registry: dict, at: Mapping[str, str] | str | None = None) -> dict[str, str]:
+def resolve_paths(path: str, registry: dict, at: Mapping[str, str] | str | None = None, found=None) -> dict[str, str]:
     """Where the children are: relative paths start at the dataset's (real) folder; ``at`` relocates them, by key or to
-    a folder that holds them under their own names."""
+    a folder that holds them under their own names.  ``found`` tells whether a store is at a place: a child that is not in
+    the new folder keeps its old path."""
     base = os.path.realpath(path) if "://" not in path else path
+    whole = lambda p: p if p.startswith("/") or "://" in p else os.path.normpath(f"{base}/{p}") if "://" not in base else f"{base}/{p}"
     out = {}
     for key, p in zip(registry["keys"], registry["paths"]):
+        out[key] = whole(p)
         if isinstance(at, Mapping) and key in at:
-            p = at[key]
+            out[key] = whole(at[key])
         elif isinstance(at, str):
-            p = f"{at.rstrip('/')}/{p.rstrip('/').rsplit('/', 1)[-1]}"
-        out[key] = p if p.startswith("/") or "://" in p else os.path.normpath(f"{base}/{p}") if "://" not in base else f"{base}/{p}"
+            moved = whole(f"{at.rstrip('/')}/{p.rstrip('/').rsplit('/', 1)[-1]}")
+            out[key] = moved if found is None or found(moved) else out[key]
     return out
 
 
 def open_dataset(spark: SparkSession, path: str, at: Mapping[str, str] | str | None = None) -> AxisDataset:
-    """Open a dataset; with ``at`` its registry is rewritten to the children's new places."""
+    """Open a dataset; with ``at`` its registry is rewritten to the children's new places once all of them are open."""
     files = store.Files(spark, path)
     registry = json.loads(files.read(REGISTRY))
-    paths = resolve_paths(path, registry, at)
+    paths = resolve_paths(path, registry, at, lambda p: store.Files(spark, p).exists(store.MANIFEST))
+    children = {k: store.read(spark, p) for k, p in paths.items()}
     if at is not None:
         files.write(REGISTRY, json.dumps(registry | {"paths": list(paths.values())}))
-    children = {k: store.read(spark, p) for k, p in paths.items()}
     return AxisDataset(spark, children, store.read(spark, f"{path}/annotation"), registry["add_key"], paths)

@@ -8,6 +8,8 @@ _R = "SELECT l_orderkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem WHER
 _KEPT = "SELECT l_orderkey AS i, l_partkey AS j, l_quantity AS v FROM lineitem WHERE l_returnflag <> 'R'"
 _STACK = f"SELECT * FROM ({_R}) UNION ALL SELECT i + {_N}, j, v FROM ({_KEPT})"
 _LONG = "SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings"
+_SEQ = """SELECT l_orderkey AS i, l_partkey AS j, row_number() OVER (PARTITION BY l_orderkey, l_partkey
+      ORDER BY l_suppkey, l_linenumber, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS seq, l_quantity AS v FROM lineitem"""
 _LABELS = """
 part_names AS (SELECT p_partkey AS ix, p_brand || '_' || p_size AS name FROM part),
 tagged AS (SELECT 0 AS src, * FROM part_names WHERE ix % 3 <> 0 UNION ALL SELECT 1, * FROM part_names WHERE ix % 2 = 0),
@@ -147,6 +149,59 @@ ORACLES: dict[str, str] = {
     "roundtrip_write_read": f"SELECT i - 100 AS i, j, v FROM ({_X}) WHERE i >= 100 AND i < {_N} - 600",
     "append_chunks": _STACK,
     "mtx_roundtrip": _X,
+    "select_mask_column": f"""SELECT new AS i, j, v FROM ({_X}) JOIN (
+      SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS new FROM orders WHERE o_orderpriority = '1-URGENT') ON i = o_orderkey""",
+    "select_by_names": f"SELECT i, ({_PARTS} - 1 - j) // 3 AS j, v FROM ({_X}) WHERE j % 3 = 0",
+    "select_seq": f"SELECT ({_N} - 1 - i) // 3 AS i, j - 5 AS j, seq, v FROM ({_SEQ}) WHERE ({_N} - 1 - i) % 3 = 0 AND j >= 5",
+    "stack_seq": f"""SELECT (2 * {_N} - 4 - i) // 2 AS i, j, seq, v FROM (SELECT * FROM ({_SEQ}) UNION ALL SELECT i + {_N}, j, seq, v FROM ({_SEQ}))
+      WHERE i >= 5 AND i < 2 * {_N} - 3 AND (2 * {_N} - 4 - i) % 2 = 0""",
+    "stack_mixed": f"SELECT * FROM ({_LONG}) WHERE v <> 0 UNION ALL SELECT i + (SELECT count(*) FROM embeddings), j, v FROM ({_LONG}) WHERE v <> 0",
+    "stack_places": f"SELECT (2 * {_N} - 1 - i) // 5 AS i, j, v FROM ({_STACK}) WHERE (2 * {_N} - 1 - i) % 5 = 0",
+    "dataset_subset": f"SELECT new AS i, j, v FROM ({_STACK}) JOIN (SELECT {_N} + 2 AS old, 0 AS new UNION ALL SELECT 1, 1 UNION ALL SELECT 2, 2) ON i = old",
+    "dataset_written": _STACK,
+    "dataset_mask": _KEPT,
+    "concat_full": f"SELECT * FROM ({_X}) UNION ALL SELECT i + {_N}, j + 50, v FROM ({_X})",
+    "concat_full_obs": f"SELECT o_orderkey AS ix, 'a' AS source, o_totalprice AS name FROM orders UNION ALL SELECT o_orderkey + {_N}, 'b', -o_totalprice FROM orders",
+    "concat_full_var": f"""SELECT k AS ix, CAST(k AS VARCHAR) AS label, coalesce(b.p_brand, a.p_name) AS name, a.p_size, b.p_type AS kind
+      FROM range({_PARTS} + 50) r(k) LEFT JOIN part a ON a.p_partkey = k LEFT JOIN part b ON b.p_partkey + 50 = k""",
+    "split_empty_key": f"""SELECT key, ordinal AS i, j, v FROM ({_X}) JOIN (
+      SELECT o_orderkey, key, row_number() OVER (PARTITION BY key ORDER BY o_orderkey) - 1 AS ordinal
+      FROM (SELECT o_orderkey, CASE o_orderpriority WHEN '5-LOW' THEN '' ELSE substring(o_orderpriority, 3) END AS key FROM orders) WHERE key <> 'HIGH') ON i = o_orderkey""",
+    "split_obs_rows": """SELECT o_orderpriority AS key, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS ix, o_totalprice,
+      CAST(o_orderkey + 7 AS VARCHAR) AS name FROM orders""",
+    "chunk_table": f"""SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(o_custkey) AS BIGINT) AS total, max(o_orderkey) AS last, (o_orderkey // (({_N} + 3) // 4)) * (({_N} + 3) // 4) AS start
+      FROM orders GROUP BY o_orderkey // (({_N} + 3) // 4)""",
+    "categorical_select": """SELECT ((SELECT count(*) FROM events) - 1 - event_id) // 9 AS ix, code, event_type AS category FROM events JOIN (
+      SELECT event_type, CAST(row_number() OVER (ORDER BY min(event_id)) - 1 AS INTEGER) AS code FROM events GROUP BY event_type) USING (event_type)
+      WHERE event_id > 3 AND ((SELECT count(*) FROM events) - 1 - event_id) % 9 = 0""",
+    "stored_names": f"SELECT (o_orderkey - 10) // 2 AS ix, 'o' || o_custkey AS name FROM orders WHERE o_orderkey >= 10 AND o_orderkey < {_N} - 10 AND (o_orderkey - 10) % 2 = 0",
+    "cast_dense": f"SELECT i, j, v AS as_f64, CAST(CAST(floor(CAST(v AS FLOAT) * CAST(1000 AS FLOAT)) AS INTEGER) AS VARCHAR) AS as_text FROM ({_LONG})",
+    "cast_dense_f32": "SELECT p_partkey AS i, 0 AS j, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 1, 3.0 FROM part",
+    "memory_compressed": _SEQ,
+    "memory_dense": _LONG,
+    "memory_table": "SELECT c_custkey AS ix, c_acctbal, c_mktsegment FROM customer",
+    "transposed": f"SELECT j - 20 AS i, i AS j, v FROM ({_X}) WHERE j >= 20 AND j < 120",
+    "append_twice": _STACK,
+    "append_csc": _STACK,
+    "append_dense": f"SELECT * FROM ({_LONG}) UNION ALL SELECT i // 2 + (SELECT count(*) FROM embeddings), j, v FROM ({_LONG}) WHERE i % 2 = 0",
+    "append_table": """SELECT c_custkey AS ix, c_name AS name, c_acctbal AS acctbal FROM customer
+      UNION ALL SELECT s_suppkey + (SELECT count(*) FROM customer), s_name, s_acctbal FROM supplier""",
+    "append_anew": _KEPT,
+    "write_slice": f"""WITH n AS (SELECT count(*) AS n FROM embeddings)
+      SELECT i, j, CASE WHEN i > 7 AND (n - 1 - i) % 4 = 0 THEN CAST(((n - 1 - i) // 4) % 100 AS DOUBLE) ELSE v END AS v FROM ({_LONG}), n""",
+    "subset_written": f"SELECT (i - 10) // 3 AS i, j - 5 AS j, v FROM ({_X}) WHERE i >= 10 AND (i - 10) % 3 = 0 AND j >= 5 AND j < 90",
+    "container_shapes": f"""SELECT 'X' AS slot, {_N} AS rows, {_PARTS} AS cols UNION ALL SELECT 'obs', {_N}, 5 UNION ALL SELECT 'layers/copy', {_N}, {_PARTS}
+      UNION ALL SELECT 'obsm/narrow', {_N}, 7""",
+    "store_equal": "SELECT * FROM (VALUES ('X', true), ('obs', true), ('var', true), ('layers/discount', true), ('changed', false)) t(slot, equal)",
+    "mtx_read": _SEQ,
+    "mtx_symmetric": """SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j, 0 AS seq,
+      CAST(greatest(a.n_nationkey, b.n_nationkey) * 100 + least(a.n_nationkey, b.n_nationkey) AS BIGINT) AS v FROM nation a JOIN nation b USING (n_regionkey)""",
+    "p3_alternatives": f"""WITH {_DRIFT},
+      had AS (SELECT file_id, col, type, CAST(count(*) AS BIGINT) AS n, min(row_no) AS first_row FROM typed GROUP BY ALL),
+      both_ AS (SELECT file_id, before, col, col AS old_name FROM kept UNION ALL
+        SELECT r.file_id, s.before, r.new_name, r.old_name FROM renamed r JOIN steps s USING (file_id))
+      SELECT b.file_id, b.col AS "column", b.old_name, h.type, h.n, h.first_row FROM both_ b JOIN had h ON h.file_id = b.file_id AND h.col = b.col
+        ANTI JOIN had o ON o.file_id = b.before AND o.col = b.old_name AND o.type = h.type""",
     "p3_found": f"""WITH {_DRIFT}
       SELECT file_id, 'renamed' AS change_kind, old_name, new_name FROM renamed
       UNION ALL SELECT file_id, 'added', '', new_name FROM news ANTI JOIN renamed USING (file_id, new_name)

@@ -11,12 +11,11 @@ from axisframe import store
 from axisframe.axis_index import IntervalIndex, RangeIndex, Run, interval_lookup, lookup_frame
 from axisframe.elements import Dense, Sparse, Table, stack_select, vstack
 from axisframe.functions import casts
-from axisframe.model import AxisTable
+from axisframe.model import AxisTable, same
 from axisframe.operators import chunks, concat, dataset, schema_drift, split
-from axisframe.ordinals import rank_by_position
 from axisframe.plans import bindings as b
 from axisframe.plans.bindings import table
-from axisframe.selection import Index, Range, expand, parse
+from axisframe.selection import Index, Places, Range, parse, points_frame
 from axisframe.sources import mtx
 from axisframe.workspace import fresh_path
 
@@ -92,9 +91,35 @@ def select_composed(spark, sf_dir):
 def select_mask(spark, sf_dir):
     """Rows where a boolean column of the axis is true; their new positions by distributed ranking."""
     x = b.entries(spark, sf_dir)
-    mask = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("ix"))
-    places = rank_by_position(mask, "ix", out="new")
-    return x.df.join(places, F.col("i") == F.col("ix")).select(F.col("new").alias("i"), "j", "v")
+    mask = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return _cells(x.select(Places.of_mask(mask, "o_orderkey"), Range(0, x.shape[1])))
+
+
+@query
+def select_mask_column(spark, sf_dir):
+    """The same through the container: a condition on obs subsets every slot."""
+    return _cells(b.container(spark, sf_dir).subset(obs=F.col("o_orderpriority") == "1-URGENT").X)
+
+
+@query
+def select_by_names(spark, sf_dir):
+    """Columns by a frame of names, in the order asked; the names of the axis are a frame too."""
+    t = b.container(spark, sf_dir).with_names(1, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ix"), F.concat(F.lit("p"), "p_partkey").alias("name")))
+    n = t.n_vars
+    wanted = spark.range(0, n, 3).select(F.floor((F.lit(n - 1) - F.col("id")) / 3).cast("long").alias("new"), F.concat(F.lit("p"), F.col("id")).alias("name"))
+    return _cells(t.subset(var=wanted).X)
+
+
+@query
+def select_seq(spark, sf_dir):
+    """Entries of repeated coordinates keep their order through a selection of rows and columns."""
+    x = _ordered(spark, sf_dir)
+    return x[::-3, 5:].df
+
+
+def _ordered(spark, sf_dir) -> Sparse:
+    lines = table(spark, sf_dir, "lineitem")
+    return Sparse.of(lines, (b.length(spark, sf_dir, "orders"), b.length(spark, sf_dir, "part")), "l_orderkey", "l_partkey", "l_quantity", b.ORDER[:2] + b.ORDER[3:])
 
 
 @query
@@ -109,9 +134,7 @@ def select_names(spark, sf_dir):
 def select_points(spark, sf_dir):
     """A mixed selection as explicit points, looked up one by one."""
     x = b.summed(spark, sf_dir)
-    points = expand([Index((7, 3, 900)), Range(0, 60)])
-    frame = spark.createDataFrame([(int(i), int(j), n) for n, (i, j) in enumerate(points)], "i long, j long, place long")
-    return frame.join(x.df, ["i", "j"], "left").select("place", "i", "j", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return x.lookup(points_frame(spark, [Index((7, 3, 900)), Range(0, 60)])).select("place", "i", "j", "v")
 
 
 @query
@@ -299,13 +322,53 @@ def dataset_to_table(spark, sf_dir):
 @query
 def flattened_positions(spark, sf_dir):
     """Stacked position -> child and local position, by literal offsets."""
-    names = ("customer", "supplier", "part")
-    lengths = [b.length(spark, sf_dir, n) for n in names]
-    offset, parts = 0, []
-    for n, size in zip(names, lengths):
-        parts.append((n, spark.range(size).select((F.col("id") + offset).alias("ix"), F.col("id").alias("local"))))
-        offset += size
-    return dataset.keyed_union(parts, "child")
+    children = {n: AxisTable(spark).with_length(0, b.length(spark, sf_dir, n)) for n in ("customer", "supplier", "part")}
+    return dataset.AxisDataset.of(children).flattened()
+
+
+@query
+def dataset_subset(spark, sf_dir):
+    """Rows of a dataset by stacked positions as one container, all columns."""
+    d = _dataset(spark, sf_dir)
+    n = d.shape[0] // 2
+    return _cells(d[[n + 2, 1, 2], :].X)
+
+
+@query
+def dataset_written(spark, sf_dir):
+    """A dataset written, opened again, and its X."""
+    path = fresh_path(spark, "dataset")
+    _dataset(spark, sf_dir).write(path)
+    return _cells(dataset.open_dataset(spark, path).X)
+
+
+@query
+def dataset_mask(spark, sf_dir):
+    """Rows of one child through the key column of the dataset's obs."""
+    return _cells(_dataset(spark, sf_dir)[F.col("sample") == "kept"].X)
+
+
+@query
+def stack_seq(spark, sf_dir):
+    """Entries of repeated coordinates keep their order in a stack, cut across its children."""
+    x = _ordered(spark, sf_dir)
+    return stack_select([x, x], Range(5, 2 * x.shape[0] - 3, -2)).df
+
+
+@query
+def stack_mixed(spark, sf_dir):
+    """A dense child below a sparse one: the stack is sparse."""
+    d = b.vectors(spark, sf_dir)
+    return _cells(vstack([d.to_sparse(), d])).withColumn("v", F.col("v").cast("double"))
+
+
+@query
+def stack_places(spark, sf_dir):
+    """Rows of a stack by a frame of positions, from both children."""
+    parts = _halves(spark, sf_dir)
+    n = 2 * parts[0].shape[0]
+    places = Places(spark.range(0, n, 5).select((F.lit(n - 1) - F.col("id")).alias("old"), F.floor(F.col("id") / 5).cast("long").alias("new")), -(-n // 5))
+    return _cells(stack_select(parts, places))
 
 
 # -- concat --------------------------------------------------------------------------------------------------------
@@ -387,6 +450,35 @@ def concat_dense(spark, sf_dir):
     return concat.concat([one, two], "outer").X.to_long().withColumn("v", F.col("v").cast("double"))
 
 
+def _full(spark, sf_dir) -> AxisTable:
+    """Two containers with ordinary tables, one of whose columns is called name and one has a dot, concatenated."""
+    x, part = b.entries(spark, sf_dir), table(spark, sf_dir, "part")
+    v = part.select(F.col("p_partkey").alias("ix"), F.col("p_name").alias("name"), F.col("p_size").alias("p.size"))
+    w = part.select(F.col("p_partkey").alias("ix"), F.col("p_brand").alias("name"), F.col("p_type").alias("kind"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ix"), F.col("o_totalprice").alias("name"))
+    n = x.shape[1]
+    one = AxisTable(spark, X=x, obs=Table(o, x.shape[0]), var=Table(v, n)).with_names(1, RangeIndex(0, n))
+    two = AxisTable(spark, X=x, obs=Table(o.withColumn("name", -F.col("name")), x.shape[0]), var=Table(w, n)).with_names(1, RangeIndex(50, 50 + n))
+    return concat.concat([one, two], "outer", "source", ["a", "b"], file=fresh_path(spark, "concat"))
+
+
+@query
+def concat_full(spark, sf_dir):
+    return _cells(_full(spark, sf_dir).X)
+
+
+@query
+def concat_full_obs(spark, sf_dir):
+    return _full(spark, sf_dir).obs.df
+
+
+@query
+def concat_full_var(spark, sf_dir):
+    t = _full(spark, sf_dir)
+    names = t.var_index.frame(spark).select("ix", F.col("name").alias("label"))
+    return t.var.df.withColumnRenamed("p.size", "p_size").join(names, "ix")
+
+
 # -- split and chunks ----------------------------------------------------------------------------------------------
 
 
@@ -410,6 +502,32 @@ def split_x(spark, sf_dir):
     return dataset.keyed_union([(k, _cells(p.X)) for k, p in parts.items()], "key")
 
 
+@query
+def split_empty_key(spark, sf_dir):
+    """A split whose keys are '' and others: the empty text is a key like any."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ix"), F.expr("nullif(case o_orderpriority when '5-LOW' then '' else substring(o_orderpriority, 3) end, 'HIGH')").alias("key.1"))
+    x = b.entries(spark, sf_dir)
+    parts = split.split_obs_by(AxisTable(spark, X=x, obs=Table(o, x.shape[0])), "key.1", fresh_path(spark, "split_out"))
+    return dataset.keyed_union([(k, _cells(p.X)) for k, p in parts.items()], "key")
+
+
+@query
+def split_obs_rows(spark, sf_dir):
+    """Obs and names of every part of a split."""
+    o = b.obs(spark, sf_dir)
+    t = AxisTable(spark, obs=o).with_names(0, RangeIndex(7, 7 + o.n))
+    parts = split.split_obs_by(t, "o_orderpriority")
+    return dataset.keyed_union([(k, p.obs.df.select("ix", "o_totalprice").join(p.obs_index.frame(spark), "ix")) for k, p in parts.items()], "key")
+
+
+@query
+def chunk_table(spark, sf_dir):
+    """Chunks of a table: rows and sums of each."""
+    t = b.obs(spark, sf_dir)
+    sums = [c.df.agg(F.count("*").alias("n"), F.sum("o_custkey").cast("long").alias("total"), (F.max("ix") + a).alias("last")).withColumn("start", F.lit(a).cast("long")) for c, a, _ in chunks.Chunks(t, -(-t.n // 4))]
+    return sums[0].unionByName(sums[1]).unionByName(sums[2]).unionByName(sums[3])
+
+
 @query
 def chunk_bounds(spark, sf_dir):
     n = b.length(spark, sf_dir, "orders")
@@ -467,6 +585,23 @@ def categorical_codes(spark, sf_dir):
     return codes.join(names, "code")
 
 
+@query
+def categorical_select(spark, sf_dir):
+    """Codes of selected rows; the categories stay those of the whole column."""
+    t = Table(table(spark, sf_dir, "events").select(F.col("event_id").alias("ix"), "event_type"), b.length(spark, sf_dir, "events"))
+    codes, names = t.select_codes("event_type", parse(slice(None, 3, -9), t.n))
+    return codes.join(names, "code")
+
+
+@query
+def stored_names(spark, sf_dir):
+    """Names of a long axis written as a table of the store and read again."""
+    n = b.length(spark, sf_dir, "orders")
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ix"), F.concat(F.lit("o"), F.col("o_custkey")).alias("name"))
+    t = store.write(AxisTable(spark).with_length(0, n).with_names(0, names), fresh_path(spark, "store"))
+    return t[10:-10:2].obs_index.frame(spark)
+
+
 # -- conversions ---------------------------------------------------------------------------------------------------
 
 
@@ -489,6 +624,49 @@ def cast_string(spark, sf_dir):
     return p.select("p_partkey", casts.convert(F.col("p_size"), "i32", "string").alias("size_text"), casts.convert(F.col("p_size") > 10, "bool", "i32").alias("large"))
 
 
+@query
+def cast_dense(spark, sf_dir):
+    """A dense array in double precision, and as text."""
+    d = b.vectors(spark, sf_dir)
+    wide = d.cast("f64").to_long().withColumnRenamed("v", "as_f64")
+    whole = Dense(d.df.withColumn("v", F.transform("v", lambda x: F.floor(x * 1000).cast("int"))), d.shape, "i32")
+    return wide.join(whole.cast("string").to_long().withColumnRenamed("v", "as_text"), ["i", "j"])
+
+
+@query
+def cast_dense_f32(spark, sf_dir):
+    p = Dense(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.array(F.col("p_size").cast("smallint"), F.lit(3).cast("smallint")).alias("v")), (b.length(spark, sf_dir, "part"), 2))
+    return p.cast("f32").to_long().withColumn("v", F.col("v").cast("double"))
+
+
+@query
+def memory_compressed(spark, sf_dir):
+    """X as compressed rows on the driver and back; repeated coordinates stay."""
+    x = _ordered(spark, sf_dir)
+    return Sparse.from_compressed(spark, *x.to_compressed(), x.shape).df
+
+
+@query
+def memory_dense(spark, sf_dir):
+    """A dense array as numpy and back."""
+    d = b.vectors(spark, sf_dir)
+    return Dense.from_numpy(spark, d.to_numpy()).to_long().withColumn("v", F.col("v").cast("double"))
+
+
+@query
+def memory_table(spark, sf_dir):
+    """A table as pandas, with a categorical column, and back."""
+    n = b.length(spark, sf_dir, "customer")
+    frame = Table(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ix"), "c_acctbal", "c_mktsegment"), n).to_pandas()
+    frame["c_mktsegment"] = frame["c_mktsegment"].astype("category")
+    return Table.from_pandas(spark, frame).df
+
+
+@query
+def transposed(spark, sf_dir):
+    return b.entries(spark, sf_dir).transpose()[20:120, :].df.select("i", "j", "v")
+
+
 @query
 def dense_from_sparse(spark, sf_dir):
     """A narrow sparse matrix as dense rows, zeros included."""
@@ -521,13 +699,115 @@ def append_chunks(spark, sf_dir):
     return _cells(store.append_rows(spark, path, iter(_halves(spark, sf_dir))).X)
 
 
+@query
+def append_twice(spark, sf_dir):
+    """Two calls: the second grows what the first left."""
+    path = fresh_path(spark, "store")
+    store.create(spark, path)
+    for part in _halves(spark, sf_dir):
+        store.append_rows(spark, path, iter([part]))
+    return _cells(store.read(spark, path).X)
+
+
+@query
+def append_csc(spark, sf_dir):
+    path, parts = fresh_path(spark, "store"), _halves(spark, sf_dir)
+    store.create(spark, path)
+    store.append_rows(spark, path, iter([parts[0].with_layout("csc")]), "layers/lines")
+    return _cells(store.append_rows(spark, path, iter([parts[1].with_layout("csc")]), "layers/lines").layers["lines"])
+
+
+@query
+def append_dense(spark, sf_dir):
+    path, d = fresh_path(spark, "store"), b.vectors(spark, sf_dir)
+    store.create(spark, path)
+    store.append_rows(spark, path, iter([d]), "obsm/vectors")
+    return store.append_rows(spark, path, iter([d[::2, :]]), "obsm/vectors").obsm["vectors"].to_long().withColumn("v", F.col("v").cast("double"))
+
+
+@query
+def append_table(spark, sf_dir):
+    """A table grown by chunks whose columns come in another order."""
+    path = fresh_path(spark, "store")
+    store.create(spark, path)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ix"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("acctbal"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_acctbal").alias("acctbal"), F.col("s_suppkey").alias("ix"), F.col("s_name").alias("name"))
+    store.append_rows(spark, path, iter([Table(c, b.length(spark, sf_dir, "customer"))]), "obs")
+    return store.append_rows(spark, path, iter([Table(s, b.length(spark, sf_dir, "supplier"))]), "obs").obs.df
+
+
+@query
+def append_anew(spark, sf_dir):
+    """X set from an iterator in place of what it was."""
+    path, parts = fresh_path(spark, "store"), _halves(spark, sf_dir)
+    store.create(spark, path)
+    store.append_rows(spark, path, iter(parts))
+    return _cells(store.append_rows(spark, path, iter(parts[1:]), anew=True).X)
+
+
+@query
+def write_slice(spark, sf_dir):
+    """Every fourth row of a stored dense array replaced, in falling order."""
+    d = b.vectors(spark, sf_dir)
+    path = fresh_path(spark, "store")
+    store.write(AxisTable(spark, obsm={"v": d}), path)
+    rows = parse(slice(None, 7, -4), d.shape[0])
+    new = Dense(spark.range(len(rows)).select(F.col("id").alias("i"), F.array_repeat((F.col("id") % 100).cast("float"), 64).alias("v")), (len(rows), 64), d.dtype)
+    return store.write_rows(spark, path, "obsm/v", rows, new).obsm["v"].to_long().withColumn("v", F.col("v").cast("double"))
+
+
+@query
+def subset_written(spark, sf_dir):
+    """A subset of a container as a store of its own; its X."""
+    t = b.container(spark, sf_dir).subset(slice(10, None, 3), slice(5, 90)).write(fresh_path(spark, "store"))
+    return _cells(t.X)
+
+
+@query
+def container_shapes(spark, sf_dir):
+    """What a container holds after a layer was set, one deleted, and a table set: every element with its shape."""
+    t = b.container(spark, sf_dir)
+    t = t.set("layers", t.X, "copy").delete("layers", "discount").set("obsm", b.entries(spark, sf_dir)[:, 0:7].to_dense(), "narrow").set("var", None)
+    return spark.createDataFrame([(s, *map(int, e.shape)) for s, e in t.elements()], "slot string, rows long, cols long")
+
+
+@query
+def store_equal(spark, sf_dir):
+    """Which elements of a store equal those it was written from."""
+    t = b.container(spark, sf_dir)
+    back = store.write(t, fresh_path(spark, "store"))
+    there = dict(back.elements())
+    changed = there["X"].df.withColumn("v", F.when(F.col("i") == 3, F.col("v") + 1).otherwise(F.col("v")))
+    rows = [(s, same(e, there[s])) for s, e in t.elements()] + [("changed", same(t.X, Sparse(changed, t.X.shape)))]
+    return spark.createDataFrame(rows, "slot string, equal boolean")
+
+
+@query
+def mtx_read(spark, sf_dir):
+    """A MatrixMarket file with repeated coordinates, whose order in the file becomes ``seq``."""
+    path = fresh_path(spark, "mtx")
+    mtx.write_mtx(_ordered(spark, sf_dir), path)
+    return mtx.read_mtx(spark, path).df
+
+
+@query
+def mtx_symmetric(spark, sf_dir):
+    """A symmetric file in parts: the entry below the diagonal stands for both."""
+    path = fresh_path(spark, "mtx")
+    low = b.nation_pairs(spark, sf_dir).df.where("i >= j")
+    lines = low.select(F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), F.col("v").cast("string")).alias("value"))
+    lines.write.text(path)
+    store.Files(spark, path).write("part-.header", f"%%MatrixMarket matrix coordinate integer symmetric\n% pairs\n25 25 {low.count()}\n")
+    return mtx.read_mtx(spark, path).df
+
+
 @query
 def mtx_roundtrip(spark, sf_dir):
     """Write X as a MatrixMarket file and read it again."""
     path = fresh_path(spark, "mtx")
     x = b.entries(spark, sf_dir)
     mtx.write_mtx(x, path)
-    return mtx.read_mtx_parts(spark, path).df.select("i", "j", "v")
+    return mtx.read_mtx(spark, path).df.select("i", "j", "v")
 
 
 # -- drifting schemas ----------------------------------------------------------------------------------------------

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axisframe.ordinals import rank_by_position
+
 #: Positions given as a list are broadcast up to this many (16 bytes each), joined by shuffle beyond.
 BROADCAST_POSITIONS = 1_000_000
 #: Lists up to this many distinct positions also become an IN filter on the scan.
@@ -105,7 +107,33 @@ class Names:
     names: tuple[str, ...]
 
 
-Selection = Range | Index
+@dataclass(frozen=True)
+class Places:
+    """Positions held in a frame (old, new), for selections too long for the driver: masks and names as columns."""
+
+    df: DataFrame
+    n: int
+
+    @classmethod
+    def of_mask(cls, rows: DataFrame, ordinal: str = "ix") -> Places:
+        """The positions that a frame names, each once, in rising order."""
+        places = rank_by_position(rows.select(F.col(ordinal).alias("old")).where("old is not null").distinct(), "old", out="new")
+        return cls(places, places.count())
+
+    def resolve(self, n: int) -> Places:
+        return self
+
+    def __len__(self) -> int:
+        return self.n
+
+    def positions(self) -> np.ndarray:
+        raise SelectionError("a selection held in a frame has no local positions; it selects rows only")
+
+    def is_full(self, n: int) -> bool:
+        return False
+
+
+Selection = Range | Index | Places
 FULL = Range()
 
 
@@ -113,7 +141,7 @@ def parse(what, n: int) -> Selection:
     """A selection from a Python subscript: slice, ``...``, None, integer, list, boolean mask or Series."""
     if what is None or what is Ellipsis:
         return FULL.resolve(n)
-    if isinstance(what, (Range, Index)):
+    if isinstance(what, (Range, Index, Places)):
         return what.resolve(n)
     if isinstance(what, slice):
         start, stop, step = what.indices(n)
@@ -154,9 +182,27 @@ def compose(first: Selection, then: Selection) -> Selection:
         start = first.start + then.start * first.step
         stop = first.start + (then.start + (len(then) - 1) * then.step) * first.step + 1 if len(then) else start
         return Range(start, stop, first.step * then.step)
+    if isinstance(first, Range) and isinstance(then, Range):
+        # Reversals: the positions still lie at one distance from each other, downwards or upwards.
+        k, step = len(then), first.step * then.step
+        if not k:
+            return Range(0, 0)
+        ends = [_place(first, _place(then, n)) for n in (0, k - 1)]
+        return Range(ends[0], ends[1] + 1, step) if step > 0 else Range(ends[1], ends[0] + 1, step)
+    if isinstance(then, Places):
+        raise SelectionError("a selection held in a frame cannot be composed; select twice")
     return Index(tuple(first.positions()[then.positions()].tolist()))
 
 
+def _place(selection: Range, n: int) -> int:
+    return selection.start + n * selection.step if selection.step > 0 else selection.stop - 1 + n * selection.step
+
+
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def out_shape(selections: Iterable[Selection]) -> tuple[int, ...]:
     return tuple(len(s) for s in selections)
 
@@ -169,30 +215,57 @@ def expand(selections: Sequence[Selection]) -> np.ndarray | None:
     return np.stack([g.ravel() for g in grids], axis=1)
 
 
+def points_frame(spark, selections: Sequence[Selection], names: Sequence[str] = ("i", "j")) -> DataFrame:
+    """(names..., place): the points of :func:`expand` as a frame, multiplied out on the executors; ``place`` is row-major."""
+    total = int(np.prod([len(s) for s in selections], dtype=np.int64))
+    points, rest = spark.range(total).withColumnRenamed("id", "place"), total
+    for name, s in zip(names, selections):
+        rest //= max(len(s), 1)
+        local = F.floor(F.col("place") / rest).cast("long") % len(s)
+        if isinstance(s, Range):
+            points = points.withColumn(name, (F.lit(s.start) + local * s.step) if s.step > 0 else (F.lit(s.stop - 1) + local * s.step))
+        else:
+            at = positions_frame(spark, s, "__old", "__new") if not isinstance(s, Places) else s.df.select(F.col("old").alias("__old"), F.col("new").alias("__new"))
+            points = points.withColumn("__k", local).join(at, F.col("__k") == F.col("__new")).withColumn(name, F.col("__old")).drop("__k", "__old", "__new")
+    return points.select(*names, "place")
+
+
 def positions_frame(spark, selection: Selection, old: str = "old", new: str = "new") -> DataFrame:
     """(old, new) of a list of positions."""
     at = selection.positions()
-    frame = spark.createDataFrame(pd.DataFrame({old: at.astype("int64"), new: np.arange(len(at), dtype="int64")}), f"{old} long, {new} long")
+    return _frame(spark, at, np.arange(len(at)), old, new)
+
+
+def _frame(spark, at: np.ndarray, new_at: np.ndarray, old: str, new: str) -> DataFrame:
+    frame = spark.createDataFrame(pd.DataFrame({old: at.astype("int64"), new: new_at.astype("int64")}), f"{old} long, {new} long")
     return F.broadcast(frame) if len(at) <= BROADCAST_POSITIONS else frame
 
 
+def place_rows(df: DataFrame, at: np.ndarray, new: np.ndarray, ordinal: str = "i") -> DataFrame:
+    """The rows at stored positions ``at``, each at its ``new`` one; the frame is broadcast only up to a bound."""
+    if not len(at):
+        return df.where(F.lit(False))
+    distinct, col = np.unique(at), F.col(ordinal)
+    # Bounds and short lists are derived here, since a join gives the scan no filter of its own.
+    bounded = df.where(col.isin(distinct.tolist())) if len(distinct) <= IN_FILTER else df.where((col >= int(at.min())) & (col <= int(at.max())))
+    return _join(bounded, _frame(df.sparkSession, at, new, "__old", "__new"), ordinal)
+
+
+def _join(df: DataFrame, frame: DataFrame, ordinal: str) -> DataFrame:
+    joined = df.join(frame, F.col(ordinal) == F.col("__old")).withColumn(ordinal, F.col("__new"))
+    return joined.select(*[quoted(c) for c in df.columns])
+
+
 def select_rows(df: DataFrame, selection: Selection, n: int, ordinal: str = "i") -> DataFrame:
     """The selected rows, renumbered; repeated positions repeat their rows.  Keeps the column order."""
-    columns = df.columns
     if selection.is_full(n):
         return df
     if isinstance(selection, Range):
         return df.where(selection.keeps(F.col(ordinal))).withColumn(ordinal, selection.renumber(F.col(ordinal)))
+    if isinstance(selection, Places):
+        return _join(df, selection.df.select(F.col("old").alias("__old"), F.col("new").alias("__new")), ordinal)
     at = selection.positions()
-    if not len(at):
-        return df.where(F.lit(False))
-    distinct = np.unique(at)
-    # Bounds and short lists are derived here, since a join gives the scan no filter of its own.
-    col = F.col(ordinal)
-    bounded = df.where(col.isin(distinct.tolist())) if len(distinct) <= IN_FILTER else df.where((col >= int(at.min())) & (col <= int(at.max())))
-    frame = positions_frame(df.sparkSession, selection, "__old", "__new")
-    joined = bounded.join(frame, F.col(ordinal) == F.col("__old")).withColumn(ordinal, F.col("__new"))
-    return joined.select(*columns)
+    return place_rows(df, at, np.arange(len(at)), ordinal)
 
 
 class _Maker:

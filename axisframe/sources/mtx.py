@@ -1,22 +1,25 @@
 """MatrixMarket coordinate files, plain or gzipped, with names files beside them.
 
-The file is split by Spark's text source; headers and comments are found among the first lines only, entries are parsed
-by column expressions.  Integer files give i64, real ones f64, pattern files 1.  Symmetric files give the mirrored entry
+The file is split by Spark's text source and parsed by column expressions; a folder of parts is read in the order of
+their names.  Lines carry their place (file, block, line), so the header is the first line and the size line the first
+that is no comment, however many comments there are, and repeated coordinates keep the order of the file.  Paths are
+those of Hadoop: without a scheme they lie on the default file system.  Integer files give i64, real ones f64, pattern files 1.  Symmetric files give the mirrored entry
 too, skew-symmetric ones with the opposite sign.  Empty rows count: the shape is that of the header.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from axisframe.axis_index import ListIndex
+from axisframe.axis_index import FrameIndex
 from axisframe.elements import Sparse
 from axisframe.model import AxisTable
+from axisframe.store import Files
+from axisframe.workspace import fresh_path, materialize
 
 
 class FormatError(ValueError):
@@ -50,67 +53,55 @@ def parse_header(lines: list[str]) -> Header:
     raise FormatError("the file ends before its size line")
 
 
+_PLACE = ("file", "block", "line")
+
+
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file; gzip by its first bytes, whatever the name."""
-    head = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("h")) if not path.endswith(".gz") and _local(path) is None else None
-    local = _local(path)
-    packed = (open(local, "rb").read(2) == b"\x1f\x8b") if local else head is not None and head.first().h == "1F8B"
-    if packed and not path.endswith(".gz"):
-        text = gzip.open(local, "rt").read() if local else gzip.decompress(bytes(spark.read.format("binaryFile").load(path).first().content)).decode()
-        return spark.createDataFrame([(x,) for x in text.splitlines()], "value string")
-    return spark.read.text(path)
+    """(value, file, block, line) of a text file or a folder of them; gzip by its first bytes, whatever the name."""
+    files = Files(spark, path)
+    if not files.exists():
+        raise FormatError(f"no file at {path}")
+    if not path.endswith(".gz") and not files.is_folder() and files.first_bytes(2) == b"\x1f\x8b":
+        # A single packed stream cannot be split anyway; a copy under the right name lets the text source unpack it.
+        copy = fresh_path(spark, "unpacked") + ".gz"
+        Files(spark, copy).copy_from([files.fs.makeQualified(files._path("")).toString()])
+        path = copy
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.withColumn("line", F.monotonically_increasing_id())
 
 
-def _local(path: str) -> str | None:
-    if path.startswith("file:"):
-        return path[5:].replace("//", "", 1) if path.startswith("file://") else path[5:]
-    return path if "://" not in path else None
+def _first(lines: DataFrame, condition=None):
+    """The first line, or the first of some."""
+    some = lines if condition is None else lines.where(condition)
+    return some.agg(F.min(F.struct(*_PLACE, "value")).alias("m")).first().m
 
 
 def read_mtx(spark: SparkSession, path: str, layout: str = "csr") -> Sparse:
-    """A sparse matrix; repeated coordinates are kept, in the order of their values."""
+    """A sparse matrix; repeated coordinates are kept, in the order of the file, as ``seq`` says."""
     lines = _lines(spark, path)
-    first: list[str] = []
-    for size in (64, 4_096, 262_144):
-        first = [r.value for r in lines.limit(size).collect()]
-        try:
-            header = parse_header(first)
-            break
-        except FormatError as e:
-            if "ends before" not in str(e) or len(first) < size:
-                raise
-    else:
-        raise FormatError("no size line among the first lines")
-    words = F.split(F.trim("value"), r"\s+")
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).select(words.alias("w"))
+    banner, size = _first(lines), _first(lines, ~F.col("value").startswith("%") & (F.trim("value") != ""))
+    header = parse_header([x.value for x in (banner, size) if x is not None and (x is banner or x.value != banner.value)])
+    here = (F.col("file") == size.file) & (F.col("block") == size.block) & (F.col("line") == size.line)
+    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & ~here).withColumn("w", F.split(F.trim("value"), r"\s+"))
     want = 2 if header.field == "pattern" else 3
-    # The size line has three numbers as well; it is told apart by its place before all entries.
-    size_line = f"{header.rows} {header.cols} {header.entries}"
-    body = body.withColumn("text", F.concat_ws(" ", "w"))
     value = F.lit(1).cast("bigint") if header.field == "pattern" else F.col("w")[2].cast("bigint" if header.field == "integer" else "double")
-    entries = body.select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), value.alias("v"), "text", F.size("w").alias("n"))
-    marked = entries.where(F.col("n") == want)
-    if want == 3:
-        marked = _without_one(marked, size_line)
-    kept = marked.select("i", "j", "v")
+    kept = body.where(F.size("w") == want).select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), value.alias("v"), *_PLACE)
     if header.symmetry != "general":
         sign = -1 if header.symmetry == "skew-symmetric" else 1
-        kept = kept.unionByName(kept.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v")))
-    return Sparse.of(kept, (header.rows, header.cols), order=["v"], layout=layout)
-
+        kept = kept.unionByName(kept.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v"), *_PLACE))
+    return Sparse.of(kept, (header.rows, header.cols), order=[*_PLACE], layout=layout)
 
-def _without_one(entries: DataFrame, size_line: str) -> DataFrame:
-    """Leave out the size line: a row with its text; should entries have the same text, one fewer of them remains."""
-    same = entries.where(F.col("text") == size_line)
-    n = same.count()
-    rest = entries.where(F.col("text") != size_line)
-    return rest.unionByName(same.limit(n - 1)) if n > 1 else rest
 
-
-def read_names(spark: SparkSession, path: str) -> list[str]:
-    """Names of an axis: the first tab field of each line."""
-    lines = _lines(spark, path)
-    return [r.name for r in lines.select(F.split("value", "\t")[0].alias("name")).collect()]
+def read_names(spark: SparkSession, path: str) -> FrameIndex:
+    """Names of an axis: the first tab field of each line, in the order of the file."""
+    lines = _lines(spark, path).select(F.split("value", "\t")[0].alias("name"), *_PLACE)
+    # Numbered block by block, each in its own order.
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first")
+    inside = lines.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 1)
+    named = materialize(inside.join(offsets, ["file", "block"]).select((F.col("first") + F.col("k")).alias("ix"), "name"), "names")
+    return FrameIndex(named, named.count())
 
 
 def read_mtx_table(spark: SparkSession, path: str, obs_names: str | None = None, var_names: str | None = None) -> AxisTable:
@@ -119,24 +110,24 @@ def read_mtx_table(spark: SparkSession, path: str, obs_names: str | None = None,
     table = AxisTable(spark, X=x)
     for axis, names in ((0, obs_names), (1, var_names)):
         if names:
-            table = table.with_names(axis, ListIndex(tuple(read_names(spark, names))))
+            table = table.with_names(axis, read_names(spark, names))
     return table
 
 
-def write_mtx(matrix: Sparse, path: str) -> None:
-    """A general coordinate file as a folder of parts that begins with the header."""
-    field = "integer" if matrix.dtype[0] in "iu" else "real"
-    head = f"%%MatrixMarket matrix coordinate {field} general\n{matrix.shape[0]} {matrix.shape[1]} {matrix.df.count()}"
+def write_mtx(matrix: Sparse, path: str, single: bool = True) -> None:
+    """A general coordinate file, entries by row, column and seq; with ``single`` one file, its parts joined as streams,
+    else a folder of parts in the order of their names.  :func:`read_mtx` reads both, and other programs the single file."""
     spark = matrix.df.sparkSession
-    lines = matrix.df.select(F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("string")).alias("value"))
-    first = spark.createDataFrame([(head,)], "value string").coalesce(1)
-    first.write.mode("overwrite").text(f"{path}/a_header")
-    lines.write.mode("overwrite").text(f"{path}/b_entries")
-
-
-def read_mtx_parts(spark: SparkSession, path: str) -> Sparse:
-    """What :func:`write_mtx` wrote."""
-    header = parse_header([r.value for r in spark.read.text(f"{path}/a_header").collect()])
-    words = F.split("value", " ")
-    entries = spark.read.text(f"{path}/b_entries").select((words[0].cast("long") - 1).alias("i"), (words[1].cast("long") - 1).alias("j"), words[2].cast("bigint" if header.field == "integer" else "double").alias("v"))
-    return Sparse.of(entries, (header.rows, header.cols), order=["v"])
+    field = "integer" if matrix.dtype[0] in "iub" else "real"
+    head = f"%%MatrixMarket matrix coordinate {field} general\n{matrix.shape[0]} {matrix.shape[1]} {matrix.df.count()}\n"
+    value = F.col("v").cast("bigint" if field == "integer" else "double").cast("string")
+    rows = matrix.df.repartitionByRange("i", "j").sortWithinPartitions("i", "j", "seq")
+    lines = rows.select(F.concat_ws(" ", (F.col("i") + 1).cast("string"), (F.col("j") + 1).cast("string"), value).alias("value"))
+    folder = fresh_path(spark, "mtx") if single else path.rstrip("/")
+    lines.write.mode("overwrite").text(folder)
+    files = Files(spark, folder)
+    files.write("part-.header", head)
+    if single:
+        parts = [f"{folder}/{n}" for n in files.list() if n.startswith("part-")]
+        Files(spark, path).copy_from(parts)
+        files.delete()

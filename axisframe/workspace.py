@@ -1,7 +1,8 @@
 """Places for intermediate tables that several executors share.
 
 Iterative operators cut their lineage by writing a Parquet table into the folder named by ``spark.checkpoint.dir``.
-The setting is read from the session; only where it is unset (local tests) a temporary folder is chosen.
+The setting is read from the session.  Only where it is unset and the session runs on one machine (local tests) a
+temporary folder is chosen; on a cluster, whose executors would each write to a disk of their own, it is an error.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_CONF, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"set {_CONF} to a folder that all executors of {master} share: intermediate tables go there")
     if not _local_dirs:
         _local_dirs.append(tempfile.mkdtemp(prefix="axisframe_"))
         atexit.register(shutil.rmtree, _local_dirs[0], True)
@@ -38,7 +42,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; the result has no lineage and survives the
-    loss of executors.  The table stays until :func:`remove` or the end of the shared folder."""
+    loss of executors.  The table stays until :func:`remove_table` or the end of the shared folder."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     writer = df.write.option("compression", "zstd")

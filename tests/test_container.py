@@ -1,14 +1,15 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from axisframe import store
 from axisframe.axis_index import ListIndex, RangeIndex
-from axisframe.elements import Dense, ShapeError, Sparse, Table
+from axisframe.elements import Dense, ShapeError, Sparse, Table, stack_select
 from axisframe.model import AxisTable
 from axisframe.operators import concat, dataset, split
 from axisframe.operators.chunks import Chunks
-from axisframe.selection import Names
+from axisframe.selection import FULL, Index, Names, Range, compose, parse
 
 
 @pytest.fixture(scope="module")
@@ -190,3 +191,131 @@ def test_stacked_tables_have_common_columns(spark):
 
 def test_list_index_of_names(spark):
     assert [tuple(r) for r in ListIndex(("b", "a")).frame(spark).collect()] == [(0, "b"), (1, "a")]
+
+
+# -- what must not be lost -----------------------------------------------------------------------------------------
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_split_keeps_the_empty_key(spark, tmp_path):
+    x = Sparse.from_numpy(spark, np.arange(1, 17).reshape(4, 4))
+    t = AxisTable(spark, X=x, obs=Table.from_pandas(spark, pd.DataFrame({"k": ["", "a/b", "", "c"]}))).with_names(0, ["r0", "r1", "r2", "r3"])
+    for where in (None, str(tmp_path / "out")):
+        parts = split.split_obs_by(t, "k", where)
+        assert sorted(parts) == ["", "a/b", "c"]
+        assert parts[""].X.to_numpy().tolist() == [[1, 2, 3, 4], [9, 10, 11, 12]] and parts[""].obs_names == ["r0", "r2"]
+        assert parts["a/b"].X.to_numpy().tolist() == [[5, 6, 7, 8]] and parts["a/b"].obs.df.count() == 1
+    assert store.read(spark, str(tmp_path / "out" / "%")).X.df.count() == 8
+
+
+def test_append_grows_what_is_there(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.create(spark, path)
+    one = Sparse.from_numpy(spark, np.eye(3))
+    for n in (1, 2):
+        assert store.append_rows(spark, path, iter([one])).shape == (3 * n, 3)
+    assert store.read(spark, path).X.to_numpy().tolist() == np.vstack([np.eye(3)] * 2).tolist()
+    with pytest.raises(store.StoreError):
+        store.append_rows(spark, path, iter([one, Sparse.from_numpy(spark, np.eye(4))]))
+    obs = Table.from_pandas(spark, pd.DataFrame({"a b.c": [1, 2, 3], "name": ["x", None, ""]}))
+    with pytest.raises(ValueError):
+        store.append_rows(spark, path, iter([obs]), "obs")  # six rows on that axis
+    t = store.append_rows(spark, path, iter([obs, obs]), "obs")
+    assert t.obs.n == 6 and sorted(r.ix for r in t.obs.df.collect()) == list(range(6))
+    with pytest.raises(ValueError):
+        store.append_rows(spark, path, iter([one]))  # obs has six rows
+    assert store.read(spark, path).shape == (6, 3) and store.append_rows(spark, path, iter([])).shape == (6, 3)
+    assert store.append_rows(spark, path, iter([one, one]), anew=True).X.df.count() == 6
+
+
+def test_a_failed_write_leaves_the_manifest(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    store.write(AxisTable(spark, X=Sparse.from_numpy(spark, np.eye(3))), path)
+    files = store.Files(spark, path)
+    before = files.read(store.MANIFEST)
+    seen = []
+    delete = store.Files.delete
+    monkeypatch.setattr(store.Files, "delete", lambda self, name="": (seen.append((name, self.exists(store.MANIFEST))), delete(self, name))[1])
+    files.write(store.MANIFEST, before.replace('"format": 1', '"format": 1 '))
+    assert not seen and files.exists(store.MANIFEST)  # replaced by a rename, never deleted first
+    store.read(spark, path).commit()
+    assert all(there for _, there in seen)
+
+    def broken(self, name, text):
+        raise OSError("no space")
+
+    monkeypatch.setattr(store.Files, "write", broken)
+    with pytest.raises(OSError):
+        store.read(spark, path).commit()
+    assert store.read(spark, path).X.to_numpy().tolist() == np.eye(3).tolist()
+
+
+def test_closed_handles_give_nothing(spark, tmp_path):
+    t = store.write(AxisTable(spark, X=Sparse.from_numpy(spark, np.eye(3))), str(tmp_path / "s"))
+    t.close()
+    t.close()
+    for ask in (lambda: t.X, lambda: t[0:1], lambda: t.to_memory(), lambda: t.obsm, lambda: t.commit()):
+        with pytest.raises(ValueError):
+            ask()
+    assert t.is_closed and "closed" in repr(t) and t.reopen().X.df.count() == 3
+
+
+def test_columns_called_name_or_with_dots(spark):
+    one, two = pd.DataFrame({"name": ["u", "v"], "a.b": [1, 2]}), pd.DataFrame({"name": ["w", None], "c`d": [5.0, 6.0]})
+    tables = [AxisTable.build(spark, X=np.ones((2, 2)), var=f, obs=f).with_names(1, n) for f, n in ((one, ["g", "h"]), (two, ["h", "i"]))]
+    out = concat.concat(tables, "outer", "x.y", ["p", "q"])
+    var = out.var.to_pandas()
+    assert out.var_names == ["g", "h", "i"] and var["name"].tolist()[:2] == ["u", "w"] and var["a.b"].tolist()[:2] == [1, 2] and var["c`d"].tolist()[1:] == [5.0, 6.0]
+    assert out.obs.to_pandas()["x.y"].tolist() == ["p", "p", "q", "q"] and out.obs_names == ["0", "1", "0", "1"]
+    picked = out.subset(obs=[3, 0]).obs
+    assert picked.select(FULL.resolve(2), Index((picked.columns.index("c`d"),))).to_pandas()["c`d"].tolist()[0] == 6.0
+    assert rows_of(picked["a.b"])[1] == (1, 1)
+
+
+def test_long_selections_stay_frames(spark):
+    t = AxisTable.build(spark, X=np.arange(24.0).reshape(6, 4), obs=pd.DataFrame({"k": [1, 5, 2, 7, 9, 0]}))
+    t = t.with_names(0, spark.range(6).select(F.col("id").alias("ix"), F.concat(F.lit("n"), F.col("id") % 5).alias("name")))
+    assert t.subset(obs=F.col("k") > 4).X.to_numpy()[:, 1].tolist() == [5.0, 13.0, 17.0]
+    assert t.subset(obs=F.col("k") > 4).obs_names == ["n1", "n3", "n4"]
+    asked = spark.createDataFrame([(0, "n4"), (1, "n0"), (2, "n4")], "new long, name string")
+    assert t.subset(obs=asked).X.to_numpy()[:, 0].tolist() == [16.0, 20.0, 16.0]
+    assert t.obs_ix(["n0", "n1"]).tolist() == [5, 1] and t[["n3"]].shape == (1, 4)
+    with pytest.raises(KeyError):
+        t.subset(obs=spark.createDataFrame([(0, "nobody")], "new long, name string"))
+    empty = t.subset(obs=F.col("k") > 100)
+    assert empty.shape == (0, 4) and empty.X.df.isEmpty()
+
+
+def test_uns_lists_arrays_and_element_handles(spark, tmp_path):
+    uns = {"l": [1, "a", None, [2.5]], "a": np.arange(6).reshape(2, 3), "t": np.array(["x", None], object), "f": np.array([1.5, float("nan")]), "s": "text", "n": np.int64(3)}
+    t = store.write(AxisTable.build(spark, X=np.eye(2), uns=uns), str(tmp_path / "s"))
+    assert t.uns["l"] == uns["l"] and t.uns["a"].tolist() == uns["a"].tolist() and t.uns["t"].tolist() == ["x", None] and np.isnan(t.uns["f"][1]) and t.uns["n"] == 3
+    assert t.element("uns", "s").is_scalar and not t.element("X").is_scalar and t.element("X").shape == (2, 2) and t.element("X").dtype == "f64"
+    assert t.element("X").read().tolist() == np.eye(2).tolist() and t.element("X")[0:1].shape == (1, 2)
+    assert t.element("obsm", "none").is_none and t.element("obs").is_none
+    store.set_attribute(spark, t.path, "made", "by hand", "X")
+    store.set_attribute(spark, t.path, "made", 1)
+    assert store.attributes(spark, t.path, "X") == {"made": "by hand"} and store.attributes(spark, t.path) == {"made": 1}
+    store.set_attribute(spark, t.path, "made", None, "X")
+    assert store.attributes(spark, t.path, "X") == {}
+
+
+def test_memory_keeps_sparse_matrices_sparse(spark):
+    x = Sparse(spark.createDataFrame([(0, 1, 0, 5), (0, 1, 1, 6), (2, 0, 0, 7)], "i long, j long, seq long, v long"), (3, 2))
+    data, indices, offsets, shape = AxisTable(spark, X=x).to_memory(("X",), "compressed")["X"]
+    assert data.tolist() == [5, 6, 7] and indices.tolist() == [1, 1, 0] and offsets.tolist() == [0, 2, 2, 3] and shape == (3, 2)
+
+
+def test_stepped_ranges_over_stacks_and_their_composition(spark):
+    children = [Sparse.from_numpy(spark, np.arange(1, 1 + 2 * n).reshape(n, 2) + 100 * n) for n in (3, 1, 4)]
+    whole = np.vstack([c.to_numpy() for c in children])
+    for s in [slice(None, None, 2), slice(None, None, -1), slice(6, 1, -3), slice(1, 7, 5), slice(2, 2), slice(7, None, -2), slice(3, 4, 9)]:
+        got = stack_select(children, parse(s, 8))
+        assert got.to_numpy().tolist() == whole[s].tolist() and got.shape[0] == len(whole[s])
+        for t in [slice(None, None, -1), slice(1, None, 2), slice(None, 1, -2)]:
+            first = parse(s, 8)
+            both = compose(first, parse(t, len(first)))
+            assert isinstance(both, Range) and both.positions().tolist() == np.arange(8)[s][t].tolist()

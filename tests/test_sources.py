@@ -47,8 +47,25 @@ def test_tables_and_round_trip(spark, tmp_path):
     assert t.obs_names == ["a", "b"] and t.var_names == ["g1", "g2", "g3"] and t.X.to_numpy()[1, 2] == 1.25
     x = Sparse.from_numpy(spark, np.array([[0.0, 1.5], [2.0, 0.0], [0.0, 0.0]]))
     mtx.write_mtx(x, str(tmp_path / "out"))
-    back = mtx.read_mtx_parts(spark, str(tmp_path / "out"))
-    assert back.shape == (3, 2) and entries(back) == entries(x)
+    assert (tmp_path / "out").read_text().splitlines()[1:] == ["3 2 2", "1 2 1.5", "2 1 2.0"]
+    mtx.write_mtx(x, str(tmp_path / "parts"), single=False)
+    for name in ("out", "parts"):
+        back = mtx.read_mtx(spark, str(tmp_path / name))
+        assert back.shape == (3, 2) and entries(back) == entries(x)
+
+
+def test_repeated_coordinates_keep_the_order_of_the_file(spark, tmp_path):
+    lines = [f"{1 + k % 3} 1 {v}" for k, v in enumerate([9, 5, 5, 2, 7, 1, 4, 0, 6])]
+    text = "%%MatrixMarket matrix coordinate integer general\n" + "% a long comment\n" * 3000 + "3 1 9\n" + "\n".join(lines) + "\n"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        x = mtx.read_mtx(spark, put(tmp_path / "m", text))
+        got = {i: [r.v for r in x.df.where(f"i = {i}").orderBy("seq").collect()] for i in range(3)}
+        names = mtx.read_names(spark, put(tmp_path / "n", "".join(f"name{k}\tx\n" for k in range(4000))))
+        assert names.labels() == [f"name{k}" for k in range(4000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {0: [9, 2, 4], 1: [5, 7, 0], 2: [5, 1, 6]}
 
 
 class Group(dict):
