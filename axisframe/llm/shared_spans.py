@@ -7,11 +7,13 @@ a text becomes a short list of (key, range of windows).
 1. Each partition counts, in a count-min sketch, in how many texts each key occurs; the partitions' sketches are added
    up.  A sketch can only overestimate, so a key whose estimate is below two occurs in one text only and is dropped;
    no repeated window is lost, whatever the width.
-2. Ranges of windows under a key estimated repeated go, with their text, to the task of that key, where the windows are
-   grouped exactly; those found in two different ids are shared.
-3. Keys estimated in more than ``hot`` texts (a boilerplate passage in a third of all mails, say) would make one task
-   large.  Their windows are grouped by window instead, aggregated before the shuffle.
-4. Shared windows unite to the largest runs of shared characters of each text.
+2. The ranges under the other keys go out without their text and are counted exactly by key: keys of a single id leave
+   here, also where the corpus is too large for the sketch to tell them, so text is shipped for repeated keys only.
+3. The slices of text under repeated keys go to the task of their key, where the windows are grouped exactly; those found
+   in two different ids are shared.
+4. Keys whose slices have more than ``hot`` characters in all (a boilerplate passage in a third of all mails, say) would
+   make one task large.  Their windows are grouped by window instead, aggregated before the shuffle.
+5. Shared windows unite to the largest runs of shared characters of each text.
 
 Defined cases: null, empty and short texts share nothing; texts of any length are covered whole (in pieces that overlap
 by span - 1); rows that repeat an id count as one record; copies of a text under different ids share all of it; other
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axisframe.llm.codepoints import flatten
-from axisframe.workspace import ship_package
+from axisframe.workspace import materialize, ship_package
 
 _BLOCK = 1 << 16
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
@@ -127,8 +129,8 @@ def _cells(keys: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
     return [(_mix(keys + np.uint64(d * 7919 + 1)) >> np.uint64(64 - bits)).astype(np.int64) for d in range(depth)]
 
 
-def _sketch(texts: DataFrame, span: int, gram: int, depth: int, bits: int, hot: int):
-    """The merged sketch as it is needed: one bit a counter for 'two or more', and the few counters beyond ``hot``."""
+def _sketch(texts: DataFrame, span: int, gram: int, depth: int, bits: int) -> np.ndarray:
+    """The merged sketch as it is needed: one bit a counter for 'two or more'."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, pending, size = Rolling(0), [], 0
@@ -159,8 +161,7 @@ def _sketch(texts: DataFrame, span: int, gram: int, depth: int, bits: int, hot:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            over = np.flatnonzero(total > hot).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary()), pa.array([over], pa.list_(pa.int32()))], names=["block", "two", "over"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], names=["block", "two"])
 
         now, total = None, np.zeros(_BLOCK, np.int64)
         for batch in batches:  # sorted by block: one array of counters at a time, however many parts there are
@@ -175,23 +176,19 @@ def _sketch(texts: DataFrame, span: int, gram: int, depth: int, bits: int, hot:
 
     counted = texts.mapInArrow(count, "block long, cells array<int>, n array<int>")
     two = np.zeros(depth << (bits - 3), np.uint8)
-    over: list[np.ndarray] = []
-    merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, two binary, over array<int>")
+    merged = counted.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, two binary")
     for row in merged.toLocalIterator():
         two[row.block << 13 : (row.block + 1) << 13] = np.frombuffer(row.two, np.uint8)
-        over.append((row.block << 16) + np.array(row.over, np.int64))
-    return two, np.sort(np.concatenate([np.zeros(0, np.int64), *over]))
+    return two
 
 
-def _estimated(keys: np.ndarray, two: np.ndarray, over: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys the sketch takes for repeated, and which for hot."""
-    repeated, hot = np.ones(len(keys), bool), np.full(len(keys), len(over) > 0)
+def _estimated(keys: np.ndarray, two: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Which keys the sketch takes for repeated."""
+    repeated = np.ones(len(keys), bool)
     for d, cells in enumerate(_cells(keys, depth, bits)):
         cells = cells + (d << bits)
         repeated &= (two[cells >> 3] >> (7 - (cells & 7)) & 1).astype(bool)
-        if len(over):
-            hot &= over[np.minimum(np.searchsorted(over, cells), len(over) - 1)] == cells
-    return repeated, hot & repeated
+    return repeated
 
 
 def _runs(hit: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,46 +224,78 @@ def shared_windows(slices: list[str], ids: np.ndarray, span: int, rolls: tuple[R
     return owner[a], at[a] - starts[owner[a]], at[b] - starts[owner[b]]
 
 
+def repeated_ranges(texts: DataFrame, span: int, gram: int, depth: int, bits: int) -> DataFrame:
+    """(key, id, tag, at, last): the ranges of windows whose key the sketch takes for repeated, without their text, from
+    texts (id, text, tag); ``last`` is the offset of the last window."""
+    sketch = texts.sparkSession.sparkContext.broadcast(_sketch(texts, span, gram, depth, bits))
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        roll, two = Rolling(0), sketch.value
+        for batch in batches:
+            ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for chars, starts, rows, offsets in pieces(batch, span):
+                keys, piece, first, last = key_ranges(chars, starts, span, gram, roll)
+                use = _estimated(keys, two, depth, bits)
+                keys, piece, first, last = keys[use], piece[use], first[use], last[use]
+                columns = keys.view(np.int64), ids[rows[piece]], tags[rows[piece]], offsets[piece] + first, offsets[piece] + last
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "tag", "at", "last"])
+
+    return texts.mapInArrow(emit, "key long, id long, tag long, at long, last long")
+
+
+def _slices(texts: DataFrame, ranges: DataFrame, span: int) -> DataFrame:
+    """(key, id, at, slice): the text of each range."""
+    lists = ranges.groupBy("id", "tag").agg(F.collect_list("key").alias("keys"), F.collect_list("at").alias("ats"), F.collect_list("last").alias("lasts"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ats, lasts = (batch.column(k) for k in (2, 3, 4))
+            ends = keys.offsets.to_numpy() - keys.offsets[0].as_py()
+            keys, ats, lasts = (c.flatten().to_numpy() for c in (keys, ats, lasts))
+            ids = np.repeat(batch.column(0).to_numpy(), np.diff(ends))
+            texts_ = batch.column(1)
+            size, start = 0, 0
+            for n in range(len(batch)):
+                # Batches of bounded size, however many ranges a text has.
+                size += int((lasts[ends[n] : ends[n + 1]] - ats[ends[n] : ends[n + 1]]).sum()) + span * int(ends[n + 1] - ends[n])
+                if size > 4_000_000 or n + 1 == len(batch):
+                    found = []
+                    for k in range(start, n + 1):
+                        text = texts_[k].as_py()
+                        found += [text[a : b + span] for a, b in zip(ats[ends[k] : ends[k + 1]].tolist(), lasts[ends[k] : ends[k + 1]].tolist())]
+                    a, b = ends[start], ends[n + 1]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(ids[a:b]), pa.array(ats[a:b]), pa.array(found, pa.string())], names=["key", "id", "at", "slice"])
+                    size, start = 0, n + 1
+
+    joined = texts.join(lists, ["id", "tag"]).select("id", "text", "keys", "ats", "lasts")
+    return joined.mapInArrow(cut, "key long, id long, at long, slice string")
+
+
 def shared_spans(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 200, gram: int = 64,
-    depth: int = 2, bits: int | None = None, hot: int = 5_000,
+    depth: int = 2, bits: int | None = None, most_bits: int = 28, hot: int = 2_000_000,
 ) -> DataFrame:
     """(id_col, span_start, span_end): the largest runs of characters that lie in a stretch of at least ``span``
     characters which stands verbatim under another id too.  ``id_col`` must be integral.
 
     ``bits``: counters of a row of the sketch, as a power of two; by default from the total number of characters, at
-    most 2**28, which bounds what is broadcast (a bit each) at 64 MB; beyond it the sketch lets more through and the
-    result stays exact.
+    most ``most_bits``, which bounds what is broadcast (a bit each, 64 MB at 28).  Beyond it the sketch lets more keys
+    through to their exact count (some 40 bytes for 75 characters of text); the result is the same.
     """
     spark = df.sparkSession
     ship_package(spark)
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.where((F.length("text") >= span) & F.col("id").isNotNull())
+    # The tag tells texts apart that share an id.
+    texts = texts.where((F.length("text") >= span) & F.col("id").isNotNull()).withColumn("tag", F.xxhash64("text"))
     if bits is None:
         chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        bits = min(28, max(17, int(np.ceil(np.log2(1 + 8 * chars / (span - gram))))))
-    two, over = _sketch(texts, span, gram, depth, bits, hot)
-    sketch = spark.sparkContext.broadcast((two, over))
-
-    def emit(take_hot: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            roll, (two, over) = Rolling(0), sketch.value
-            for batch in batches:
-                ids = batch.column(0).to_numpy()
-                for chars, starts, rows, offsets in pieces(batch, span):
-                    keys, piece, first, last = key_ranges(chars, starts, span, gram, roll)
-                    repeated, is_hot = _estimated(keys, two, over, depth, bits)
-                    use = is_hot if take_hot else repeated & ~is_hot
-                    keys, piece, first, last = keys[use], piece[use], first[use], last[use]
-                    begin = starts[piece] + first
-                    raw = chars.tobytes().decode("utf-32-le", "surrogatepass")
-                    cut = [raw[a:b] for a, b in zip(begin.tolist(), (starts[piece] + last + span).tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(ids[rows[piece]]), pa.array(offsets[piece] + first), pa.array(cut, pa.string())],
-                        names=["key", "id", "at", "slice"],
-                    )
-
-        return run
+        bits = min(most_bits, max(17, int(np.ceil(np.log2(1 + 8 * chars / (span - gram))))))
+    ranges = materialize(repeated_ranges(texts, span, gram, depth, bits), "ranges")
+    size = F.sum(F.col("last") - F.col("at") + span)
+    counted = ranges.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), size.alias("chars"))
+    keys = materialize(counted.where("least < most").select("key", (F.col("chars") > hot).alias("hot")), "keys")
+    # Once each, should a record have been delivered again and again.
+    kept = ranges.join(keys, "key").dropDuplicates(["key", "id", "tag", "at", "last"])
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolls, most = (Rolling(0), Rolling(1)), 1_000_000
@@ -293,11 +322,10 @@ def shared_spans(
         if waiting:
             yield found(waiting)
 
-    kind = "key long, id long, at long, slice string"
-    rows = texts.mapInArrow(emit(False), kind)
+    rows = _slices(texts, kept.where("not hot"), span)
     parts = [rows.repartition("key").sortWithinPartitions("key").mapInArrow(group, "id long, a long, b long")]
-    if len(over):
-        parts.append(_by_window(texts.mapInArrow(emit(True), kind), span))
+    if not keys.where("hot").isEmpty():
+        parts.append(_by_window(_slices(texts, kept.where("hot"), span), span))
     return _united(reduce(DataFrame.unionByName, parts)).select(F.col("id").alias(id_col), F.col("a").alias("span_start"), F.col("b").alias("span_end"))
 
 

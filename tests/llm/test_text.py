@@ -179,7 +179,7 @@ def span_fixture(rng):
     return [*documents, (60, None), (61, ""), (62, footer[:19]), (63, documents[3][1]), (64, documents[4][1]), (65, "z" * 400), (66, footer + footer), (67, "q" * 90), (68, piece(3000) + footer)]
 
 
-@pytest.mark.parametrize("hot,bits", [(10_000, None), (3, None), (10_000, 17)])
+@pytest.mark.parametrize("hot,bits", [(10_000, None), (50, None), (10_000, 17)])
 def test_shared_spans_equal_brute_force(spark, monkeypatch, hot, bits):
     documents = span_fixture(random.Random(11))
     found = shared_spans.shared_spans(docs(spark, documents).repartition(3), span=20, gram=6, hot=hot, bits=bits)
@@ -192,6 +192,8 @@ def test_shared_spans_without_any(spark):
     assert shared_spans.shared_spans(docs(spark, [])).isEmpty()
     same = [(1, "a" * 500), (1, "a" * 500), (2, "b" * 500), (None, "a" * 500)]
     assert shared_spans.shared_spans(docs(spark, same)).isEmpty()  # one id twice is one record
+    many = docs(spark, [(1, "a" * 500)] * 300 + [(2, "b" * 300 + "a" * 250)] * 200)
+    assert sorted(tuple(r) for r in shared_spans.shared_spans(many).collect()) == [(1, 0, 500), (2, 300, 550)]
     got = shared_spans.shared_spans(docs(spark, [*same, (3, "x" + "a" * 200)]))
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 500), (3, 1, 201)]
 
@@ -222,7 +224,7 @@ def test_rolling_hashes_and_sliding_minimum():
 
 def test_sketch_never_loses_a_repeated_key(spark):
     documents = docs(spark, span_fixture(random.Random(2))).select(F.col("doc_id").alias("id"), "text").where("length(text) >= 20")
-    two, over = shared_spans._sketch(documents, 20, 6, 2, 17, 3)
+    two = shared_spans._sketch(documents, 20, 6, 2, 17)
     seen = {}
     roll = shared_spans.Rolling(0)
     for r in documents.collect():
@@ -231,6 +233,6 @@ def test_sketch_never_loses_a_repeated_key(spark):
             for k in set(shared_spans.key_ranges(chars, starts, 20, 6, roll)[0].tolist()):
                 seen[k] = seen.get(k, 0) + 1
     keys = np.array(list(seen), np.uint64)
-    repeated, hot = shared_spans._estimated(keys, two, over, 2, 17)
+    repeated = shared_spans._estimated(keys, two, 2, 17)
     counts = np.array(list(seen.values()))
-    assert repeated[counts >= 2].all() and hot[counts > 3].all() and not repeated[counts == 1].all()
+    assert repeated[counts >= 2].all() and not repeated[counts == 1].all()
