@@ -69,11 +69,14 @@ def consecutive(files: DataFrame) -> DataFrame:
 
 def renames(steps: DataFrame, values: DataFrame) -> DataFrame:
     """(file_id, old_name, new_name) of columns whose values agree, also in type, wherever both files have the row."""
-    # One row a (file, name, column): the least and the greatest value; rows that share a name cannot multiply.
-    cell = F.struct("type", "text")
-    per_name = values.where("obs_name is not null").groupBy("file_id", "obs_name", "column").agg(F.min(cell).alias("lo"), F.max(cell).alias("hi"))
     old = steps.select("file_id", "before", F.explode(F.array_except("before_columns", "columns")).alias("old_name"))
     new = steps.select("file_id", F.explode(F.array_except("columns", "before_columns")).alias("new_name"))
+    # Only columns that come or go are compared: the other cells leave before anything is grouped.
+    asked = old.select(F.col("before").alias("file_id"), F.col("old_name").alias("column")).unionByName(new.select("file_id", F.col("new_name").alias("column"))).distinct()
+    cells = values.where("obs_name is not null").join(asked, ["file_id", "column"])
+    # One row a (file, name, column): the least and the greatest value; rows that share a name cannot multiply.
+    cell = F.struct("type", "text")
+    per_name = materialize(cells.groupBy("file_id", "obs_name", "column").agg(F.min(cell).alias("lo"), F.max(cell).alias("hi")), "changed_cells")
     left = per_name.select(F.col("file_id").alias("before"), "obs_name", F.col("column").alias("old_name"), F.col("lo").alias("old_lo"), F.col("hi").alias("old_hi"))
     left = old.join(left, ["before", "old_name"]).drop("before")
     right = per_name.select("file_id", "obs_name", F.col("column").alias("new_name"), "lo", "hi")
