@@ -4,10 +4,11 @@ For each (group, percentile) an interval of values is kept in which the target r
 its midpoints, counts the rows in each part, and keeps the part with the target rank; when a part holds one distinct
 value, that is the percentile.  Intervals are cut in the order-preserving integer code of a double, so that at most
 64 / log2(``ways``) passes are needed whatever the values; the parts' smallest and largest values narrow them further.
-Rows outside all live intervals leave after each filter, so passes get cheaper.
+After each pass only the rows inside live intervals are written for the next, so of the whole table there are two scans.
 
 Counting has partial sums before its shuffle, so a group with a third of all rows is no hot spot; the live intervals are
-broadcast only while there are at most ``broadcast_rows`` of them and joined otherwise.
+broadcast only while there are at most ``broadcast_rows`` of them.  Beyond, rows and intervals are joined by group and one
+of ``salts`` parts of the group's codes, so that a large group is many tasks then too.
 
 :func:`summarize` gives the mergeable form: per group, counts, smallest and largest value of each bin of relative width
 2**-bits.  Summaries of parts, children or days are combined by :func:`merge` and hold any percentile to within that
@@ -24,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.workspace import materialize
+from axisframe.workspace import materialize, remove_table
 
 
 def order_code(value: Column) -> Column:
@@ -52,12 +53,13 @@ def _ranks(percentiles: list[float], n: Column) -> Column:
 
 
 def exact(
-    df: DataFrame, group: str, value: str, percentiles: list[float], ways: int = 256, broadcast_rows: int = 200_000
+    df: DataFrame, group: str, value: str, percentiles: list[float], ways: int = 256, broadcast_rows: int = 200_000, salts: int = 32
 ) -> DataFrame:
-    """(group, p, percentile, n): exact percentiles, by the rule of :func:`_ranks`."""
+    """(group, p, percentile, n): exact percentiles, by the rule of :func:`_ranks`.  ``df`` is scanned three times, so it
+    should be a stored table."""
     number = F.col(value).cast("double")
     rows = df.select(F.col(group).alias("g"), number.alias("v")).where("v is not null and not isnan(v)").withColumn("c", order_code(F.col("v")))
-    rows = materialize(rows, "percentile_rows")
+    stored = False
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("v").alias("least"), F.max("v").alias("most"))
     state = sizes.select("g", "n", "lo", "hi", "least", "most", F.explode(_ranks(percentiles, F.col("n"))).alias("t")).select("g", "n", "lo", "hi", "least", "most", "t.p", "t.rank")
     state = materialize(state, "percentile_state")
@@ -67,8 +69,7 @@ def exact(
         # than a part each (w = 1), every code is a part of its own: halves would leave adjacent codes together for ever.
         cut = open_.withColumn("w", ((F.expr("hi div 2 - lo div 2") / F.lit(max(ways // 2, 2))).cast("long") + 1))
         side = cut.select(F.col("g").alias("sg"), "p", "lo", "hi", "w")
-        side = F.broadcast(side) if live <= broadcast_rows else side
-        inside = rows.join(side, F.col("g").eqNullSafe(F.col("sg")) & (F.col("c") >= F.col("lo")) & (F.col("c") <= F.col("hi")))
+        inside = _inside(rows, side, live <= broadcast_rows, salts)
         part = F.expr("case when w = 1 then c - lo else (c div 2 - lo div 2) div w end")
         counted = inside.groupBy("g", "p", part.alias("part")).agg(F.count("*").alias("k"), F.min("c").alias("a"), F.max("c").alias("b"), F.min("v").alias("va"), F.max("v").alias("vb"))
         # At most about ways parts of each interval: one sorted array, no window over rows.
@@ -81,12 +82,32 @@ def exact(
         state = step.withColumn("s", walk).select("g", "n", F.col("s.hit.a").alias("lo"), F.col("s.hit.b").alias("hi"), F.col("s.hit.va").alias("least"), F.col("s.hit.vb").alias("most"), "p", F.col("s.left").alias("rank"))
         state = materialize(state, "percentile_state")
         solved.append(state.where("lo = hi").select("g", "p", F.col("least").alias("percentile"), "n"))
+        # What the next passes need: the rows inside a live interval, each once, as intervals of a group may meet.
+        ahead = state.where("lo < hi")
+        if ahead.isEmpty():
+            break
+        ends = ahead.groupBy("g").agg(F.collect_list(F.struct("lo", "hi")).alias("ends")).withColumnRenamed("g", "sg")
+        near = _inside(rows, ends.select("sg", "ends", F.array_min("ends")["lo"].alias("lo"), F.array_max(F.transform("ends", lambda x: x["hi"])).alias("hi")), live <= broadcast_rows, salts)
+        kept = materialize(near.where(F.exists("ends", lambda x: (F.col("c") >= x["lo"]) & (F.col("c") <= x["hi"]))).select("g", "v", "c"), "percentile_rows")
+        if stored:
+            remove_table(rows)
+        rows, stored = kept, True
     out = solved[0]
     for more in solved[1:]:
         out = out.unionByName(more)
     return out.select(F.col("g").alias(group), "p", "percentile", "n")
 
 
+def _inside(rows: DataFrame, side: DataFrame, small: bool, salts: int) -> DataFrame:
+    """Rows (g, v, c) with each interval (sg, lo, hi, ...) of their group that they lie in."""
+    fits = F.col("g").eqNullSafe(F.col("sg")) & (F.col("c") >= F.col("lo")) & (F.col("c") <= F.col("hi"))
+    if small:
+        return rows.join(F.broadcast(side), fits)
+    salted = rows.withColumn("__s", F.pmod(F.hash("c"), F.lit(salts)))
+    every = side.withColumn("__t", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(every, fits & (F.col("__s") == F.col("__t"))).drop("__s", "__t")
+
+
 def summarize(df: DataFrame, group: str, value: str, bits: int = 7) -> DataFrame:
     """The mergeable form: (group, bin, n, least, most); a bin holds values that agree in sign, exponent and the first
     ``bits`` bits of the mantissa."""

@@ -57,6 +57,24 @@ def test_only_touched_buckets_are_written_again(spark, tmp_path):
     assert state(store)[0]["more"] == (1, 1) and len(state(store)[0]) == 101
 
 
+def test_versions_are_merged_and_failed_applies_change_nothing(spark, tmp_path, monkeypatch):
+    store = TermCounts(spark, str(tmp_path / "t"), buckets=2, most_versions=2)
+    for n in range(6):
+        store.apply(frame(spark, [(n, "a"), (0, f"v{n}")]), spark.createDataFrame([(n - 2,)], "record long") if n > 2 else None)
+        assert all(len(v) <= 2 for of in store.versions.values() for v in of.values())
+        assert state(store) == state(TermCounts(spark, str(tmp_path / "t")))
+    assert state(store) == ({"a": (2, 2), "v5": (1, 1)}, 3)
+    before = state(store)
+    monkeypatch.setattr(TermCounts, "_settle", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.apply(frame(spark, [(9, "z")]))
+    monkeypatch.undo()
+    again = TermCounts(spark, str(tmp_path / "t"))
+    assert state(again) == before
+    again.apply(frame(spark, [(9, "z")]))
+    assert state(again)[0]["z"] == (1, 1)
+
+
 def test_names_marks_and_redelivered_entries(spark):
     lines = [(0, " Foo \tx"), (1, "foo\r"), (2, "\tonly"), (3, None), (4, "bar\t\r"), (4, "bar"), (None, "q")]
     lines = spark.createDataFrame(lines, "j int, raw_line string").withColumn("name", F.lit("clash"))
