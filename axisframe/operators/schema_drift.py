@@ -23,8 +23,8 @@ from axisframe.workspace import materialize
 
 _KIND = """case
   when kind = 'BOOLEAN' then 'boolean' when kind = 'STRING' then 'string' when kind = 'BIGINT' then 'integer'
-  when kind rlike '^DECIMAL\\\\((19|[23][0-9]), ?0\\\\)$' then 'integer'
-  when kind rlike '^(DECIMAL|DOUBLE|FLOAT)' then 'decimal' when kind rlike '^OBJECT' then 'object' else 'array' end"""
+  when kind like 'DECIMAL%0)' and kind rlike '^DECIMAL\\\\((19|[23][0-9]), ?0\\\\)$' then 'integer'
+  when kind like 'DECIMAL%' or kind like 'DOUBLE%' or kind like 'FLOAT%' then 'decimal' when kind rlike '^OBJECT' then 'object' else 'array' end"""
 
 
 def last_records(records: DataFrame) -> DataFrame:
@@ -33,16 +33,20 @@ def last_records(records: DataFrame) -> DataFrame:
     return records.groupBy("file_id", "row_no").agg(last).select("file_id", "row_no", "r.obs_name", "r.payload")
 
 
-def tagged_values(records: DataFrame) -> DataFrame:
+def tagged_values(records: DataFrame, moving: DataFrame | None = None) -> DataFrame:
     """(file_id, row_no, obs_name, column, type, text): the non-null values of each record once, with their types; equal
-    values of one type have equal texts."""
-    rows = last_records(records).select("file_id", "row_no", "obs_name", F.expr("try_parse_json(payload)").alias("v"))
+    values of one type have equal texts.  With ``moving``, the output of :func:`moving_columns`, also ``moves``: whether
+    the column comes or goes in a step from or to the file."""
+    last = last_records(records)
+    last = last.withColumn("moving", F.lit(None).cast("array<string>")) if moving is None else last.join(moving, "file_id", "left")
+    rows = last.select("file_id", "row_no", "obs_name", "moving", F.expr("try_parse_json(payload)").alias("v"))
     cells = rows.where("v is not null").lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("column"), "value"))
     cells = cells.where("column is not null").withColumn("kind", F.expr("schema_of_variant(value)")).where("kind <> 'VOID'")
     raw = F.expr("cast(value as string)")
     kind = F.expr(_KIND)
     text = F.when(kind == "decimal", raw.cast("double").cast("string")).otherwise(raw)
-    return cells.select("file_id", "row_no", "obs_name", "column", kind.alias("type"), text.alias("text"))
+    moves = [] if moving is None else [F.coalesce(F.array_contains("moving", F.col("column")), F.lit(False)).alias("moves")]
+    return cells.select("file_id", "row_no", "obs_name", "column", kind.alias("type"), text.alias("text"), *moves)
 
 
 def listed_files(files: DataFrame) -> DataFrame:
@@ -59,6 +63,32 @@ def fused_types(values: DataFrame, by: list[str]) -> DataFrame:
     return lists.select(*by, "column", F.transform("t", lambda x: F.struct(x["type"].alias("type"), (-x["m"]).alias("n"), x["first_row"].alias("first_row"))).alias("types"))
 
 
+def fused_paths(records: DataFrame) -> DataFrame:
+    """(file_id, path, types): the tagged union of every path, nested ones too: ``a.b`` is the key b of the object a,
+    ``a[]`` any element of the array a; ``types`` as in :func:`fused_types`, counting values.  Objects and arrays are
+    opened level by level, however deep; one without content has no paths below it."""
+    level = last_records(records).select("file_id", "row_no", F.lit("").alias("path"), F.lit("object").alias("type"), F.col("payload").alias("text"))
+    parts: list[DataFrame] = []
+    while True:
+        spark = level.sparkSession
+        opened = level.select("file_id", "row_no", "path", "type", F.expr("try_parse_json(text)").alias("v")).where("v is not null")
+        below = opened.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select("pos", F.col("key").alias("k"), "value")).where("pos is not null")
+        inner = F.when(F.col("type") == "array", F.concat("path", F.lit("[]"))).when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), F.col("k")))
+        below = below.where("type = 'array' or k is not null").withColumn("path", inner).withColumn("kind", F.expr("schema_of_variant(value)")).where("kind <> 'VOID'")
+        typed = below.select("file_id", "row_no", "path", F.expr(_KIND).alias("type"), F.expr("cast(value as string)").alias("text"))
+        cells = materialize(typed.withColumn("text", F.when(F.col("type").isin("object", "array"), F.col("text"))), "paths")
+        parts.append(cells.groupBy("file_id", F.col("path").alias("column"), "type").agg(F.count("*").alias("n"), F.min("row_no").alias("first_row")))
+        level = cells.where("text is not null")
+        if level.isEmpty():
+            break
+    counted = parts[0]
+    for more in parts[1:]:
+        counted = counted.unionByName(more)
+    order = F.struct((-F.col("n")).alias("m"), "first_row", "type")
+    lists = counted.groupBy("file_id", "column").agg(F.sort_array(F.collect_list(order)).alias("t"))
+    return lists.select("file_id", F.col("column").alias("path"), F.transform("t", lambda x: F.struct(x["type"].alias("type"), (-x["m"]).alias("n"), x["first_row"].alias("first_row"))).alias("types"))
+
+
 def consecutive(files: DataFrame) -> DataFrame:
     """(file_id, before, columns, before_columns) of each file that has an earlier one in its series."""
     order = Window.partitionBy("series_id").orderBy("file_seq", "file_id")
@@ -67,13 +97,20 @@ def consecutive(files: DataFrame) -> DataFrame:
     return lagged.where("before is not null").select("file_id", "before", "columns", "before_columns")
 
 
+def moving_columns(steps: DataFrame) -> DataFrame:
+    """(file_id, moving): the columns of each file that come or go in a step to it or from it."""
+    gone = steps.select(F.col("before").alias("file_id"), F.explode(F.array_except("before_columns", "columns")).alias("c"))
+    new = steps.select("file_id", F.explode(F.array_except("columns", "before_columns")).alias("c"))
+    return gone.unionByName(new).groupBy("file_id").agg(F.collect_set("c").alias("moving"))
+
+
 def renames(steps: DataFrame, values: DataFrame) -> DataFrame:
-    """(file_id, old_name, new_name) of columns whose values agree, also in type, wherever both files have the row."""
+    """(file_id, old_name, new_name) of columns whose values agree, also in type, wherever both files have the row; from
+    :func:`tagged_values` with ``moves``."""
     old = steps.select("file_id", "before", F.explode(F.array_except("before_columns", "columns")).alias("old_name"))
     new = steps.select("file_id", F.explode(F.array_except("columns", "before_columns")).alias("new_name"))
     # Only columns that come or go are compared: the other cells leave before anything is grouped.
-    asked = old.select(F.col("before").alias("file_id"), F.col("old_name").alias("column")).unionByName(new.select("file_id", F.col("new_name").alias("column"))).distinct()
-    cells = values.where("obs_name is not null").join(asked, ["file_id", "column"])
+    cells = values.where("moves and obs_name is not null")
     # One row a (file, name, column): the least and the greatest value; rows that share a name cannot multiply.
     cell = F.struct("type", "text")
     per_name = materialize(cells.groupBy("file_id", "obs_name", "column").agg(F.min(cell).alias("lo"), F.max(cell).alias("hi")), "changed_cells")
@@ -121,12 +158,17 @@ def alternatives(files: DataFrame, values: DataFrame) -> DataFrame:
 
 def appearing_alternatives(files: DataFrame, records: DataFrame) -> DataFrame:
     """The rows of :func:`alternatives` from the raw tables."""
-    return alternatives(materialize(listed_files(files), "files"), materialize(tagged_values(records), "tagged_values"))
+    return alternatives(*_read(files, records))
 
 
 def drift_report(files: DataFrame, records: DataFrame) -> DataFrame:
     """The report of :func:`changes` from the raw tables."""
-    return changes(listed_files(files), materialize(tagged_values(records), "tagged_values"))
+    return changes(*_read(files, records))
+
+
+def _read(files: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    listed = materialize(listed_files(files), "files")
+    return listed, materialize(tagged_values(records, moving_columns(consecutive(listed))), "tagged_values")
 
 
 def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -139,8 +181,7 @@ def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
     as text, null where it cannot be converted.  Every record is in the table: one without a value in a listed column has
     a single row, with nulls from ``column`` on.  Files without a series form one series, the null one.
     """
-    listed = materialize(listed_files(files), "files")
-    values = materialize(tagged_values(records), "tagged_values")
+    listed, values = _read(files, records)
     renamed = renames(consecutive(listed), values).join(listed.select("file_id", "series_id"), "file_id")
     key = lambda c: F.struct("series_id", F.col(c).alias("column"))
     linked = components(renamed.select(key("old_name").alias("a"), key("new_name").alias("b")))

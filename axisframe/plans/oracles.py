@@ -196,6 +196,8 @@ ORACLES: dict[str, str] = {
     "mtx_read": _SEQ,
     "mtx_symmetric": """SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j, 0 AS seq,
       CAST(greatest(a.n_nationkey, b.n_nationkey) * 100 + least(a.n_nationkey, b.n_nationkey) AS BIGINT) AS v FROM nation a JOIN nation b USING (n_regionkey)""",
+    "p3_paths": f"""WITH {_DRIFT}
+      SELECT file_id, col AS path, type, CAST(count(*) AS BIGINT) AS n, min(row_no) AS first_row FROM typed GROUP BY ALL""",
     "p3_alternatives": f"""WITH {_DRIFT},
       had AS (SELECT file_id, col, type, CAST(count(*) AS BIGINT) AS n, min(row_no) AS first_row FROM typed GROUP BY ALL),
       both_ AS (SELECT file_id, before, col, col AS old_name FROM kept UNION ALL

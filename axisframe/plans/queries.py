@@ -824,6 +824,13 @@ def p3_alternatives(spark, sf_dir):
     return schema_drift.appearing_alternatives(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))
 
 
+@query
+def p3_paths(spark, sf_dir):
+    """The alternative types of every path in every file."""
+    paths = schema_drift.fused_paths(table(spark, sf_dir, "obs_records"))
+    return paths.select("file_id", "path", F.explode("types").alias("t")).select("file_id", "path", "t.type", "t.n", "t.first_row")
+
+
 @query
 def p3_table(spark, sf_dir):
     return schema_drift.consistent_table(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))

@@ -113,3 +113,15 @@ def test_components_of_chains_and_loops(spark):
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert {got[k] for k in range(41)} == {0} and got[100] == 100 and got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
+def test_nested_paths_keep_every_alternative(spark):
+    payloads = ['{"a": {"b": 1, "c": [1, "x", {"d": null}]}, "e": 2.5}', '{"a": {"b": "t", "c": []}, "e": {"f": [[true]]}}', '{"a": 3', None, "[1, 2]", '{"a": null}', "{}"]
+    rows = [("f", n, f"o{n}", p, None) for n, p in enumerate(payloads)]
+    df = spark.createDataFrame(rows, "file_id string, row_no int, obs_name string, payload string, loaded_at timestamp").withColumn("path", F.lit("clash"))
+    got = {r.path: {(t.type, t.n, t.first_row) for t in r.types} for r in sd.fused_paths(df.where("row_no <> 4")).collect()}
+    assert got == {
+        "a": {("object", 2, 0)}, "a.b": {("integer", 1, 0), ("string", 1, 1)}, "a.c": {("array", 2, 0)}, "a.c[]": {("integer", 1, 0), ("string", 1, 0), ("object", 1, 0)},
+        "e": {("decimal", 1, 0), ("object", 1, 1)}, "e.f": {("array", 1, 1)}, "e.f[]": {("array", 1, 1)}, "e.f[][]": {("boolean", 1, 1)},
+    }
+    assert sd.fused_paths(df.where("false")).isEmpty()
