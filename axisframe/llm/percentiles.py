@@ -55,10 +55,15 @@ def _ranks(percentiles: list[float], n: Column) -> Column:
 def exact(
     df: DataFrame, group: str, value: str, percentiles: list[float], ways: int = 256, broadcast_rows: int = 200_000, salts: int = 32
 ) -> DataFrame:
-    """(group, p, percentile, n): exact percentiles, by the rule of :func:`_ranks`.  ``df`` is scanned three times, so it
-    should be a stored table."""
+    """(group, p, percentile, n): exact percentiles, by the rule of :func:`_ranks`."""
     number = F.col(value).cast("double")
     rows = df.select(F.col(group).alias("g"), number.alias("v")).where("v is not null and not isnan(v)").withColumn("c", order_code(F.col("v")))
+    found = bisected(materialize(rows, "percentile_rows"), percentiles, ways, broadcast_rows, salts)
+    return found.withColumnRenamed("g", group)
+
+
+def bisected(rows: DataFrame, percentiles: list[float], ways: int = 256, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """(g, p, percentile, n) of stored rows (g, v, c), c being the code of v."""
     stored = False
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("v").alias("least"), F.max("v").alias("most"))
     state = sizes.select("g", "n", "lo", "hi", "least", "most", F.explode(_ranks(percentiles, F.col("n"))).alias("t")).select("g", "n", "lo", "hi", "least", "most", "t.p", "t.rank")
@@ -95,7 +100,7 @@ def exact(
     out = solved[0]
     for more in solved[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("g").alias(group), "p", "percentile", "n")
+    return out.select("g", "p", "percentile", "n")
 
 
 def _inside(rows: DataFrame, side: DataFrame, small: bool, salts: int) -> DataFrame:
@@ -135,7 +140,9 @@ def outlying_entries(entries: DataFrame, factor: float = 4.0, low: float = 0.05,
     """(i, j, seq) of entries whose value is more than ``factor`` times the high percentile of its j, or less than the
     low one over ``factor``.  Values count when j is not null and v is finite and above zero, each (i, j, seq) once."""
     usable = entries.where("j is not null and v > 0 and v < double('infinity')")
-    once = materialize(usable.groupBy("i", "j", "seq").agg(F.min("v").alias("v")), "entries_once")
-    limits = exact(once, "j", "v", [low, high]).groupBy("j").agg(F.min("percentile").alias("floor"), F.max("percentile").alias("ceiling"))
+    # The code is written with the value, as every pass asks for it several times.
+    once = usable.groupBy("i", "j", "seq").agg(F.min(F.col("v").cast("double")).alias("v"))
+    once = materialize(once.withColumn("c", order_code(F.col("v"))), "entries_once")
+    limits = bisected(once.select(F.col("j").alias("g"), "v", "c"), [low, high]).withColumnRenamed("g", "j").groupBy("j").agg(F.min("percentile").alias("floor"), F.max("percentile").alias("ceiling"))
     beyond = (F.col("v") > F.col("ceiling") * factor) | (F.col("v") * factor < F.col("floor"))
     return once.join(limits, "j").where(beyond).select("i", "j", "seq")

@@ -146,8 +146,8 @@ class TestWindows:
     owners: np.ndarray
 
     @classmethod
-    def of(cls, ids: np.ndarray, texts: pa.Array, width: int) -> TestWindows:
-        hashes, starts = Words(*Words.tables()).of(texts) if len(texts) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+    def of(cls, ids: np.ndarray, texts: pa.Array, width: int, words: Words) -> TestWindows:
+        hashes, starts = words.of(texts) if len(texts) else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
         sizes = np.maximum(np.diff(starts) - width + 1, 0)
         at = spread(starts[:-1], sizes)
         owner = np.repeat(ids, sizes)
@@ -158,9 +158,10 @@ class TestWindows:
         return cls(terms, distinct, np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1)), pairs[:, 1])
 
 
-def search_shard(shard: tuple, test: TestWindows, least: int, slop: int) -> np.ndarray:
+def search_shard(shard: tuple, test: TestWindows, least: int, slop: int, most: int = 2_000_000) -> np.ndarray:
     """(document, item) pairs of one shard: documents where at least ``least`` words of a window of the item stand at
-    their places, each at most ``slop`` words off."""
+    their places, each at most ``slop`` words off.  Windows are taken together while the lists of their rarest terms have
+    at most ``most`` positions in all, which bounds the memory whatever the words."""
     doc_ids, doc_starts, terms, term_starts, positions = shard
     width = test.windows.shape[1]
     if not len(terms) or not len(test.windows):
@@ -183,10 +184,12 @@ def search_shard(shard: tuple, test: TestWindows, least: int, slop: int) -> np.n
     for seed in range(misses + 1):
         offset = order[:, seed]
         term = windows[np.arange(len(windows)), offset]
-        for a in range(0, len(windows), 50_000):
-            n = count[term[a : a + 50_000]]
-            window = np.repeat(np.arange(a, a + len(n)), n)
-            start = positions[spread(begin[term[a : a + 50_000]], n)] - offset[window]
+        sizes = count[term]
+        bounds = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(most, sizes.sum() + most, most), side="left")) + 1 if len(sizes) else np.zeros(0, int)
+        for a, z in zip(np.r_[0, bounds], np.minimum(np.r_[bounds, len(windows)], len(windows))):
+            n = sizes[a:z]
+            window = np.repeat(np.arange(a, z), n)
+            start = positions[spread(begin[term[a:z]], n)] - offset[window]
             missed = np.zeros(len(window), np.int8)
             for k in range(width):
                 if k == seed:
@@ -219,11 +222,11 @@ def search(
     asked = asked.where(F.col("item").isNotNull() & (F.length("text") >= 2 * width - 1))
     total = asked.agg(F.sum(F.length("text"))).first()[0] or 0
     block_count = -(-total // block_chars) or 1
-    parts = []
+    parts, words = [], Words(*Words.tables())
     for block in range(block_count):
         rows = asked.where(F.pmod(F.xxhash64("item", "text"), F.lit(block_count)) == block).toArrow()
         texts = rows["text"].combine_chunks() if len(rows) else pa.array([], pa.string())
-        test = spark.sparkContext.broadcast(TestWindows.of(rows["item"].to_numpy(), texts, width))
+        test = spark.sparkContext.broadcast(TestWindows.of(rows["item"].to_numpy(), texts, width, words))
 
         def run(batches: Iterator[pa.RecordBatch], test=test) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -125,6 +125,13 @@ def test_leaks_equal_brute_force(spark):
     assert len(rows) == len(set(rows)) and set(rows) == brute_leaks(documents, items)
     index = positional_index.build_index(docs(spark, documents), shard_bytes=300)
     assert {tuple(r) for r in positional_index.search(index, frame, block_chars=400).collect()} == set(rows)
+    words = positional_index.Words(*positional_index.Words.tables())
+    asked = [(i, t) for i, t in dict(items).items() if t]
+    test = positional_index.TestWindows.of(np.array([i for i, _ in asked]), pa.array([t for _, t in asked]), 12, words)
+    for r in index.collect():
+        shard = tuple(np.array(r[c]) for c in ("doc_ids", "doc_starts", "terms", "term_starts", "positions"))
+        whole = positional_index.search_shard(shard, test, 12, 0)
+        assert all((positional_index.search_shard(shard, test, 12, 0, most) == whole).all() for most in (1, 7, 100))
 
 
 def test_proximity_and_empty_tables(spark):
