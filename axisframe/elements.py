@@ -220,6 +220,17 @@ class Dense:
 
         return replace(self, df=self.df.withColumn("v", inner(F.col("v"), len(self.shape) - 1)), dtype=to)
 
+    def reshape(self, *shape: int) -> Dense:
+        """The same cells, row-major, in other dimensions behind the first."""
+        if int(np.prod(shape)) != int(np.prod(self.shape[1:])) or not shape:
+            raise ShapeError(f"{self.shape[1:]} cannot be {shape}")
+        value = F.col("v")
+        for _ in self.shape[2:]:
+            value = F.flatten(value)
+        for size in reversed(shape[1:]):
+            value = _folded(value, size)
+        return replace(self, df=self.df.withColumn("v", value), shape=(self.shape[0], *shape))
+
     def to_long(self) -> DataFrame:
         """(i, j, v), one row a cell of a matrix."""
         return self.df.select("i", F.posexplode("v").alias("j", "v")).select("i", F.col("j").cast("long").alias("j"), "v")
@@ -239,6 +250,10 @@ class Dense:
     def shift_rows(self, offset: int) -> DataFrame:
         return self.df.withColumn("i", F.col("i") + offset) if offset else self.df
 
+    def to_arrow(self):
+        """(i, v) as an Arrow table, in the order of the rows."""
+        return self.df.toArrow().sort_by("i")
+
     def to_numpy(self) -> np.ndarray:
         frame = self.df.toPandas().sort_values("i")
         out = np.array([_plain(v) for v in frame["v"]], dtype=object if self.dtype == "string" else None)
@@ -320,6 +335,21 @@ class Table:
     def shift_rows(self, offset: int) -> DataFrame:
         return self.df.withColumn("ix", F.col("ix") + offset) if offset else self.df
 
+    def to_arrow(self):
+        """The columns as an Arrow table, in the order of the rows; other libraries take it without a copy."""
+        return self.df.toArrow().sort_by("ix").drop_columns(["ix"])
+
+    @classmethod
+    def from_arrow(cls, spark: SparkSession, table) -> Table:
+        """From an Arrow table, or anything that converts itself to one (``to_arrow``)."""
+        import pyarrow as pa
+
+        table = table.to_arrow() if hasattr(table, "to_arrow") and not isinstance(table, pa.Table) else table
+        names = table.column_names
+        plain = pa.table([pa.array(np.arange(len(table))), *[c.cast(c.type.value_type) if pa.types.is_dictionary(c.type) else c for c in table.columns]], names=["ix", *names])
+        kept = {n: c.combine_chunks().unify_dictionaries().dictionary.to_pylist() if hasattr(c.combine_chunks(), "unify_dictionaries") else list(dict.fromkeys(x for x in c.to_pylist() if x is not None)) for n, c in zip(names, table.columns) if pa.types.is_dictionary(c.type)}
+        return cls(spark.createDataFrame(plain), len(table), kept)
+
     def to_pandas(self) -> pd.DataFrame:
         out = self.df.toPandas().sort_values("ix").drop(columns="ix").reset_index(drop=True)
         for c, names in self.categories.items():
@@ -331,6 +361,12 @@ class Table:
 Element = Sparse | Dense | Table
 
 
+def _folded(value: Column, size: int) -> Column:
+    """An array as an array of arrays of ``size``."""
+    parts = F.when(F.size(value) > 0, F.sequence(F.lit(0), F.size(value).cast("int") - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
+    return F.transform(parts, lambda k: F.slice(value, k + 1, size))
+
+
 def element_type(kind: T.DataType) -> str:
     while isinstance(kind, T.ArrayType):
         kind = kind.elementType

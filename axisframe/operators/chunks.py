@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from axisframe.elements import Element
+from axisframe.elements import Dense, Element, ShapeError, Sparse, vstack
 from axisframe.selection import Range
 
 
@@ -35,6 +35,29 @@ class Chunks:
             offset += n
 
 
+class Builder:
+    """An element grown chunk by chunk, its kind, type and width given or those of the first chunk.  Dense chunks go into
+    a sparse element as their entries; other kinds, types or widths are errors.  The element is a lazy stack."""
+
+    def __init__(self, kind: str | None = None, dtype: str | None = None, width: tuple[int, ...] | None = None):
+        self.kind, self.dtype, self.width, self.parts = kind, dtype, width, []
+
+    def add(self, chunk: Sparse | Dense) -> None:
+        if self.kind == "sparse" and chunk.kind == "dense":
+            chunk = chunk.to_sparse()
+        form = chunk.kind, chunk.dtype, tuple(chunk.shape[1:])
+        want = tuple(mine if mine is not None else given for mine, given in zip((self.kind, self.dtype, self.width), form))
+        if form != want:
+            raise ShapeError(f"a chunk of {form} for an element of {want}")
+        self.kind, self.dtype, self.width = want
+        self.parts.append(chunk)
+
+    def result(self) -> Sparse | Dense:
+        if not self.parts:
+            raise ShapeError("no chunk was added")
+        return vstack(self.parts)
+
+
 def chunk_of(ordinal: str, size: int) -> Column:
     """Number of the chunk that a row lies in."""
     return F.floor(F.col(ordinal) / size).cast("long")

@@ -181,6 +181,14 @@ class AxisDataset:
         out = out.set("X", self.select_x(*chosen)) if x is not None else out
         return out if file is None else store.write(out, file)
 
+    def into_table(self, file: str | None = None) -> AxisTable:
+        """:meth:`to_table` of all, after which the children and the annotation are closed; with ``file`` only, as the
+        result would read from closed handles otherwise."""
+        out = self.to_table(file=file)
+        for t in (*self.children.values(), self.annotation) if file else ():
+            t.close()
+        return out
+
     def write(self, path: str, relative: bool = True) -> AxisDataset:
         """Write the annotation and the registry of children; children without a path are written beside it."""
         files, paths = store.Files(self.spark, path), {}

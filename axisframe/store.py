@@ -168,14 +168,15 @@ def decode_uns(data: Any) -> Any:
     return float(data["value"]) if data.get("dtype") == "f64" else data["value"]
 
 
-def _write_element(element: Element, path: str) -> None:
+def _write_element(element: Element, path: str, chunk_size: int | None = None) -> None:
     df, key = element.df, "ix" if element.kind == "table" else "i"
     if element.kind == "sparse":
         key = "i" if element.layout == "csr" else "j"
         df = df.repartitionByRange(key).sortWithinPartitions(key, "j" if key == "i" else "i", "seq")
     else:
         df = df.repartitionByRange(key).sortWithinPartitions(key)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("maxRecordsPerFile", chunk_size) if chunk_size else writer).parquet(path)
 
 
 def column_encoding(table: Table, field: T.StructField) -> str:
@@ -209,10 +210,10 @@ def _open_element(spark: SparkSession, root: str, data: dict) -> Element:
     return Table(df, data["rows"], data["categories"])
 
 
-def write(table: AxisTable, path: str, slots: tuple[str, ...] | set[str] = SLOTS, mode: str = "error", adopt: str | None = None) -> AxisTable:
+def write(table: AxisTable, path: str, slots: tuple[str, ...] | set[str] = SLOTS, mode: str = "error", adopt: str | None = None, chunk_size: int | None = None) -> AxisTable:
     """Write the given slots as a snapshot at ``path`` and open it.  Mode ``error`` refuses an existing store, ``commit``
     replaces its content at once when all files are written.  Elements that are read from below the folder ``adopt``, as
-    they are, are not written again: the manifest points to their files."""
+    they are, are not written again: the manifest points to their files.  ``chunk_size`` bounds the rows of a file."""
     unknown = set(slots) - set(SLOTS)
     if unknown:
         raise StoreError(f"no such slots: {sorted(unknown)}")
@@ -228,7 +229,7 @@ def write(table: AxisTable, path: str, slots: tuple[str, ...] | set[str] = SLOTS
                 entries[name] = _describe(element, [lies])
                 continue
             entries[name] = _describe(element, [f"v_{version}/{name}"])
-            _write_element(element, f"{path.rstrip('/')}/v_{version}/{name}")
+            _write_element(element, f"{path.rstrip('/')}/v_{version}/{name}", chunk_size)
     uns = {}
     for key, value in table.uns.items() if "uns" in slots else ():
         if isinstance(value, (Sparse, Dense, Table)):
