@@ -33,10 +33,10 @@ def last_records(records: DataFrame) -> DataFrame:
     return records.groupBy("file_id", "row_no").agg(last).select("file_id", "row_no", "r.obs_name", "r.payload")
 
 
-def tagged_values(records: DataFrame, moving: DataFrame | None = None) -> DataFrame:
+def tagged_values(records: DataFrame, moving: DataFrame | None = None, all_texts: bool = True) -> DataFrame:
     """(file_id, row_no, obs_name, column, type, text): the non-null values of each record once, with their types; equal
     values of one type have equal texts.  With ``moving``, the output of :func:`moving_columns`, also ``moves``: whether
-    the column comes or goes in a step from or to the file."""
+    the column comes or goes in a step from or to the file; without ``all_texts`` only these have a text."""
     last = last_records(records)
     last = last.withColumn("moving", F.lit(None).cast("array<string>")) if moving is None else last.join(moving, "file_id", "left")
     rows = last.select("file_id", "row_no", "obs_name", "moving", F.expr("try_parse_json(payload)").alias("v"))
@@ -46,6 +46,7 @@ def tagged_values(records: DataFrame, moving: DataFrame | None = None) -> DataFr
     kind = F.expr(_KIND)
     text = F.when(kind == "decimal", raw.cast("double").cast("string")).otherwise(raw)
     moves = [] if moving is None else [F.coalesce(F.array_contains("moving", F.col("column")), F.lit(False)).alias("moves")]
+    text = text if all_texts or not moves else F.when(F.array_contains("moving", F.col("column")), text)
     return cells.select("file_id", "row_no", "obs_name", "column", kind.alias("type"), text.alias("text"), *moves)
 
 
@@ -158,17 +159,17 @@ def alternatives(files: DataFrame, values: DataFrame) -> DataFrame:
 
 def appearing_alternatives(files: DataFrame, records: DataFrame) -> DataFrame:
     """The rows of :func:`alternatives` from the raw tables."""
-    return alternatives(*_read(files, records))
+    return alternatives(*_read(files, records, False))
 
 
 def drift_report(files: DataFrame, records: DataFrame) -> DataFrame:
     """The report of :func:`changes` from the raw tables."""
-    return changes(*_read(files, records))
+    return changes(*_read(files, records, False))
 
 
-def _read(files: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _read(files: DataFrame, records: DataFrame, all_texts: bool) -> tuple[DataFrame, DataFrame]:
     listed = materialize(listed_files(files), "files")
-    return listed, materialize(tagged_values(records, moving_columns(consecutive(listed))), "tagged_values")
+    return listed, materialize(tagged_values(records, moving_columns(consecutive(listed)), all_texts), "tagged_values")
 
 
 def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def consistent_table(files: DataFrame, records: DataFrame) -> DataFrame:
     as text, null where it cannot be converted.  Every record is in the table: one without a value in a listed column has
     a single row, with nulls from ``column`` on.  Files without a series form one series, the null one.
     """
-    listed, values = _read(files, records)
+    listed, values = _read(files, records, True)
     renamed = renames(consecutive(listed), values).join(listed.select("file_id", "series_id"), "file_id")
     key = lambda c: F.struct("series_id", F.col(c).alias("column"))
     linked = components(renamed.select(key("old_name").alias("a"), key("new_name").alias("b")))

@@ -196,6 +196,27 @@ ORACLES: dict[str, str] = {
     "mtx_read": _SEQ,
     "mtx_symmetric": """SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j, 0 AS seq,
       CAST(greatest(a.n_nationkey, b.n_nationkey) * 100 + least(a.n_nationkey, b.n_nationkey) AS BIGINT) AS v FROM nation a JOIN nation b USING (n_regionkey)""",
+    "p3_values": f"""WITH RECURSIVE {_DRIFT},
+      edges AS (SELECT series_id AS s, old_name AS a, new_name AS b FROM renamed JOIN files USING (file_id)
+        UNION SELECT series_id, new_name, old_name FROM renamed JOIN files USING (file_id)),
+      reach(s, a, b) AS (SELECT * FROM edges UNION SELECT r.s, r.a, e.b FROM reach r JOIN edges e ON e.s = r.s AND e.a = r.b),
+      names AS (SELECT s, a, least(a, min(b)) AS name FROM reach GROUP BY s, a),
+      texts AS (SELECT t.*, CASE t.type WHEN 'string' THEN json_extract_string(t.v, '$') ELSE t.v END AS text FROM typed t),
+      cells AS (SELECT f.series_id, t.file_id, t.row_no, t.obs_name, t.col, coalesce(n.name, t.col) AS name, t.type, t.text
+        FROM texts t JOIN files f USING (file_id) LEFT JOIN names n ON n.s = f.series_id AND n.a = t.col WHERE list_contains(f.cols, t.col)),
+      counted AS (SELECT series_id, name, type, row_number() OVER (PARTITION BY series_id, name ORDER BY n DESC, type DESC) AS r
+        FROM (SELECT series_id, name, type, count(*) AS n FROM cells GROUP BY ALL)),
+      mains AS (SELECT series_id, name, CASE WHEN list_sort(list(type) FILTER (WHERE r <= 2)) = ['decimal', 'integer'] THEN 'decimal'
+        ELSE any_value(type) FILTER (WHERE r = 1) END AS canonical_type FROM counted GROUP BY ALL)
+      SELECT c.series_id, c.file_id, c.row_no, c.obs_name, c.col AS "column", c.name, c.type,
+        CASE c.type WHEN 'boolean' THEN CAST(c.text AS BOOLEAN) END AS as_boolean, CASE c.type WHEN 'integer' THEN CAST(c.text AS DECIMAL(38,0)) END AS as_integer,
+        CASE c.type WHEN 'decimal' THEN CAST(c.text AS DOUBLE) END AS as_decimal, CASE c.type WHEN 'string' THEN c.text END AS as_string, m.canonical_type,
+        CASE m.canonical_type WHEN 'decimal' THEN try_cast(c.text AS DOUBLE) END AS canonical_decimal,
+        CASE m.canonical_type WHEN 'boolean' THEN CAST(try_cast(c.text AS BOOLEAN) AS VARCHAR) WHEN 'integer' THEN CAST(try_cast(c.text AS DECIMAL(38,0)) AS VARCHAR)
+          WHEN 'decimal' THEN NULL ELSE c.text END AS canonical
+      FROM cells c JOIN mains m ON m.series_id = c.series_id AND m.name = c.name
+      UNION ALL SELECT f.series_id, r.file_id, r.row_no, r.obs_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM (SELECT DISTINCT file_id, row_no, obs_name FROM obs_records) r LEFT JOIN files f USING (file_id) ANTI JOIN cells USING (file_id, row_no)""",
     "p3_paths": f"""WITH {_DRIFT}
       SELECT file_id, col AS path, type, CAST(count(*) AS BIGINT) AS n, min(row_no) AS first_row FROM typed GROUP BY ALL""",
     "p3_alternatives": f"""WITH {_DRIFT},

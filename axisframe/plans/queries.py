@@ -824,6 +824,14 @@ def p3_alternatives(spark, sf_dir):
     return schema_drift.appearing_alternatives(table(spark, sf_dir, "obs_files"), table(spark, sf_dir, "obs_records"))
 
 
+@query
+def p3_values(spark, sf_dir):
+    """The consistent table with canonical decimals as numbers, not as texts."""
+    t = p3_table(spark, sf_dir)
+    number = F.col("canonical_type") == "decimal"
+    return t.withColumn("canonical_decimal", F.when(number, F.col("canonical").try_cast("double"))).withColumn("canonical", F.when(~number, F.col("canonical")))
+
+
 @query
 def p3_paths(spark, sf_dir):
     """The alternative types of every path in every file."""
