@@ -97,6 +97,20 @@ class Files:
         self.fs.mkdirs(self._path(name))
 
 
+def parquet_rows(spark: SparkSession, path: str, most_files: int = 64) -> int:
+    """Rows of a Parquet file or folder, from the footers: read here while they are few, else by a job."""
+    files = Files(spark, path)
+    names = [n for n in files.list() if n.endswith(".parquet") and n[0] not in "._"] if files.is_folder() else [""]
+    if len(names) > most_files or not names:
+        return spark.read.parquet(path).count()
+    parquet, total = files.jvm.org.apache.parquet.hadoop, 0
+    for n in names:
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(files._path(n), files.conf))
+        total += reader.getRecordCount()
+        reader.close()
+    return total
+
+
 def encode_index(index: AxisIndex | None, path: str, name: str) -> dict | None:
     """An index for the manifest; names beyond ``LOCAL_NAMES`` are written to a Parquet table ``name`` beside it."""
     if index is None:
