@@ -197,7 +197,7 @@ class MultiIndex:
         picked = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
         rng, half = np.random.default_rng(seed), width // 2
         rows = unit_rows(picked if isinstance(picked, pa.Array) else pa.concat_arrays(picked.chunks), width)
-        size = centroids or min(most_centroids, max(4, 1 << int(np.ceil(np.log2(max(np.sqrt(n), 1))))))
+        size = centroids or min(most_centroids, max(4, 1 << int(np.log2(max(np.sqrt(n), 1)))))
         self.halves = [_means(x, size, 6, rng) if len(x) else np.zeros((1, x.shape[1])) for x in (rows[:, :half], rows[:, half:])]
         books = self.spark.sparkContext.broadcast(self.halves)
 
