@@ -25,3 +25,22 @@ def rank_by_position(df: DataFrame, position: str = "ix", keys: list[str] | None
         on = on & F.col(k).eqNullSafe(F.col(n))
     inside = F.row_number().over(Window.partitionBy(*keys, "__b").orderBy(position)) - 1
     return marked.withColumn("__r", inside).join(offsets, on).withColumn(out, (F.col("__r") + F.col("__o")).cast("long")).drop("__b", "__r", "__ob", "__o", *names)
+
+
+#: Columns that tell where a row of a text file stands, as :func:`placed` gives them.
+PLACE = ("__file", "__block", "__line")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows just read from text files, with their place: file, block, and a number that rises with the lines of a block."""
+    here = rows.withColumn("__file", F.col("_metadata.file_path")).withColumn("__block", F.col("_metadata.file_block_start"))
+    return here.withColumn("__line", F.monotonically_increasing_id())
+
+
+def in_file_order(rows: DataFrame, out: str = "ix") -> DataFrame:
+    """Number rows with a place by file, block and line, from 0: within blocks each on its own, blocks by their counts."""
+    blocks = rows.groupBy("__file", "__block").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = rows.withColumn("__at", F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__line")) - 1)
+    return inside.join(starts, ["__file", "__block"]).withColumn(out, (F.col("__start") + F.col("__at")).cast("long")).drop("__start", "__at", *PLACE)

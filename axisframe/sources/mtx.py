@@ -12,12 +12,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisframe.axis_index import FrameIndex
 from axisframe.elements import Sparse
 from axisframe.model import AxisTable
+from axisframe.ordinals import PLACE, in_file_order, placed
 from axisframe.store import Files
 from axisframe.workspace import fresh_path, materialize
 
@@ -53,11 +54,8 @@ def parse_header(lines: list[str]) -> Header:
     raise FormatError("the file ends before its size line")
 
 
-_PLACE = ("file", "block", "line")
-
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, block, line) of a text file or a folder of them; gzip by its first bytes, whatever the name."""
+    """(value and its place) of the lines of a text file or a folder of them; gzip by its first bytes, whatever the name."""
     files = Files(spark, path)
     if not files.exists():
         raise FormatError(f"no file at {path}")
@@ -66,14 +64,13 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
         copy = fresh_path(spark, "unpacked") + ".gz"
         Files(spark, copy).copy_from([files.fs.makeQualified(files._path("")).toString()])
         path = copy
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    return rows.withColumn("line", F.monotonically_increasing_id())
+    return placed(spark.read.text(path))
 
 
 def _first(lines: DataFrame, condition=None):
     """The first line, or the first of some."""
     some = lines if condition is None else lines.where(condition)
-    return some.agg(F.min(F.struct(*_PLACE, "value")).alias("m")).first().m
+    return some.agg(F.min(F.struct(*PLACE, "value")).alias("m")).first().m
 
 
 def read_mtx(spark: SparkSession, path: str, layout: str = "csr") -> Sparse:
@@ -81,26 +78,21 @@ def read_mtx(spark: SparkSession, path: str, layout: str = "csr") -> Sparse:
     lines = _lines(spark, path)
     banner, size = _first(lines), _first(lines, ~F.col("value").startswith("%") & (F.trim("value") != ""))
     header = parse_header([x.value for x in (banner, size) if x is not None and (x is banner or x.value != banner.value)])
-    here = (F.col("file") == size.file) & (F.col("block") == size.block) & (F.col("line") == size.line)
+    here = (F.col("__file") == size["__file"]) & (F.col("__block") == size["__block"]) & (F.col("__line") == size["__line"])
     body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & ~here).withColumn("w", F.split(F.trim("value"), r"\s+"))
     want = 2 if header.field == "pattern" else 3
     value = F.lit(1).cast("bigint") if header.field == "pattern" else F.col("w")[2].cast("bigint" if header.field == "integer" else "double")
-    kept = body.where(F.size("w") == want).select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), value.alias("v"), *_PLACE)
+    kept = body.where(F.size("w") == want).select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), value.alias("v"), *PLACE)
     if header.symmetry != "general":
         sign = -1 if header.symmetry == "skew-symmetric" else 1
-        kept = kept.unionByName(kept.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v"), *_PLACE))
-    return Sparse.of(kept, (header.rows, header.cols), order=[*_PLACE], layout=layout)
+        kept = kept.unionByName(kept.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * sign).alias("v"), *PLACE))
+    return Sparse.of(kept, (header.rows, header.cols), order=[*PLACE], layout=layout)
 
 
 def read_names(spark: SparkSession, path: str) -> FrameIndex:
     """Names of an axis: the first tab field of each line, in the order of the file."""
-    lines = _lines(spark, path).select(F.split("value", "\t")[0].alias("name"), *_PLACE)
-    # Numbered block by block, each in its own order.
-    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
-    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("file", "block", "first")
-    inside = lines.withColumn("k", F.row_number().over(Window.partitionBy("file", "block").orderBy("line")) - 1)
-    named = materialize(inside.join(offsets, ["file", "block"]).select((F.col("first") + F.col("k")).alias("ix"), "name"), "names")
+    lines = _lines(spark, path).withColumn("name", F.split("value", "\t")[0]).drop("value")
+    named = materialize(in_file_order(lines).select("ix", "name"), "names")
     return FrameIndex(named, named.count())
 
 

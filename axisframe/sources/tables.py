@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from axisframe import store
 from axisframe.elements import Table
 from axisframe.model import AxisTable
-from axisframe.ordinals import rank_by_position
+from axisframe.ordinals import in_file_order, placed
+from axisframe.selection import quoted
 from axisframe.sources import optional
+from axisframe.workspace import materialize
 
 
 def read_csv(spark: SparkSession, path: str, names: str | None = None, axis: int = 0, **options) -> AxisTable:
@@ -17,26 +19,10 @@ def read_csv(spark: SparkSession, path: str, names: str | None = None, axis: int
     ``names``, if given, becomes the names of the axis.  ``options`` are those of Spark's reader."""
     rows = spark.read.options(**({"header": True, "inferSchema": True} | options)).csv(path)
     columns = rows.columns
-    placed = rows.withColumn("__block", F.col("_metadata.file_block_start")).withColumn("__file", F.col("_metadata.file_path")).withColumn("__line", F.monotonically_increasing_id())
-    ranked = _in_file_order(placed)
-    table = Table(ranked.select("ix", *[f"`{c}`" for c in columns if c != names]), ranked.count())
+    ranked = materialize(in_file_order(placed(rows)), "csv")
+    table = Table(ranked.select("ix", *[quoted(c) for c in columns if c != names]), ranked.count())
     out = AxisTable(spark).set(("obs", "var")[axis], table)
-    return out if names is None else out.with_names(axis, ranked.select("ix", F.col(f"`{names}`").cast("string").alias("name")))
-
-
-def _in_file_order(placed: DataFrame) -> DataFrame:
-    """Numbered by file, block and line: the line numbers of a block are consecutive, those of blocks are put in order."""
-    blocks = placed.groupBy("__file", "__block").agg(F.count("*").alias("__n"), F.min("__line").alias("__first"))
-    order = sorted(((r["__file"], r["__block"], r["__n"], r["__first"]) for r in blocks.collect()), key=lambda r: r[:2])
-    offsets, total = [], 0
-    for file, block, n, _ in order:
-        offsets.append((file, block, total))
-        total += n
-    if not offsets:
-        return rank_by_position(placed, "__line", out="ix")
-    starts = placed.sparkSession.createDataFrame(offsets, "__file string, __block long, __start long")
-    ranked = rank_by_position(placed, "__line", ["__file", "__block"], out="__at")
-    return ranked.join(F.broadcast(starts), ["__file", "__block"]).withColumn("ix", F.col("__start") + F.col("__at"))
+    return out if names is None else out.with_names(axis, ranked.select("ix", F.col(quoted(names)).cast("string").alias("name")))
 
 
 def read_file(spark: SparkSession, path: str, mode: str | None = "r+", backend: str | None = None):
