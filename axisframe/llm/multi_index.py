@@ -298,69 +298,92 @@ class MultiIndex:
         blocks (query rows, entry rows) to compare; it gives the columns of ``schema``.  Queries meet the entries of the
         cells that the heap visits up to ``candidates`` and, with ``complete``, every entry with a cosine of at least the
         index's ``min_cosine``."""
-        routing, width = self.routing, self.width
-
-        def side(is_query: bool):
+        routing, width, both = self.routing, self.width, queries is entries
+
+        def asking(r: Routing, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+            """Row, unit, own list there (of a core) and lists visited, of the batch as queries."""
+            cells, core, near = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            x = unit_rows(batch.column(4), width) if candidates else np.zeros((len(batch), 0))
+            rows, lists = r.visits(x, cells, core, near, candidates, complete)
+            row, unit, asked = _by_unit(rows, lists, r.unit_of(lists))
+            own = r.entry_lists(cells, core, complete)
+            return row, unit, np.where((core[row] >= 0) & (r.unit_of(own)[row] == unit), own[row], NOWHERE), asked
+
+        def lying(r: Routing, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+            """The same of the batch as entries: each in its list; strays also as visitors of the cores near them."""
+            cells, core, near = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            own = r.entry_lists(cells, core, complete)
+            rows = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
+            lists = 2 * r.core_at[near.flatten().to_numpy()]
+            use = np.full(len(rows), complete) & (core[rows] < 0)
+            row, unit, asked = _by_unit(rows[use], lists[use], r.unit_of(lists[use]))
+            asked = pa.concat_arrays([pa.array([[]] * len(batch), pa.list_(pa.int64())), asked])
+            return np.r_[np.arange(len(batch)), row], np.r_[r.unit_of(own), unit], np.r_[own, np.full(len(row), NOWHERE)], asked
+
+        def side(roles: tuple[int, ...]):
             def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = routing.value
                 for batch in batches:
                     if not len(batch):
                         continue
-                    ids, cells, core, near = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
-                    at = r.entry_lists(cells, core, complete)
-                    home = r.unit_of(at)
-                    if is_query:
-                        x = unit_rows(batch.column(4), width) if candidates else np.zeros((len(batch), 0))
-                        rows, lists = r.visits(x, cells, core, near, candidates, complete)
-                        row, unit, asked = _by_unit(rows, lists, r.unit_of(lists))
-                        at = np.where((core[row] >= 0) & (home[row] == unit), at[row], NOWHERE)
-                    else:
-                        # Each entry in its list; strays also as visitors of the cores near them.
-                        rows = np.repeat(np.arange(len(batch)), np.diff(near.offsets.to_numpy()))
-                        lists = 2 * r.core_at[near.flatten().to_numpy()]
-                        use = np.full(len(rows), complete) & (core[rows] < 0)
-                        row, unit, asked = _by_unit(rows[use], lists[use], r.unit_of(lists[use]))
-                        at = np.r_[at, np.full(len(row), NOWHERE)]
-                        row, unit = np.r_[np.arange(len(batch)), row], np.r_[home, unit]
-                        asked = pa.concat_arrays([pa.array([[]] * len(batch), pa.list_(pa.int64())), asked])
-                    if not len(row):
-                        continue
-                    # Into the parts of the unit: the own part of this side, all of the other.
-                    qs, es = r.query_parts[unit], r.entry_parts[unit]
-                    own = ((ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (qs if is_query else es)
-                    copies = es if is_query else qs
-                    pick = np.repeat(np.arange(len(row)), copies)
-                    k = np.arange(len(pick)) - np.repeat(np.cumsum(copies) - copies, copies)
-                    task = r.first_task[unit[pick]] + (own[pick] * es[pick] + k if is_query else k * es[pick] + own[pick])
-                    took = pa.array(row[pick])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(task), pa.array(np.full(len(pick), is_query)), batch.column(0).take(took), pa.array(at[pick]), asked.take(pa.array(pick)), batch.column(5).take(took), batch.column(4).take(took)],
-                        names=["task", "asks", "id", "at", "visits", "x", "vec"],
-                    )
+                    found = {role: (asking, lying)[role - 1](r, batch) for role in roles}
+                    if len(roles) == 2:
+                        # A row that asks and lies in a unit of a single part goes there once, in both roles.
+                        q, e = found[1], found[2]
+                        units = len(r.query_parts)
+                        names, of_q, of_e = np.intersect1d(q[0] * units + q[1], e[0] * units + e[1], return_indices=True)
+                        whole = r.query_parts[names % units] * r.entry_parts[names % units] == 1
+                        of_q, of_e = of_q[whole], of_e[whole]
+                        found[3] = q[0][of_q], q[1][of_q], e[2][of_e], q[3].take(pa.array(of_q))
+                        for role, gone in ((1, of_q), (2, of_e)):
+                            row, unit, at, asked = found[role]
+                            stay = np.setdiff1d(np.arange(len(row)), gone)
+                            found[role] = row[stay], unit[stay], at[stay], asked.take(pa.array(stay))
+                    ids = batch.column(0).to_numpy()
+                    for role, (row, unit, at, asked) in found.items():
+                        if not len(row):
+                            continue
+                        # Into the parts of the unit: the own part of this side, all of the other.
+                        qs, es = r.query_parts[unit], r.entry_parts[unit]
+                        own = ((ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % (es if role == 2 else qs)
+                        copies = qs if role == 2 else es
+                        pick = np.repeat(np.arange(len(row)), copies)
+                        k = np.arange(len(pick)) - np.repeat(np.cumsum(copies) - copies, copies)
+                        task = r.first_task[unit[pick]] + (k * es[pick] + own[pick] if role == 2 else own[pick] * es[pick] + k)
+                        took = pa.array(row[pick])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(task), pa.array(np.full(len(pick), role, np.int32)), batch.column(0).take(took), pa.array(at[pick]), asked.take(pa.array(pick)), batch.column(5).take(took), batch.column(4).take(took)],
+                            names=["task", "role", "id", "at", "visits", "x", "vec"],
+                        )
 
             return send
 
         x = F.col(extra).cast("long").alias("x") if extra else F.lit(0).cast("long").alias("x")
-        kind = "task long, asks boolean, id long, at long, visits array<long>, x long, vec array<float>"
-        sides = [df.select("id", "cell", "core", "near", "vec", x).mapInArrow(side(q), kind) for df, q in ((queries, True), (entries, False))]
+        kind = "task long, role int, id long, at long, visits array<long>, x long, vec array<float>"
+        sides = ((queries, (1, 2)),) if both else ((queries, (1,)), (entries, (2,)))
+        sent = [df.select("id", "cell", "core", "near", "vec", x).mapInArrow(side(roles), kind) for df, roles in sides]
 
         def reduce_task(table):
-            def part(asks):
-                rows = table.filter(asks).combine_chunks()
-                visits = rows["visits"].combine_chunks()
-                visits = visits if isinstance(visits, pa.Array) else pa.concat_arrays(visits.chunks)
-                by = np.repeat(np.arange(len(rows)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
-                vec = rows["vec"].combine_chunks()
-                vec = vec if isinstance(vec, pa.Array) else pa.concat_arrays(vec.chunks)
-                return (rows["id"].to_numpy(), unit_rows(vec, width), rows["x"].to_numpy()), rows["at"].to_numpy(), by
-
-            asks = table["asks"].combine_chunks()
-            (q, q_at, q_by), (e, e_at, e_by) = part(asks), part(pc.invert(asks))
+            role, at = table["role"].to_numpy(), table["at"].to_numpy()
+            vec, visits = (c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in (table[n].combine_chunks() for n in ("vec", "visits")))
+            rows, ids, extras = unit_rows(vec, width), table["id"].to_numpy(), table["x"].to_numpy()
+            by, lists = np.repeat(np.arange(len(ids)), np.diff(visits.offsets.to_numpy())), visits.flatten().to_numpy()
+
+            def part(mine: np.ndarray, asks: np.ndarray):
+                take = np.flatnonzero(mine)
+                place = np.full(len(ids), -1)
+                place[take] = np.arange(len(take))
+                use = (mine & asks)[by]
+                return (ids[take], rows[take], extras[take]), at[take], (place[by[use]], lists[use])
+
+            # An entry visits only where it lies in no list.
+            (q, q_at, q_by), (e, e_at, e_by) = part(role != 2, role != 2), part(role != 1, (at == NOWHERE) & complete)
             blocks = [*meetings(*q_by, np.arange(len(e_at)), e_at), *((b, a) for a, b in meetings(*e_by, np.arange(len(q_at)), q_at))]
             return pa.Table.from_batches([reducer(*q, *e, blocks)])
 
         # Tasks differ in size; more partitions than cores, and none merged, let them even out.
-        return sides[0].unionByName(sides[1]).repartition(2 * max(self.tasks, 1), "task").groupBy("task").applyInArrow(reduce_task, schema)
+        whole = sent[0] if both else sent[0].unionByName(sent[1])
+        return whole.repartition(2 * max(self.tasks, 1), "task").groupBy("task").applyInArrow(reduce_task, schema)
 
 
 def meetings(visitors: np.ndarray, visited: np.ndarray, members: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
