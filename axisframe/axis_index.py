@@ -159,8 +159,9 @@ class IntervalIndex:
         return ListIndex(tuple(labels[k] for k in selection.positions()))
 
     def has_duplicates(self) -> bool:
-        labels = self.labels()
-        return len(set(labels)) < len(labels)
+        """Labels repeat only between runs of one sequence; those are compared as rows."""
+        names = [r.name for r in self.runs if len(r)]
+        return len(set(names)) < len(names) and FrameIndex(self.frame(SparkSession.active()), len(self)).has_duplicates()
 
 
 @dataclass(frozen=True, eq=False)
@@ -249,9 +250,10 @@ def equal(a: AxisIndex, b: AxisIndex) -> bool:
     """Same names in the same order, whatever the forms."""
     if a is b or len(a) != len(b):
         return a is b
-    if isinstance(a, FrameIndex) or isinstance(b, FrameIndex):
-        frame = a if isinstance(a, FrameIndex) else b
-        spark = frame.df.sparkSession
+    if isinstance(a, RangeIndex) and isinstance(b, RangeIndex):
+        return a == b
+    if isinstance(a, FrameIndex) or isinstance(b, FrameIndex) or len(a) > LOCAL_NAMES:
+        spark = next((x.df.sparkSession for x in (a, b) if isinstance(x, FrameIndex)), None) or SparkSession.active()
         other = b.frame(spark).select("ix", F.col("name").alias("other"))
         return a.frame(spark).join(other, "ix", "full").where(~F.col("name").eqNullSafe(F.col("other"))).isEmpty()
     return a == b or a.labels() == b.labels()
