@@ -73,13 +73,14 @@ def bisected(rows: DataFrame, percentiles: list[float], ways: int = 256, broadca
         # Parts of equal width in code; the width is computed in halves, as hi - lo may not fit a long.  Where it is less
         # than a part each (w = 1), every code is a part of its own: halves would leave adjacent codes together for ever.
         cut = open_.withColumn("w", ((F.expr("hi div 2 - lo div 2") / F.lit(max(ways // 2, 2))).cast("long") + 1))
-        side = cut.select(F.col("g").alias("sg"), "p", "lo", "hi", "w")
+        # Intervals of a group are the same or apart: those of several percentiles are counted once, known by their start.
+        side = cut.select(F.col("g").alias("sg"), "lo", "hi", "w").distinct()
         inside = _inside(rows, side, live <= broadcast_rows, salts)
         part = F.expr("case when w = 1 then c - lo else (c div 2 - lo div 2) div w end")
-        counted = inside.groupBy("g", "p", part.alias("part")).agg(F.count("*").alias("k"), F.min("c").alias("a"), F.max("c").alias("b"), F.min("v").alias("va"), F.max("v").alias("vb"))
+        counted = inside.groupBy("g", "lo", part.alias("part")).agg(F.count("*").alias("k"), F.min("c").alias("a"), F.max("c").alias("b"), F.min("v").alias("va"), F.max("v").alias("vb"))
         # At most about ways parts of each interval: one sorted array, no window over rows.
-        parts = counted.groupBy("g", "p").agg(F.sort_array(F.collect_list(F.struct("part", "k", "a", "b", "va", "vb"))).alias("parts"))
-        step = cut.select(F.col("g").alias("sg"), F.col("p").alias("sp"), "rank", "n").join(parts, F.col("g").eqNullSafe(F.col("sg")) & (F.col("p") == F.col("sp")))
+        parts = counted.groupBy("g", F.col("lo").alias("from")).agg(F.sort_array(F.collect_list(F.struct("part", "k", "a", "b", "va", "vb"))).alias("parts"))
+        step = cut.select(F.col("g").alias("sg"), "p", "lo", "rank", "n").join(parts, F.col("g").eqNullSafe(F.col("sg")) & (F.col("lo") == F.col("from"))).drop("lo")
         walk = F.expr(
             "aggregate(parts, named_struct('left', rank, 'hit', cast(null as struct<part:bigint,k:bigint,a:bigint,b:bigint,va:double,vb:double>)),"
             " (s, x) -> if(s.hit is not null, s, if(s.left <= x.k, named_struct('left', s.left, 'hit', x), named_struct('left', s.left - x.k, 'hit', s.hit))))"
@@ -91,7 +92,7 @@ def bisected(rows: DataFrame, percentiles: list[float], ways: int = 256, broadca
         ahead = state.where("lo < hi")
         if ahead.isEmpty():
             break
-        ends = ahead.groupBy("g").agg(F.collect_list(F.struct("lo", "hi")).alias("ends")).withColumnRenamed("g", "sg")
+        ends = ahead.groupBy("g").agg(F.collect_set(F.struct("lo", "hi")).alias("ends")).withColumnRenamed("g", "sg")
         near = _inside(rows, ends.select("sg", "ends", F.array_min("ends")["lo"].alias("lo"), F.array_max(F.transform("ends", lambda x: x["hi"])).alias("hi")), live <= broadcast_rows, salts)
         kept = materialize(near.where(F.exists("ends", lambda x: (F.col("c") >= x["lo"]) & (F.col("c") <= x["hi"]))).select("g", "v", "c"), "percentile_rows")
         if stored:
