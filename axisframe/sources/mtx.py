@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,32 +55,41 @@ def parse_header(lines: list[str]) -> Header:
     raise FormatError("the file ends before its size line")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value and its place) of the lines of a text file or a folder of them; gzip by its first bytes, whatever the name."""
+def _lines(spark: SparkSession, path: str) -> list[DataFrame]:
+    """(value and its place) of the lines of a text file, or of the first file of a folder and of the others; gzip by its
+    first bytes, whatever the name."""
     files = Files(spark, path)
     if not files.exists():
         raise FormatError(f"no file at {path}")
-    if not path.endswith(".gz") and not files.is_folder() and files.first_bytes(2) == b"\x1f\x8b":
+    if files.is_folder():
+        names = [f"{path.rstrip('/')}/{n}" for n in files.list() if n[0] not in "._"]
+        if not names:
+            raise FormatError(f"no file in {path}")
+        return [placed(spark.read.text(part)) for part in (names[:1], names[1:]) if part]
+    if not path.endswith(".gz") and files.first_bytes(2) == b"\x1f\x8b":
         # A single packed stream cannot be split anyway; a copy under the right name lets the text source unpack it.
         copy = fresh_path(spark, "unpacked") + ".gz"
         Files(spark, copy).copy_from([files.fs.makeQualified(files._path("")).toString()])
         path = copy
-    return placed(spark.read.text(path))
+    return [placed(spark.read.text(path))]
 
 
 def _first(lines: DataFrame, condition=None):
-    """The first line, or the first of some."""
-    some = lines if condition is None else lines.where(condition)
-    return some.agg(F.min(F.struct(*PLACE, "value")).alias("m")).first().m
+    """The first line of a file, or the first of some: only as many of its blocks are read as that takes."""
+    return next(iter((lines if condition is None else lines.where(condition)).take(1)), None)
 
 
 def read_mtx(spark: SparkSession, path: str, layout: str = "csr") -> Sparse:
     """A sparse matrix; repeated coordinates are kept, in the order of the file, as ``seq`` says."""
-    lines = _lines(spark, path)
-    banner, size = _first(lines), _first(lines, ~F.col("value").startswith("%") & (F.trim("value") != ""))
+    lines, *others = _lines(spark, path)
+    content = ~F.col("value").startswith("%") & (F.trim("value") != "")
+    banner, size = _first(lines), _first(lines, content)
     header = parse_header([x.value for x in (banner, size) if x is not None and (x is banner or x.value != banner.value)])
     here = (F.col("__file") == size["__file"]) & (F.col("__block") == size["__block"]) & (F.col("__line") == size["__line"])
-    body = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "") & ~here).withColumn("w", F.split(F.trim("value"), r"\s+"))
+    body = lines.where(content & ~here)
+    for more in others:
+        body = body.unionByName(more.where(content))
+    body = body.withColumn("w", F.split(F.trim("value"), r"\s+"))
     want = 2 if header.field == "pattern" else 3
     value = F.lit(1).cast("bigint") if header.field == "pattern" else F.col("w")[2].cast("bigint" if header.field == "integer" else "double")
     kept = body.where(F.size("w") == want).select((F.col("w")[0].cast("long") - 1).alias("i"), (F.col("w")[1].cast("long") - 1).alias("j"), value.alias("v"), *PLACE)
@@ -91,7 +101,7 @@ def read_mtx(spark: SparkSession, path: str, layout: str = "csr") -> Sparse:
 
 def read_names(spark: SparkSession, path: str) -> FrameIndex:
     """Names of an axis: the first tab field of each line, in the order of the file."""
-    lines = _lines(spark, path).withColumn("name", F.split("value", "\t")[0]).drop("value")
+    lines = reduce(DataFrame.unionByName, _lines(spark, path)).withColumn("name", F.split("value", "\t")[0]).drop("value")
     named = materialize(in_file_order(lines).select("ix", "name"), "names")
     return FrameIndex(named, named.count())
 
