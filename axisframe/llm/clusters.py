@@ -116,10 +116,11 @@ def pivot_clusters(index: MultiIndex) -> DataFrame:
         taken = materialize(_nearest_pivot(index, active, pivots), "absorbed")
         done.append((taken, pivots))
         rounds += 1
-        left = materialize(active.join(taken, "id", "left_anti").select(*index.rows.columns), "unassigned")
+        # Ids alone tell whether a row is left; vectors move only then.
+        left = materialize(active.select("id").join(taken, "id", "left_anti"), "left")
         if left.isEmpty():
             break
-        active = left
+        active = materialize(active.join(left, "id", "left_semi").select(*index.rows.columns), "unassigned")
     if rounds == 1:
         return done[0][0].select("id", "pivot")
     pivots = done[0][1]
