@@ -614,8 +614,8 @@ def cast_int(spark, sf_dir):
 
 @query
 def cast_float(spark, sf_dir):
-    x = Sparse(b.entries(spark, sf_dir).df.withColumn("v", F.col("v").cast("bigint")), (1, 1), dtype="i64")
-    return _cells(Sparse(x.df, b.entries(spark, sf_dir).shape, dtype="i64").cast("f64"))
+    x = b.entries(spark, sf_dir)
+    return _cells(Sparse(x.df.withColumn("v", F.col("v").cast("bigint")), x.shape, dtype="i64").cast("f64"))
 
 
 @query
@@ -667,13 +667,6 @@ def transposed(spark, sf_dir):
     return b.entries(spark, sf_dir).transpose()[20:120, :].df.select("i", "j", "v")
 
 
-@query
-def dense_from_sparse(spark, sf_dir):
-    """A narrow sparse matrix as dense rows, zeros included."""
-    x = b.summed(spark, sf_dir)
-    return x[0:400, 0:20].to_dense().to_long()
-
-
 @query
 def dense_from_sparse_all_rows(spark, sf_dir):
     """Every row of a narrow sparse matrix as a dense row, zeros included."""

@@ -9,7 +9,7 @@ from axisframe.elements import Dense, ShapeError, Sparse, Table, stack_select
 from axisframe.model import AxisTable
 from axisframe.operators import concat, dataset, split
 from axisframe.operators.chunks import Chunks
-from axisframe.selection import FULL, Index, Names, Range, compose, parse
+from axisframe.selection import FULL, Index, Names, Places, Range, compose, parse, points_frame
 
 
 @pytest.fixture(scope="module")
@@ -319,3 +319,40 @@ def test_stepped_ranges_over_stacks_and_their_composition(spark):
             first = parse(s, 8)
             both = compose(first, parse(t, len(first)))
             assert isinstance(both, Range) and both.positions().tolist() == np.arange(8)[s][t].tolist()
+
+
+def test_slices_are_written_in_place(spark, tmp_path):
+    path = str(tmp_path / "s")
+    table = Table.from_pandas(spark, pd.DataFrame({"a.b": [1, 2, 3, 4], "t": ["p", "q", None, "s"]}))
+    x = Sparse.from_numpy(spark, np.arange(1, 13).reshape(4, 3))
+    store.write(AxisTable(spark, X=x, obs=table, obsm={"m": Dense.from_numpy(spark, np.zeros((4, 2)))}), path)
+    new = Table.from_pandas(spark, pd.DataFrame({"t": ["new", "two"], "a.b": [30, 10]}))
+    got = store.write_rows(spark, path, "obs", Index((2, 0)), new).obs.to_pandas()
+    assert got["a.b"].tolist() == [10, 2, 30, 4] and got["t"].tolist() == ["two", "q", "new", "s"]
+    places = Places(spark.createDataFrame([(3, 0), (1, 1)], "old long, new long"), 2)
+    t = store.write_rows(spark, path, "X", places, Sparse.from_numpy(spark, np.array([[0, 0, 7], [8, 0, 0]])))
+    assert t.X.to_numpy().tolist() == [[1, 2, 3], [8, 0, 0], [7, 8, 9], [0, 0, 7]]
+    t = store.write_rows(spark, path, "obsm/m", Range(1, 4, -2), Dense.from_numpy(spark, np.array([[5.0, 5.0], [6.0, 6.0]])))
+    assert t.obsm["m"].to_numpy().tolist() == [[0, 0], [6, 6], [0, 0], [5, 5]]
+    with pytest.raises(store.StoreError):
+        store.write_rows(spark, path, "obsm/m", Range(0, 3), Dense.from_numpy(spark, np.zeros((2, 2))))
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("v_")]) == 1  # what was replaced is gone
+
+
+def test_points_as_a_frame(spark):
+    x = Sparse.from_numpy(spark, np.arange(20).reshape(4, 5))
+    for chosen in ([Range(0, 4), Range(4, 5)], [Range(0, 3, -2), Index((4, 0, 4))], [Index((3,)), Range(1, 5, 3)], [Index(()), Range(0, 5)]):
+        want = [(int(i), int(j), n, int(i) * 5 + int(j)) for n, (i, j) in enumerate((i, j) for i in chosen[0].positions() for j in chosen[1].positions())]
+        got = x.lookup(points_frame(spark, chosen)).select("i", "j", "place", "v")
+        assert rows_of(got) == sorted(want)
+
+
+def test_names_compare_across_forms(spark):
+    from axisframe.axis_index import FrameIndex, IntervalIndex, Run, equal
+
+    frame = FrameIndex(spark.range(5).select(F.col("id").alias("ix"), F.col("id").cast("string").alias("name")), 5)
+    assert equal(frame, RangeIndex(0, 5)) and equal(RangeIndex(0, 5), frame) and not equal(frame, RangeIndex(1, 6)) and not equal(frame, RangeIndex(0, 4))
+    assert equal(ListIndex(("0", "1")), RangeIndex(0, 2)) and not equal(RangeIndex(0, 20_000), RangeIndex(1, 20_001))
+    assert equal(frame.select(Range(1, 4)), RangeIndex(1, 4)) and not frame.has_duplicates()
+    twice = IntervalIndex((Run("a", 0, 10, 5, 5), Run("a", 5, 10, 5, 5)))
+    assert twice.has_duplicates() and not IntervalIndex((Run("a", 0, 10, 5, 5), Run("b", 0, 10, 5, 5))).has_duplicates()
