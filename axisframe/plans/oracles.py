@@ -211,8 +211,8 @@ ORACLES: dict[str, str] = {
         CASE c.type WHEN 'boolean' THEN CAST(c.text AS BOOLEAN) END AS as_boolean, CASE c.type WHEN 'integer' THEN CAST(c.text AS DECIMAL(38,0)) END AS as_integer,
         CASE c.type WHEN 'decimal' THEN CAST(c.text AS DOUBLE) END AS as_decimal, CASE c.type WHEN 'string' THEN c.text END AS as_string, m.canonical_type,
         CASE m.canonical_type WHEN 'decimal' THEN try_cast(c.text AS DOUBLE) END AS canonical_decimal,
-        CASE m.canonical_type WHEN 'boolean' THEN CAST(try_cast(c.text AS BOOLEAN) AS VARCHAR) WHEN 'integer' THEN CAST(try_cast(c.text AS DECIMAL(38,0)) AS VARCHAR)
-          WHEN 'decimal' THEN NULL ELSE c.text END AS canonical
+        CASE WHEN c.type <> 'decimal' THEN CASE m.canonical_type WHEN 'boolean' THEN CAST(try_cast(c.text AS BOOLEAN) AS VARCHAR) WHEN 'integer' THEN CAST(try_cast(c.text AS DECIMAL(38,0)) AS VARCHAR)
+          WHEN 'decimal' THEN NULL ELSE c.text END END AS canonical
       FROM cells c JOIN mains m ON m.series_id = c.series_id AND m.name = c.name
       UNION ALL SELECT f.series_id, r.file_id, r.row_no, r.obs_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
         FROM (SELECT DISTINCT file_id, row_no, obs_name FROM obs_records) r LEFT JOIN files f USING (file_id) ANTI JOIN cells USING (file_id, row_no)""",

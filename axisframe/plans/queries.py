@@ -819,10 +819,10 @@ def p3_alternatives(spark, sf_dir):
 
 @query
 def p3_values(spark, sf_dir):
-    """The consistent table with canonical decimals as numbers, not as texts."""
+    """The consistent table with canonical decimals as numbers, and texts only where no decimal is written as one."""
     t = p3_table(spark, sf_dir)
     number = F.col("canonical_type") == "decimal"
-    return t.withColumn("canonical_decimal", F.when(number, F.col("canonical").try_cast("double"))).withColumn("canonical", F.when(~number, F.col("canonical")))
+    return t.withColumn("canonical_decimal", F.when(number, F.col("canonical").try_cast("double"))).withColumn("canonical", F.when(~number & (F.col("type") != "decimal"), F.col("canonical")))
 
 
 @query
