@@ -192,6 +192,8 @@ ORACLES: dict[str, str] = {
     "container_shapes": f"""SELECT 'X' AS slot, {_N} AS rows, {_PARTS} AS cols UNION ALL SELECT 'obs', {_N}, 5 UNION ALL SELECT 'layers/copy', {_N}, {_PARTS}
       UNION ALL SELECT 'obsm/narrow', {_N}, 7""",
     "store_equal": "SELECT * FROM (VALUES ('X', true), ('obs', true), ('var', true), ('layers/discount', true), ('changed', false)) t(slot, equal)",
+    "stream_append": """SELECT CAST(l_orderkey AS VARCHAR) AS name, l_partkey AS j, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_quantity) - 1 AS seq,
+      l_quantity AS v FROM lineitem""",
     "mtx_read": _SEQ,
     "mtx_symmetric": """SELECT CAST(a.n_nationkey AS BIGINT) AS i, CAST(b.n_nationkey AS BIGINT) AS j, 0 AS seq,
       CAST(greatest(a.n_nationkey, b.n_nationkey) * 100 + least(a.n_nationkey, b.n_nationkey) AS BIGINT) AS v FROM nation a JOIN nation b USING (n_regionkey)""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axisframe import store
+from axisframe import store, streaming
 from axisframe.axis_index import IntervalIndex, RangeIndex, Run, interval_lookup, lookup_frame
 from axisframe.elements import Dense, Sparse, Table, stack_select, vstack
 from axisframe.functions import casts
@@ -803,6 +803,18 @@ def mtx_roundtrip(spark, sf_dir):
     return mtx.read_mtx(spark, path).df.select("i", "j", "v")
 
 
+@query
+def stream_append(spark, sf_dir):
+    """Orders that arrive in two micro-batches, appended as rows of a stored matrix; its entries by the rows' names."""
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_partkey", "l_quantity"))).alias("entries"))
+    source, path, progress = (fresh_path(spark, n) for n in ("arriving", "streamed", "progress"))
+    lists.repartition(2).write.parquet(source)
+    rows = spark.readStream.schema(lists.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streaming.append_stream(rows, path, progress, b.length(spark, sf_dir, "part"), "l_orderkey", "l_orderkey").awaitTermination()
+    names = spark.read.parquet(f"{path}/names").select("i", "name")
+    return streaming.read_stream_store(spark, path).df.join(names, "i").select("name", "j", "seq", "v")
+
+
 # -- drifting schemas ----------------------------------------------------------------------------------------------
 
 
