@@ -322,7 +322,8 @@ class MultiIndex:
         def side(roles: tuple[int, ...]):
             def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 r = routing.value
-                for batch in batches:
+                # What the heap visits is many times the rows: few rows at once.
+                for batch in (part for b in batches for part in (_parts(b, 512) if candidates else [b])):
                     if not len(batch):
                         continue
                     found = {role: (asking, lying)[role - 1](r, batch) for role in roles}
@@ -385,6 +386,11 @@ class MultiIndex:
         return whole.repartition(2 * max(self.tasks, 1), "task").groupBy("task").applyInArrow(reduce_task, schema)
 
 
+def _parts(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(batch), rows):
+        yield batch.slice(a, rows)
+
+
 def meetings(visitors: np.ndarray, visited: np.ndarray, members: np.ndarray, lists: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each list that has both, its visitors and its members."""
     by_visit, by_list = np.argsort(visited, kind="stable"), np.argsort(lists, kind="stable")
