@@ -7,7 +7,8 @@ round members move to the closest of all pivots, and each cluster's medoids (its
 direction) are computed.
 
 No pair is ever emitted: a task reduces its comparisons to one row per query (is there an earlier similar row; which
-pivot is closest).  State is written to the shared folder after each round.
+pivot is closest).  State is written to the shared folder after each round.  The strays of the index, which meet one
+another all, do so once: those that the first round finds similar to no other stray meet only cores from then on.
 
 Where all members of a cluster are similar to one another, the pivot clusters are the connected sets of the similarity
 graph.  Where they are not, :func:`linked`, an operator of its own, unites clusters that any similar pair connects; the
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axisframe.llm.multi_index import SLACK, MultiIndex, exact_cosines, score_blocks, similar_blocks, unit_rows
+from axisframe.llm.multi_index import ALONE, SLACK, STRAY, MultiIndex, exact_cosines, score_blocks, shortened, similar_blocks, unit_rows
 from axisframe.operators.components import components
 from axisframe.workspace import materialize
 
@@ -41,14 +42,37 @@ def hash_order(ids: np.ndarray) -> np.ndarray:
 
 
 def _has_earlier(min_cosine: float):
-    def reducer(q_ids, q, _q, e_ids, e, _e, blocks):
+    def meet(q, e, rows, columns, before):
+        """The similar pairs of strays (row, column before it), in parts.  Most rows are far from all others, which a
+        part of their coordinates tells."""
+        few_q, few_e = shortened(q[rows], e[columns])
+        for a in range(0, len(rows), 256):
+            part = rows[a : a + 256]
+            for b in range(0, int(before[part[-1]]), 2048):
+                stop = min(b + 2048, int(before[part[-1]]))
+                maybe = few_q[a : a + 256] @ few_e[b:stop].T >= min_cosine - SLACK
+                r, c = np.divmod(np.flatnonzero(maybe), stop - b)
+                if len(r) > maybe.size // 50:
+                    r, c = np.nonzero(next(similar_blocks(q, e, [(part, columns[b:stop])], min_cosine))[2])
+                else:
+                    hit = exact_cosines(q, e, part[r], columns[b + c]) >= min_cosine
+                    r, c = r[hit], c[hit]
+                use = b + c < before[part[r]]
+                yield part[r[use]], columns[b + c[use]]
+
+    def reducer(q_ids, q, q_core, e_ids, e, e_core, blocks):
         mine, theirs = hash_order(q_ids), hash_order(e_ids)
-        earlier = np.zeros(len(q_ids), bool)
+        earlier, met, followed = np.zeros(len(q_ids), bool), np.zeros(len(q_ids), bool), np.zeros(len(e_ids), bool)
         for rows, columns in blocks:
             # Both in hash order: a query asks only the entries that come before it.
             rows, columns = rows[np.argsort(mine[rows])], columns[np.argsort(theirs[columns])]
             before = np.zeros(len(q_ids), np.int64)
             before[rows] = np.searchsorted(theirs[columns], mine[rows])
+            if (q_core[rows] == STRAY).all() and (e_core[columns] == STRAY).all():
+                for r, c in meet(q, e, rows, columns, before):
+                    earlier[r] = met[r] = True
+                    followed[c] = True
+                continue
             for a in range(0, len(rows), 512):
                 part = rows[a : a + 512]
                 for b in range(0, int(before[part[-1]]), 1024):
@@ -60,7 +84,9 @@ def _has_earlier(min_cosine: float):
                     for r, c, hit in similar_blocks(q, e, [(part, columns[b:stop])], min_cosine):
                         hit &= np.arange(b, stop) < before[r, None]
                         earlier[r] |= hit.any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[earlier])], names=["id"])
+        ids = np.r_[q_ids[earlier], e_ids[followed]]
+        told = np.r_[np.ones(earlier.sum(), bool), np.zeros(followed.sum(), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(told), pa.array(np.r_[met[earlier], followed[followed]])], names=["id", "earlier", "met"])
 
     return reducer
 
@@ -103,15 +129,26 @@ def _links(min_cosine: float):
 
 def _nearest_pivot(index: MultiIndex, rows: DataFrame, pivots: DataFrame) -> DataFrame:
     near = index.scan(rows, pivots, _closest(index.min_cosine), "id long, pivot long, cosine double")
+    near = near.unionByName(pivots.select("id", F.col("id").alias("pivot"), F.lit(1.0).alias("cosine")))
     best = near.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("pivot")).alias("minus"))).alias("m"))
     return best.select("id", (-F.col("m.minus")).alias("pivot"), F.col("m.cosine").alias("cosine"))
 
 
+def _marked(rows: DataFrame, met: DataFrame) -> DataFrame:
+    """Rows of the index, strays that are not among ``met`` marked so that they meet no other stray again."""
+    strays = rows.where(F.col("core") == STRAY)
+    alone = strays.join(met, "id", "left_anti").withColumn("core", F.lit(ALONE))
+    return rows.where(F.col("core") != STRAY).unionByName(alone).unionByName(strays.join(met, "id", "left_semi"))
+
+
 def pivot_clusters(index: MultiIndex) -> DataFrame:
     """(id, pivot): the cluster of every usable row, named by its pivot."""
     active, done, rounds = index.rows, [], 0
     while True:
-        earlier = index.scan(active, active, _has_earlier(index.min_cosine), "id long").distinct()
+        told = materialize(index.scan(active, active, _has_earlier(index.min_cosine), "id long, earlier boolean, met boolean", extra="core").distinct(), "told")
+        if not rounds:
+            active = whole = materialize(_marked(active, told.where("met").select("id").distinct()), "marked")
+        earlier = told.where("earlier").select("id").distinct()
         pivots = materialize(active.join(earlier, "id", "left_anti").select(*index.rows.columns), "pivots")
         taken = materialize(_nearest_pivot(index, active, pivots), "absorbed")
         done.append((taken, pivots))
@@ -126,7 +163,7 @@ def pivot_clusters(index: MultiIndex) -> DataFrame:
     pivots = done[0][1]
     for _, more in done[1:]:
         pivots = pivots.unionByName(more)
-    return materialize(_nearest_pivot(index, index.rows, materialize(pivots, "pivots")).select("id", "pivot"), "clusters")
+    return materialize(_nearest_pivot(index, whole, materialize(pivots, "pivots")).select("id", "pivot"), "clusters")
 
 
 def by_first_member(clusters: DataFrame) -> DataFrame:

@@ -40,6 +40,10 @@ SLACK = 1e-5
 CORE, CORE_ROWS = 0.3, 8
 #: In place of a list: the one of all strays, and none.
 STRAYS, NOWHERE = -1, -2
+#: In place of a row's core: a stray, and a stray known to be similar to no other, which need not meet them again.
+STRAY, ALONE = -1, -2
+#: Strays of a task, at most: each goes to all parts of the other side, so few large parts ship the least.
+MOST_STRAYS = 65_536
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str, width: int, order_col: str | None = None) -> DataFrame:
@@ -141,7 +145,7 @@ class Routing:
         if complete:
             rows.append(np.repeat(np.arange(len(x)), np.diff(near.offsets.to_numpy())))
             lists.append(2 * self.core_at[near.flatten().to_numpy()])
-            strays = np.flatnonzero(core < 0)
+            strays = np.flatnonzero(core == STRAY)
             rows.append(strays)
             lists.append(np.full(len(strays), STRAYS))
         if candidates:
@@ -165,7 +169,7 @@ class Routing:
 
     def entry_lists(self, cells: np.ndarray, core: np.ndarray, complete: bool) -> np.ndarray:
         place = np.searchsorted(self.occupied, cells)
-        return np.where(core >= 0, 2 * place, STRAYS if complete else 2 * place + 1)
+        return np.where(core >= 0, 2 * place, np.where(core == ALONE, NOWHERE, STRAYS) if complete else 2 * place + 1)
 
 
 def _by_unit(rows: np.ndarray, lists: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
@@ -284,6 +288,8 @@ class MultiIndex:
         asking[told["unit"].to_numpy()] = told["n"].to_numpy()
         entries = np.r_[np.bincount(unit, counts, units).astype(np.int64), asking[-1]]
         parts = [np.maximum(1, -(-n // most)) for n, most in ((asking, most_queries), (entries, most_entries))]
+        for part, most in zip(parts, (most_queries, most_entries)):
+            part[-1] = max(1, -(-int(asking[-1]) // int(np.clip(asking[-1] // 6, most, max(most, MOST_STRAYS)))))
         first = np.r_[0, np.cumsum(parts[0] * parts[1])]
         self.tasks = int(first[-1])
         self.routing = self.spark.sparkContext.broadcast(Routing(self.halves, occupied, counts, self._core_at, unit, *parts, first))
@@ -316,8 +322,9 @@ class MultiIndex:
             lists = 2 * r.core_at[near.flatten().to_numpy()]
             use = np.full(len(rows), complete) & (core[rows] < 0)
             row, unit, asked = _by_unit(rows[use], lists[use], r.unit_of(lists[use]))
-            asked = pa.concat_arrays([pa.array([[]] * len(batch), pa.list_(pa.int64())), asked])
-            return np.r_[np.arange(len(batch)), row], np.r_[r.unit_of(own), unit], np.r_[own, np.full(len(row), NOWHERE)], asked
+            lie = np.flatnonzero(own != NOWHERE)
+            asked = pa.concat_arrays([pa.array([[]] * len(lie), pa.list_(pa.int64())), asked])
+            return np.r_[lie, row], np.r_[r.unit_of(own)[lie], unit], np.r_[own[lie], np.full(len(row), NOWHERE)], asked
 
         def side(roles: tuple[int, ...]):
             def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +419,25 @@ def score_blocks(q: np.ndarray, e: np.ndarray, blocks, rows: int = 512, columns:
                 yield r[a : a + rows], c[b : b + columns], q[r[a : a + rows]] @ right
 
 
+def shortened(q: np.ndarray, e: np.ndarray, axes: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Both sides in ``axes`` + 1 numbers a row, whose products are no less than the cosines: the coordinates along the
+    directions that hold most of the mass of ``e``, and the length of what is left (by the Cauchy-Schwarz inequality)."""
+    if q.shape[1] <= axes + 1:
+        return q.astype(np.float32), e.astype(np.float32)
+    some = e[:: -(-len(e) // 20_000)] if len(e) else e
+    basis = np.linalg.eigh(some.T @ some)[1][:, ::-1]
+
+    def short(x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), axes + 1), np.float32)
+        for a in range(0, len(x), 16_384):
+            y = x[a : a + 16_384] @ basis
+            out[a : a + 16_384, :axes] = y[:, :axes]
+            out[a : a + 16_384, axes] = np.sqrt((y[:, axes:] * y[:, axes:]).sum(1))
+        return out
+
+    return short(q), short(e)
+
+
 def exact_cosines(q: np.ndarray, e: np.ndarray, r: np.ndarray, c: np.ndarray, step: int = 50_000) -> np.ndarray:
     """Cosines of the pairs (r, c) in double precision."""
     parts = [np.einsum("ij,ij->i", q[r[a : a + step]], e[c[a : a + step]]) for a in range(0, len(r), step)]

@@ -314,3 +314,44 @@ def test_few_cores_and_odd_widths_lose_nothing(spark, width, most_cores):
     assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(cosine >= 0.85))}
     heap = {(r.query, r.entry) for r in multi_index.neighbours(index, 400, candidates=100, complete=False).collect()}
     assert heap <= got and len(heap) >= 0.9 * len(got)
+
+
+@pytest.mark.parametrize("width,most_cores", [(64, 65_536), (64, 0), (30, 1), (5, 0)])
+def test_strays_meet_one_another_once(spark, width, most_cores):
+    """The pivots are those of the rows taken one by one in hash order; rows far from all others are compared once only."""
+    rng = np.random.default_rng(17)
+    v = np.concatenate([rng.normal(size=(4, width))[rng.integers(0, 4, 200)] + rng.normal(0, 0.2, (200, width)), rng.normal(size=(300, width))])
+    v = np.concatenate([v, v[-20:] + rng.normal(0, 0.1, (20, width))]).astype("float32")
+    df = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(v)], "ix long, vec array<float>")
+    index = multi_index.MultiIndex(multi_index.usable_vectors(df, "ix", "vec", width), width, unit_rows_=90, most_cores=most_cores)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    cosine = np.round(u @ u.T, 9)
+    pivots: list[int] = []
+    for n in np.argsort(clusters.hash_order(np.arange(len(v)))):
+        if not any(cosine[n, p] >= 0.85 for p in pivots):
+            pivots.append(int(n))
+    want = {n: min(pivots, key=lambda p: (-cosine[n, p], p)) for n in range(len(v))}
+    assert {r.id: r.pivot for r in clusters.pivot_clusters(index).collect()} == want
+
+    def compared(q_ids, q, _q, e_ids, e, _e, blocks):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([sum(len(a) * len(b) for a, b in blocks)], pa.int64())], names=["n"])
+
+    def pairs(rows):
+        return index.scan(rows, rows, compared, "n long").agg(F.sum("n")).first()[0] or 0
+
+    told = index.scan(index.rows, index.rows, clusters._has_earlier(0.85), "id long, earlier boolean, met boolean", extra="core")
+    far = {n for n in range(len(v)) if (cosine[n] >= 0.85).sum() == 1}
+    assert {r.id for r in told.where("earlier").collect()} == {n for n in range(len(v)) if any(cosine[n, m] >= 0.85 and a < b for m, a, b in zip(range(len(v)), clusters.hash_order(np.arange(len(v))), [clusters.hash_order(np.array([n]))[0]] * len(v)))}
+    marked = clusters._marked(index.rows, told.where("met").select("id").distinct())
+    assert far <= {r.id for r in marked.where(F.col("core") == multi_index.ALONE).collect()}
+    assert pairs(marked) <= pairs(index.rows) - len(far) ** 2
+
+
+def test_short_products_are_no_less_than_cosines():
+    rng = np.random.default_rng(3)
+    for scale in (np.ones(64), np.exp(-np.arange(64) / 6.0), np.exp(np.arange(64) / 9.0)):
+        q, e = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.normal(size=(90, 64)) * scale, rng.normal(size=(300, 64)) * scale))
+        a, b = multi_index.shortened(q, e)
+        assert a.shape == (90, 25) and (a @ b.T >= q @ e.T - multi_index.SLACK).all()
