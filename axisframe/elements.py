@@ -8,28 +8,97 @@ The shape is part of the element: rows without entries exist.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from axisframe.functions import casts
 from axisframe.ordinals import rank_by_position
 from axisframe.selection import Places, Range, Selection, parse_all, place_rows, quoted, select_rows
+from axisframe.workspace import fresh_path, materialize, remove_table
 
 #: Column positions of a dense selection beyond this many go in as one array literal instead of single columns.
 _WIDE = 1_000
 
 
+#: Entries that go from the driver to the executors at once, and bytes of an array from which on it lies in a file.
+_PART, _IN_FILE = 1 << 20, 1 << 26
+
+
 class ShapeError(ValueError):
     """Elements whose shapes do not fit together."""
 
 
+class _Filed:
+    """A local array that grows; beyond ``_IN_FILE`` bytes it lies in a temporary file that is gone when it is let go."""
+
+    def __init__(self, empty: np.ndarray):
+        """``empty``: the array without values."""
+        self.parts: list[np.ndarray] = []
+        self.size, self.file, self.dtype, self.empty = 0, None, None, empty
+
+    def append(self, part: np.ndarray) -> None:
+        if not len(part):
+            return
+        if self.dtype is not None and part.dtype != self.dtype and self.file is not None:
+            # A part with nulls is held in another type than those before it.
+            self.parts, self.file, self.size = [self._mapped()], None, 0
+        self.parts.append(part)
+        self.dtype = np.result_type(*{p.dtype for p in self.parts}) if self.file is None else self.dtype
+        self.size += part.nbytes
+        if self.size > _IN_FILE and self.dtype != object:
+            self.file = self.file or tempfile.TemporaryFile()
+            for p in self.parts:
+                p.astype(self.dtype, copy=False).tofile(self.file)
+            self.parts, self.size = [], 0
+
+    def _mapped(self) -> np.ndarray:
+        self.file.flush()
+        return np.memmap(self.file, self.dtype, "r+")
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts) if self.parts else self.empty
+        for p in self.parts:
+            p.astype(self.dtype, copy=False).tofile(self.file)
+        self.parts = []
+        return self._mapped()
+
+
+def _majors(offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The rows (of csc the columns) of the entries a..b."""
+    first, last = np.searchsorted(offsets, [a, b - 1], side="right") - 1
+    return np.repeat(np.arange(first, last + 1), np.diff(np.clip(offsets[first : last + 2], a, b)))
+
+
+def _entries(spark: SparkSession, data, indices, offsets, a: int, b: int, layout: str, schema: str) -> DataFrame:
+    """The entries a..b of compressed rows or columns; those of one coordinate follow one another."""
+    major, minor = _majors(offsets, a, b) if b > a else np.zeros(0, np.int64), np.asarray(indices[a:b]).astype("int64")
+    new = np.flatnonzero(np.r_[True, (np.diff(major) != 0) | (np.diff(minor) != 0)][: b - a])
+    seq = np.arange(b - a) - np.repeat(new, np.diff(np.r_[new, b - a]))
+    if a < b and a:
+        # The coordinate may have begun in the parts before.
+        start = int(offsets[major[0]])
+        before = a - start - int(np.searchsorted(indices[start:a], minor[0]))
+        seq[: int(np.diff(np.r_[new, b - a])[0])] += before
+    rows, cols = (major, minor) if layout == "csr" else (minor, major)
+    values = np.asarray(data[a:b])
+    if values.dtype.kind not in "fiub":
+        return spark.createDataFrame(pd.DataFrame({"i": rows, "j": cols, "seq": seq, "v": values}), schema)
+    held = to_arrow_schema(T._parse_datatype_string(schema))
+    return spark.createDataFrame(pa.table([pa.array(c).cast(f.type) for c, f in zip((rows, cols, seq, values), held)], schema=held), schema)
+
+
 @dataclass(frozen=True)
 class Sparse:
     """A sparse matrix in long form; ``layout`` (csr or csc) says how it is sorted when stored."""
@@ -67,16 +136,21 @@ class Sparse:
         major_n, minor_n = shape if layout == "csr" else shape[::-1]
         if len(offsets) != major_n + 1 or offsets[0] != 0 or offsets[-1] != len(data) or (np.diff(offsets) < 0).any() or len(indices) != len(data):
             raise ShapeError("offsets do not fit the shape and the entries")
+        kind = numpy_dtype(data.dtype)
+        schema = f"i long, j long, seq long, v {casts.HELD_AS[kind]}"
         if len(indices) and (indices.min() < 0 or indices.max() >= minor_n):
             raise ShapeError("an index lies outside the shape")
-        major = np.repeat(np.arange(major_n), np.diff(offsets))
-        if ((np.diff(indices) < 0) & (np.diff(major) == 0)).any():
-            raise ShapeError("indices fall within a row")
-        rows, cols = (major, indices) if layout == "csr" else (indices, major)
-        table = pd.DataFrame({"i": rows.astype("int64"), "j": cols.astype("int64"), "v": data})
-        table["seq"] = table.groupby(["i", "j"]).cumcount().astype("int64")
-        kind = numpy_dtype(data.dtype)
-        return cls(spark.createDataFrame(table[["i", "j", "seq", "v"]], f"i long, j long, seq long, v {casts.HELD_AS[kind]}"), shape, layout, kind)
+        for a in range(0, len(data), _PART):
+            last, part = max(a - 1, 0), min(a + _PART, len(data))
+            if ((np.diff(indices[last:part]) < 0) & (np.diff(_majors(offsets, last, part)) == 0)).any():
+                raise ShapeError("indices fall within a row")
+        if len(data) <= _PART:
+            return cls(_entries(spark, data, indices, offsets, 0, len(data), layout, schema), shape, layout, kind)
+        # A part at a time goes through the driver's memory, into a table of the shared folder.
+        path = fresh_path(spark, "compressed")
+        for a in range(0, len(data), _PART):
+            _entries(spark, data, indices, offsets, a, min(a + _PART, len(data)), layout, schema).write.mode("append").parquet(path)
+        return cls(spark.read.schema(schema).parquet(path), shape, layout, kind)
 
     @classmethod
     def from_numpy(cls, spark: SparkSession, array, layout: str = "csr") -> Sparse:
@@ -151,12 +225,40 @@ class Sparse:
         return self.df.orderBy(*(("i", "j", "seq") if self.layout == "csr" else ("j", "i", "seq")))
 
     def to_compressed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(data, indices, offsets) of compressed rows, or columns for csc; repeated coordinates stay, in order."""
+        """(data, indices, offsets) of compressed rows, or columns for csc; repeated coordinates stay, in order.  Sorted and
+        packed on the executors and fetched in parts; data and indices of many entries lie in temporary files."""
         major, minor = ("i", "j") if self.layout == "csr" else ("j", "i")
-        t = self.df.toArrow().sort_by([(major, "ascending"), (minor, "ascending"), ("seq", "ascending")])
         n = self.shape[0 if self.layout == "csr" else 1]
-        offsets = np.searchsorted(t[major].to_numpy(), np.arange(n + 1))
-        return t["v"].to_numpy(), t[minor].to_numpy(), offsets
+
+        def packed(batches):
+            task = TaskContext.get().partitionId()
+            for k, batch in enumerate(batches):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as out:
+                    out.write_batch(batch)
+                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["task", "k", "part"])
+
+        # Written before it is sorted, as sorting reads its input twice.
+        rows = materialize(self.df.select(major, minor, "seq", "v"), "entries")
+        ordered = rows.orderBy(F.asc_nulls_last(major), F.asc_nulls_last(minor), F.asc_nulls_last("seq")).drop("seq")
+        parts = materialize(ordered.mapInArrow(packed, "task long, k long, part binary"), "packed")
+        remove_table(rows)
+        none = to_arrow_schema(self.df.select("v").schema).empty_table()["v"].to_numpy()
+        data, indices, offsets = _Filed(none), _Filed(np.zeros(0, np.int64)), np.zeros(n + 1, np.int64)
+        sizes = parts.groupBy("task").agg(F.sum(F.length("part")).alias("n")).orderBy("task").collect()
+        group = np.cumsum([r.n for r in sizes]) // _IN_FILE
+        for g in np.unique(group):
+            tasks = [r.task for r, h in zip(sizes, group) if h == g]
+            fetched = parts.where(F.col("task").between(tasks[0], tasks[-1])).toArrow().sort_by([("task", "ascending"), ("k", "ascending")])
+            for part in fetched["part"]:
+                t = pa.ipc.open_stream(part.as_buffer()).read_all()
+                at, held = np.unique(t[major].drop_null().to_numpy(), return_counts=True)
+                # As in a search of the sorted entries: what lies before the first row counts there, what lies behind the last nowhere.
+                np.add.at(offsets, np.maximum(at[at < n] + 1, 0), held[at < n])
+                data.append(t["v"].to_numpy())
+                indices.append(t[minor].to_numpy())
+        remove_table(parts)
+        return data.array(), indices.array(), np.cumsum(offsets, out=offsets)
 
     def to_numpy(self) -> np.ndarray:
         """A dense numpy array; of repeated coordinates the last counts."""

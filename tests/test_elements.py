@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from axisframe import elements
 from axisframe.elements import Dense, ShapeError, Sparse, Table, stack_select, vstack
 from axisframe.functions import casts
 from axisframe.selection import Index, Range, parse
@@ -112,3 +113,34 @@ def test_casts(spark):
             casts.convert(F.col(column), source, target)
     assert Sparse.from_numpy(spark, np.eye(2)).cast("f32").dtype == "f32"
     assert Dense.from_numpy(spark, np.eye(2, dtype="int8")).cast("f64").to_numpy().dtype == float
+
+
+def test_compressed_matrices_pass_the_driver_in_parts(spark, monkeypatch):
+    """Repeated coordinates, empty rows and runs that parts cut, for all layouts; no part is longer than the bound."""
+    rng = np.random.default_rng(5)
+    i, j = rng.integers(0, 9, 600) * 2, rng.integers(0, 4, 600)
+    i[:300], j[:300] = 4, 2
+    frame = pd.DataFrame({"i": i, "j": j})
+    frame["seq"] = frame.groupby(["i", "j"]).cumcount()
+    monkeypatch.setattr(elements, "_PART", 200)
+    monkeypatch.setattr(elements, "_IN_FILE", 500)
+    sent, kept = [], elements._entries
+    monkeypatch.setattr(elements, "_entries", lambda *a: sent.append(a[5] - a[4]) or kept(*a))
+    for kind, values in (("double", rng.normal(size=600)), ("long", np.arange(600)), ("string", [f"t{n}" for n in range(600)])):
+        rows = [(int(a), int(b), int(c), v.item() if hasattr(v, "item") else v) for a, b, c, v in zip(i, j, frame["seq"], values)]
+        for layout in ("csr", "csc"):
+            x = Sparse(spark.createDataFrame(rows[::-1], f"i long, j long, seq long, v {kind}"), (19, 5), layout)
+            data, indices, offsets = x.to_compressed()
+            assert (len(data), len(indices), len(offsets), offsets[-1]) == (600, 600, 20 if layout == "csr" else 6, 600)
+            assert isinstance(data, np.memmap) == (kind != "string")
+            back = Sparse.from_compressed(spark, data, indices, offsets, x.shape, layout)
+            assert sorted(map(tuple, back.df.collect())) == sorted(rows) and back.df.schema["v"].dataType == x.df.schema["v"].dataType
+    assert max(sent) == 200 and sum(sent) == 6 * 600
+    holes = Sparse(spark.createDataFrame([(k, 0, 0, None if k > 90 else k) for k in range(100)], "i long, j long, seq long, v long"), (100, 1)).to_compressed()[0]
+    assert holes[:91].tolist() == list(range(91)) and np.isnan(holes[91:].astype(float)).all()
+    bad = np.zeros(300, int)
+    bad[199], bad[200] = 1, 0
+    with pytest.raises(ShapeError):
+        Sparse.from_compressed(spark, np.ones(300), bad, [0, 300], (1, 2))
+    none = Sparse(spark.createDataFrame([], "i long, j long, seq long, v int"), (3, 2)).to_compressed()
+    assert [len(a) for a in none] == [0, 0, 4] and none[0].dtype == np.int32
