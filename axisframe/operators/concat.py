@@ -31,9 +31,25 @@ def merged_labels(names: Sequence[DataFrame], join: str) -> DataFrame:
     return rank_by_position(first.withColumn("__at", at), "__at", out="rank").select(F.col("rank").alias("ix"), "name")
 
 
+#: Pairs of equal names beyond which :func:`align` joins a name in parts.
+ALIGN_PAIRS = 1 << 24
+
+
 def align(labels: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """(ix, name, column) of the labels; null where the table has none."""
-    return labels.join(table.select("name", quoted(column)), "name", "left").select("ix", "name", quoted(column))
+    """(ix, name, column) of the labels; null where the table has none.  A name that the table repeats gives a row for each
+    pair.  A name of more pairs than ``ALIGN_PAIRS`` is joined in parts: each of its labels is in one, by ``ix``, its rows of
+    the table are in all.  Partitions are as many as the session names, as few bytes may give many rows."""
+    values = table.select("name", quoted(column))
+    sides = [df.select("name", F.lit(k).alias("__k")) for k, df in enumerate((labels, values))]
+    counts = sides[0].unionByName(sides[1]).groupBy("name").agg(F.count_if(F.col("__k") == 0).alias("__n"), F.count_if(F.col("__k") == 1).alias("__m"))
+    product = F.col("__n").cast("double") * F.col("__m")
+    # Few names, written once so that both sides have the same parts; never more parts than labels.
+    split = materialize(counts.where(product > ALIGN_PAIRS).select("name", F.least(F.ceil(product / ALIGN_PAIRS), "__n").alias("__parts")), "split_names")
+    parts = F.coalesce("__parts", F.lit(1))
+    tasks = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = labels.join(F.broadcast(split), "name", "left").withColumn("__part", F.pmod(F.xxhash64("ix"), parts)).repartition(tasks, "name", "__part")
+    copies = values.join(F.broadcast(split), "name", "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).repartition(tasks, "name", "__part")
+    return spread.join(copies, ["name", "__part"], "left").select("ix", "name", quoted(column))
 
 
 def merged_var(labels: DataFrame, tables: Sequence[DataFrame], label: str = "name") -> DataFrame:

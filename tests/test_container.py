@@ -156,6 +156,22 @@ def test_outer_and_inner_concat(spark):
     assert none.X.to_numpy()[3:].sum() == 0 and none.shape == (5, 3)
 
 
+def test_rows_of_repeated_names_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(concat, "ALIGN_PAIRS", 1000, raising=False)
+    left = [(k, "all" if k < 200 else "few" if k < 203 else "none" if k < 206 else None) for k in range(208)]
+    right = [("all", None if k % 50 == 0 else k / 2) for k in range(100)] + [("few", float(k)) for k in range(900)] + [("other", 1.0), (None, 2.0)]
+    labels, prices = spark.createDataFrame(left, "ix long, name string"), spark.createDataFrame(right, "name string, `the price` double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = concat.align(labels, prices, "the price").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = [(ix, name, v) for ix, name in left for v in [v for n, v in right if n == name and n is not None] or [None]]
+    assert sorted(map(repr, [tuple(r)[:3] for r in got])) == sorted(map(repr, want)) and len(want) == 22705
+    assert got[0].__fields__ == ["ix", "name", "the price", "task"]
+    assert len({r.task for r in got if r.name == "all"}) > 1
+
+
 def test_datasets(spark, full, tmp_path):
     local, t = full
     children = [("one", t.subset(slice(0, 4))), ("two", t.subset(slice(4, 4))), ("three", t.subset(slice(4, 13)))]
