@@ -25,14 +25,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from axisframe.functions import casts
 from axisframe.ordinals import rank_by_position
 from axisframe.selection import Places, Range, Selection, parse_all, place_rows, quoted, select_rows
-from axisframe.workspace import fresh_path, materialize, remove_table
+from axisframe.workspace import fresh_path, materialize, remove_table, ship_package
 
 #: Column positions of a dense selection beyond this many go in as one array literal instead of single columns.
 _WIDE = 1_000
 
 
-#: Entries that go from the driver to the executors at once, and bytes of an array from which on it lies in a file.
-_PART, _IN_FILE = 1 << 20, 1 << 26
+#: Entries that go from the driver to the executors at once, and of these in one piece; bytes that come to the driver at
+#: once, and of an array from which on it lies in a file.
+_PART, _PIECE, _IN_FILE = 1 << 20, 1 << 16, 1 << 24
 
 
 class ShapeError(ValueError):
@@ -56,7 +57,7 @@ class _Filed:
         self.parts.append(part)
         self.dtype = np.result_type(*{p.dtype for p in self.parts}) if self.file is None else self.dtype
         self.size += part.nbytes
-        if self.size > _IN_FILE and self.dtype != object:
+        if (self.file or self.size > _IN_FILE) and self.dtype != object:
             self.file = self.file or tempfile.TemporaryFile()
             for p in self.parts:
                 p.astype(self.dtype, copy=False).tofile(self.file)
@@ -81,16 +82,21 @@ def _majors(offsets: np.ndarray, a: int, b: int) -> np.ndarray:
     return np.repeat(np.arange(first, last + 1), np.diff(np.clip(offsets[first : last + 2], a, b)))
 
 
+def _before(indices, offsets, a: int) -> int:
+    """How many entries of the coordinate of entry a lie before it."""
+    start = int(offsets[np.searchsorted(offsets, a, side="right") - 1])
+    return a - start - int(np.searchsorted(indices[start:a], indices[a]))
+
+
 def _entries(spark: SparkSession, data, indices, offsets, a: int, b: int, layout: str, schema: str) -> DataFrame:
-    """The entries a..b of compressed rows or columns; those of one coordinate follow one another."""
+    """The entries a..b of compressed rows or columns; those of one coordinate follow one another.  More numbers than a piece
+    holds go out as compressed pieces, which become rows on the executors: as rows they would fill the driver's heap."""
+    if b - a > _PIECE and data.dtype.kind in "fiub":
+        cuts = [*range(a, b, _PIECE), b]
+        pieces = [(_before(indices, offsets, k), _pack(_majors(offsets, k, m), indices[k:m], data[k:m])) for k, m in zip(cuts, cuts[1:])]
+        return _unpacked(spark, pieces, layout, schema)
     major, minor = _majors(offsets, a, b) if b > a else np.zeros(0, np.int64), np.asarray(indices[a:b]).astype("int64")
-    new = np.flatnonzero(np.r_[True, (np.diff(major) != 0) | (np.diff(minor) != 0)][: b - a])
-    seq = np.arange(b - a) - np.repeat(new, np.diff(np.r_[new, b - a]))
-    if a < b and a:
-        # The coordinate may have begun in the parts before.
-        start = int(offsets[major[0]])
-        before = a - start - int(np.searchsorted(indices[start:a], minor[0]))
-        seq[: int(np.diff(np.r_[new, b - a])[0])] += before
+    seq = _seq(major, minor, _before(indices, offsets, a) if b > a else 0)
     rows, cols = (major, minor) if layout == "csr" else (minor, major)
     values = np.asarray(data[a:b])
     if values.dtype.kind not in "fiub":
@@ -99,6 +105,42 @@ def _entries(spark: SparkSession, data, indices, offsets, a: int, b: int, layout
     return spark.createDataFrame(pa.table([pa.array(c).cast(f.type) for c, f in zip((rows, cols, seq, values), held)], schema=held), schema)
 
 
+def _seq(major: np.ndarray, minor: np.ndarray, before: int) -> np.ndarray:
+    """The place of each entry in its coordinate; ``before`` entries of the first one lie in earlier parts."""
+    new = np.flatnonzero(np.r_[True, (major[1:] != major[:-1]) | (minor[1:] != minor[:-1])][: len(major)])
+    held = np.diff(np.r_[new, len(major)])
+    seq = np.arange(len(major)) - np.repeat(new, held)
+    seq[: held[0] if len(held) else 0] += before
+    return seq
+
+
+def _pack(major, minor, values) -> bytes:
+    """Entries as compressed bytes."""
+    batch = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.asarray(c)) for c in (major, minor, values)], names=["major", "minor", "v"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(spark: SparkSession, pieces: Sequence[tuple[int, bytes]], layout: str, schema: str) -> DataFrame:
+    """The entries of packed pieces, each with the number of entries of its first coordinate that lie before it."""
+    ship_package(spark)
+    held = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def unpacked(batches):
+        for batch in batches:
+            for before, piece in zip(batch["before"].to_pylist(), batch["piece"]):
+                t = pa.ipc.open_stream(piece.as_buffer()).read_all()
+                major, minor = t["major"].to_numpy(), t["minor"].to_numpy()
+                rows, cols = (major, minor) if layout == "csr" else (minor, major)
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip((rows, cols, _seq(major, minor, before), t["v"].to_numpy()), held)], schema=held)
+
+    numbers, parts = zip(*pieces)
+    sent = pa.table({"before": pa.array(numbers, pa.int64()), "piece": pa.array(parts, pa.binary())})
+    return spark.createDataFrame(sent, "before long, piece binary").mapInArrow(unpacked, schema)
+
+
 @dataclass(frozen=True)
 class Sparse:
     """A sparse matrix in long form; ``layout`` (csr or csc) says how it is sorted when stored."""
@@ -134,7 +176,7 @@ class Sparse:
         within a row; equal ones are repeated coordinates."""
         data, indices, offsets = np.asarray(data), np.asarray(indices), np.asarray(offsets)
         major_n, minor_n = shape if layout == "csr" else shape[::-1]
-        if len(offsets) != major_n + 1 or offsets[0] != 0 or offsets[-1] != len(data) or (np.diff(offsets) < 0).any() or len(indices) != len(data):
+        if len(offsets) != major_n + 1 or offsets[0] != 0 or offsets[-1] != len(data) or (offsets[1:] < offsets[:-1]).any() or len(indices) != len(data):
             raise ShapeError("offsets do not fit the shape and the entries")
         kind = numpy_dtype(data.dtype)
         schema = f"i long, j long, seq long, v {casts.HELD_AS[kind]}"
@@ -149,7 +191,7 @@ class Sparse:
         # A part at a time goes through the driver's memory, into a table of the shared folder.
         path = fresh_path(spark, "compressed")
         for a in range(0, len(data), _PART):
-            _entries(spark, data, indices, offsets, a, min(a + _PART, len(data)), layout, schema).write.mode("append").parquet(path)
+            _entries(spark, data, indices, offsets, a, min(a + _PART, len(data)), layout, schema).write.option("compression", "zstd").mode("append").parquet(path)
         return cls(spark.read.schema(schema).parquet(path), shape, layout, kind)
 
     @classmethod
@@ -233,30 +275,29 @@ class Sparse:
         def packed(batches):
             task = TaskContext.get().partitionId()
             for k, batch in enumerate(batches):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch)
-                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([k]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["task", "k", "part"])
+                part = _pack(*batch.columns)
+                yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([k]), pa.array([len(part)]), pa.array([part], pa.binary())], names=["task", "k", "n", "part"])
 
+        ship_package(self.df.sparkSession)
         # Written before it is sorted, as sorting reads its input twice.
         rows = materialize(self.df.select(major, minor, "seq", "v"), "entries")
         ordered = rows.orderBy(F.asc_nulls_last(major), F.asc_nulls_last(minor), F.asc_nulls_last("seq")).drop("seq")
-        parts = materialize(ordered.mapInArrow(packed, "task long, k long, part binary"), "packed")
+        parts = materialize(ordered.mapInArrow(packed, "task long, k long, n long, part binary"), "packed")
         remove_table(rows)
         none = to_arrow_schema(self.df.select("v").schema).empty_table()["v"].to_numpy()
         data, indices, offsets = _Filed(none), _Filed(np.zeros(0, np.int64)), np.zeros(n + 1, np.int64)
-        sizes = parts.groupBy("task").agg(F.sum(F.length("part")).alias("n")).orderBy("task").collect()
+        sizes = parts.groupBy("task").agg(F.sum("n").alias("n")).orderBy("task").collect()
         group = np.cumsum([r.n for r in sizes]) // _IN_FILE
         for g in np.unique(group):
             tasks = [r.task for r, h in zip(sizes, group) if h == g]
-            fetched = parts.where(F.col("task").between(tasks[0], tasks[-1])).toArrow().sort_by([("task", "ascending"), ("k", "ascending")])
-            for part in fetched["part"]:
-                t = pa.ipc.open_stream(part.as_buffer()).read_all()
-                at, held = np.unique(t[major].drop_null().to_numpy(), return_counts=True)
+            fetched = parts.where(F.col("task").between(tasks[0], tasks[-1])).drop("n").toArrow()
+            for at in np.lexsort([fetched["k"].to_numpy(), fetched["task"].to_numpy()]):
+                t = pa.ipc.open_stream(fetched["part"][int(at)].as_buffer()).read_all()
+                row, held = np.unique(t["major"].drop_null().to_numpy(), return_counts=True)
                 # As in a search of the sorted entries: what lies before the first row counts there, what lies behind the last nowhere.
-                np.add.at(offsets, np.maximum(at[at < n] + 1, 0), held[at < n])
+                np.add.at(offsets, np.maximum(row[row < n] + 1, 0), held[row < n])
                 data.append(t["v"].to_numpy())
-                indices.append(t[minor].to_numpy())
+                indices.append(t["minor"].to_numpy())
         remove_table(parts)
         return data.array(), indices.array(), np.cumsum(offsets, out=offsets)
 

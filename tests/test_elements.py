@@ -144,3 +144,37 @@ def test_compressed_matrices_pass_the_driver_in_parts(spark, monkeypatch):
         Sparse.from_compressed(spark, np.ones(300), bad, [0, 300], (1, 2))
     none = Sparse(spark.createDataFrame([], "i long, j long, seq long, v int"), (3, 2)).to_compressed()
     assert [len(a) for a in none] == [0, 0, 4] and none[0].dtype == np.int32
+
+
+def test_parts_of_compressed_matrices_are_small_on_their_way(spark, monkeypatch):
+    """Either way entries pass the driver packed, not as rows; pieces cut runs of one coordinate, values keep their type."""
+    n = 6000
+    i, j = np.sort(np.r_[np.zeros(2500, int), np.arange(n - 2500) // 3]) * 2, np.zeros(n, int)
+    frame = pd.DataFrame({"i": i, "j": j})
+    frame["seq"] = frame.groupby(["i", "j"]).cumcount()
+    offsets = np.r_[0, np.cumsum(np.bincount(i))]
+    monkeypatch.setattr(elements, "_PART", 2000)
+    monkeypatch.setattr(elements, "_PIECE", 700, raising=False)
+    sent, create, packed, kept = [], type(spark).createDataFrame, [], elements.materialize
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: sent.append(data) or create(self, data, *a, **k))
+
+    def noted(df, label, *a):
+        out = kept(df, label, *a)
+        packed.extend(out.select(F.length("part")).toArrow()[0].to_pylist() if label == "packed" else [])
+        return out
+
+    monkeypatch.setattr(elements, "materialize", noted)
+    for values in (np.r_[np.nan, np.arange(n - 1) % 50.0], np.arange(n, dtype="uint8"), np.arange(n) % 3 == 0, np.arange(n, dtype="int32")):
+        for layout in ("csr", "csc"):
+            sent.clear(), packed.clear()
+            shape = (len(offsets) - 1, 1) if layout == "csr" else (1, len(offsets) - 1)
+            x = Sparse.from_compressed(spark, values, j, offsets, shape, layout)
+            assert len(sent) == 3 and max(t.nbytes for t in sent) < 8 * 2000
+            got = x.df.toPandas().sort_values(["i", "j", "seq"])
+            rows, cols = (i, j) if layout == "csr" else (j, i)
+            assert [got[c].tolist() for c in ("i", "j", "seq")] == [rows.tolist(), cols.tolist(), frame["seq"].tolist()]
+            np.testing.assert_array_equal(got["v"].to_numpy(), values)
+            back = x.to_compressed()
+            assert sum(packed) < 8 * n
+            for one, other in zip(back, (values, j, offsets)):
+                np.testing.assert_array_equal(one, other)
